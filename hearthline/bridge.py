@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import spread
+
 TYPE_BY_CLASS = {"STANDARD": "detached", "PROMO": "semi_detached", "ECONOMY": "terraced",
                  "MEDIUM": "flat", "LARGE": "house", "SMALL": "other"}
 PC_AREAS = ["MK", "SW", "EH", "CF", "BT", "G", "LL", "N"]
@@ -64,14 +66,15 @@ def sales(spark: SparkSession, sf: str) -> DataFrame:
     """One row per sale; record ids repeat, `sale_key` does not."""
     li = table(spark, sf, "lineitem").select(
         F.concat_ws(":", "l_orderkey", "l_linenumber").alias("source_record_id"),
-        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("sale_key"),
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                    F.col("l_quantity").cast("long")).alias("sale_key"),
         F.col("l_partkey").alias("property_id"), F.col("l_suppkey").alias("supplier_id"),
         F.to_date("l_shipdate").alias("transaction_date"), F.col("l_extendedprice").alias("price"),
         F.col("l_quantity").alias("sale_area"),
         F.when(F.col("l_returnflag") == "R", "ADDITIONAL").otherwise("STANDARD").alias("market_value_basis"),
         F.when(F.col("l_quantity") > 0, F.col("l_extendedprice") / F.col("l_quantity")).alias("price_per_sqm"))
     homes = dwellings(spark, sf).drop("p_name")
-    return li.join(homes, "property_id").withColumn("year", F.year("transaction_date"))
+    return spread(li).join(homes, "property_id").withColumn("year", F.year("transaction_date"))
 
 
 def names(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Exact order statistics that survive a group holding most of the rows.
 
-A plain exact percentile gathers every distinct value of a group in one task. Here values are
-first counted (map-side combined), each group is cut into value bins, and only the few bins that
-hold a wanted rank are sorted, so the work of a large group spreads over the cluster.
+A plain exact percentile gathers every distinct value of a group in one task. Here a group small
+enough for one task is sorted once, and a larger one is spread out: its values are counted
+(map-side combined) and cut into value bins, and only the bins that hold a wanted rank are sorted.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS_PER_E_FOLD = 256
+HEAVY_ROWS = 5_000_000
 
 
 def value_bin(col: Column) -> Column:
@@ -27,9 +28,9 @@ def rank_of(p: float, n: Column, rule: str) -> Column:
     return F.least(low, (n - 1).cast("double"))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float],
-                    rule: str = "inclusive") -> DataFrame:
-    """One row per group with the interpolated quantiles named in `wanted`; nulls are ignored."""
+def _dense_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float],
+                     rule: str) -> DataFrame:
+    """The spread-out way, for groups too large to be sorted in one task."""
     counts = (df.where(F.col(value).isNotNull())
               .groupBy(*keys, value_bin(F.col(value)).alias("_bin"), F.col(value).alias("_v"))
               .agg(F.count(F.lit(1)).alias("_n")))
@@ -53,16 +54,55 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str
               .withColumn("_from", F.col("_to") - F.col("_n")))
     picks = []
     for name, rank in ranks.items():
-        low, high = F.floor(rank), F.ceil(rank)
-        picks += [F.max(F.when(holds("_from", "_to", low), F.col("_v"))).alias(f"_lo_{name}"),
-                  F.max(F.when(holds("_from", "_to", high), F.col("_v"))).alias(f"_hi_{name}")]
+        picks += [F.max(F.when(holds("_from", "_to", F.floor(rank)), F.col("_v"))).alias(f"_lo_{name}"),
+                  F.max(F.when(holds("_from", "_to", F.ceil(rank)), F.col("_v"))).alias(f"_hi_{name}")]
     found = placed.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
-    out = [
-        (F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))
-         * (ranks[name] - F.floor(ranks[name]))).alias(name)
-        for name in wanted
-    ]
-    return found.select(*keys, *out)
+    return found.select(*keys, *[_between(name, ranks[name]) for name in wanted])
+
+
+def _between(name: str, rank: Column) -> Column:
+    low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+    return (low + (high - low) * (rank - F.floor(rank))).alias(name)
+
+
+def _sorted_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, dict[str, float]],
+                      rule: str, also: list[Column]) -> DataFrame:
+    """One shuffle by group, one sort per measure; for groups that fit one task."""
+    rows, picks, out = df, [], []
+    for i, (value, names) in enumerate(wanted.items()):
+        # nulls sort last, so the first non-null rows carry positions 1..n
+        rows = rows.withColumns({
+            f"_r{i}": F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())) - 1,
+            f"_n{i}": F.count(value).over(Window.partitionBy(*keys))})
+        for name, p in names.items():
+            rank = rank_of(p, F.col(f"_n{i}"), rule)
+            picks += [F.max(F.when(F.col(f"_r{i}") == F.floor(rank), F.col(value))).alias(f"_lo_{name}"),
+                      F.max(F.when(F.col(f"_r{i}") == F.ceil(rank), F.col(value))).alias(f"_hi_{name}")]
+            out.append(_between(name, rank))
+        picks.append(F.max(f"_n{i}").alias(f"_n{i}"))
+    done = rows.groupBy(*keys).agg(*picks, *also)
+    extra = [c for c in done.columns if not c.startswith("_") and c not in keys]
+    return done.select(*keys, *extra, *out)
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, dict[str, float]],
+                    rule: str = "inclusive", also: list[Column] = (),
+                    heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """One row per group: the mergeable aggregates in `also`, then the interpolated quantiles
+    {measure: {output name: probability}}.
+
+    Nulls are ignored. Groups above `heavy_rows` take the spread-out way. There can be at most
+    rows / heavy_rows of them, which bounds what is broadcast.
+    """
+    heavy = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+             .where(F.col("_size") > heavy_rows).select(*keys))
+    light = _sorted_quantiles(df.join(F.broadcast(heavy), keys, "left_anti"), keys, wanted, rule, list(also))
+    dense_rows = df.join(F.broadcast(heavy), keys, "left_semi")
+    dense = dense_rows.groupBy(*keys).agg(*also) if also else None
+    for value, names in wanted.items():
+        part = _dense_quantiles(dense_rows, keys, value, names, rule)
+        dense = part if dense is None else dense.join(part, keys, "left")
+    return light.unionByName(dense)
 
 
 def weighted_lower_quantile(df: DataFrame, keys: list[str], value: str, weight: str,

@@ -73,13 +73,11 @@ def agg_area_stats(sales: DataFrame, levels: list[str] | None = None,
     columns = [*dict.fromkeys(["country", "property_type", "year", "price", "price_per_sqm", "lat", "lon", *levels])]
     rows = with_levels(with_segments(evidence(sales).select(
         *columns, "market_value_basis", "is_residential")), levels)
-    groups = (rows.groupBy(*AREA_KEYS)
-              .agg(F.count(F.lit(1)).alias("transaction_count"), exact_mean("price").alias("mean_price"), *extent())
-              .where(F.col("transaction_count") >= level_minimum(F.col("area_level"), minimum)))
-    prices = exact_quantiles(rows, AREA_KEYS, "price",
-                             {"p25_price": 0.25, "median_price": 0.5, "p75_price": 0.75})
-    per_sqm = exact_quantiles(rows, AREA_KEYS, "price_per_sqm", {"median_price_per_sqm": 0.5})
-    return groups.join(prices, AREA_KEYS, "left").join(per_sqm, AREA_KEYS, "left")
+    stats = exact_quantiles(rows, AREA_KEYS, {
+        "price": {"p25_price": 0.25, "median_price": 0.5, "p75_price": 0.75},
+        "price_per_sqm": {"median_price_per_sqm": 0.5}},
+        also=[F.count(F.lit(1)).alias("transaction_count"), exact_mean("price").alias("mean_price"), *extent()])
+    return stats.where(F.col("transaction_count") >= level_minimum(F.col("area_level"), minimum))
 
 
 def with_growth(stats: DataFrame, value: str = "median_price",

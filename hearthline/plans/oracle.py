@@ -63,7 +63,7 @@ FROM part JOIN nation ON p_partkey%25=n_nationkey JOIN region ON n_regionkey=r_r
 
 cte("sales", """
 SELECT l_orderkey||':'||l_linenumber AS source_record_id,
-  l_orderkey||':'||l_linenumber||':'||l_partkey||':'||l_suppkey AS sale_key,
+  l_orderkey||':'||l_linenumber||':'||l_partkey||':'||l_suppkey||':'||CAST(l_quantity AS BIGINT) AS sale_key,
   h.property_id, l_suppkey AS supplier_id, CAST(l_shipdate AS DATE) AS transaction_date,
   l_extendedprice AS price, l_quantity AS sale_area,
   CASE WHEN l_returnflag='R' THEN 'ADDITIONAL' ELSE 'STANDARD' END AS market_value_basis,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_areas"]
+MODULES = ["q_areas", "q_register"]
 
 
 def collect(attribute: str) -> dict:

@@ -37,3 +37,9 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting, with the count itself bounded by the limit."""
     small = df.limit(limit + 1).count() <= limit
     return F.broadcast(df) if small else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when the input has fewer splits than the cluster has cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
