@@ -22,7 +22,23 @@ def _latin_folding() -> tuple[str, str]:
     return "".join(accented), "".join(plain)
 
 
+def _windows_letters() -> tuple[str, str]:
+    """Control codes 0x80-0x9F as read in ISO 8859-1, and what Windows-1252 means by them."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    return "".join(a for a, w in pairs if w), "".join(w for _, w in pairs if w)
+
+
 _ACCENTED, _PLAIN = _latin_folding()
+_LATIN1, _WINDOWS = _windows_letters()
+
+
+def from_latin1(col: Column) -> Column:
+    """Windows-1252 text that was read as ISO 8859-1, which Spark's readers accept."""
+    return F.translate(col, _LATIN1, _WINDOWS)
+
+
+def to_latin1(col: Column) -> Column:
+    return F.translate(col, _WINDOWS, _LATIN1)
 
 
 def lookup(col: Column, table: dict[str, str]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_areas", "q_register"]
+MODULES = ["q_areas", "q_register", "q_published"]
 
 
 def collect(attribute: str) -> dict:

@@ -121,11 +121,11 @@ def uk_country(area: F.Column) -> F.Column:
 
 def read_irish_register(spark: SparkSession, path: str) -> DataFrame:
     """Windows-1252 register: full market prices without VAT only; the price column by its prefix."""
-    raw = spark.read.option("encoding", "windows-1252").csv(path, header=True)
+    raw = spark.read.option("encoding", "iso-8859-1").csv(path, header=True)
     price = next(c for c in raw.columns if c.startswith("Price"))
     sold = next(c for c in raw.columns if c.startswith("Date of Sale"))
     return raw.select(
-        F.trim("County").alias("county"), P.sale_year(F.col(sold)).alias("year"),
+        X.from_latin1(F.trim("County")).alias("county"), P.sale_year(F.col(sold)).alias("year"),
         P.price_text(F.col(price)).alias("price"), F.trim("Not Full Market Price").alias("_partial"),
         F.trim("VAT Exclusive").alias("_vat")).where(
         (F.col("county") != "") & F.col("year").isNotNull() & F.col("price").isNotNull()
