@@ -120,3 +120,21 @@ def register_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", "B").when(F.col("l_returnflag") == "A", "A").otherwise(
             F.when(ln == 1, "").otherwise("a")).alias("category"),
         F.when((ln == 7) & (F.col("l_tax") == 0), "D").when(ln == 6, "C").otherwise("A").alias("status"))
+
+
+def coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per country, one of them a registered absence, and a few sub-national absences."""
+    r, n = table(spark, sf, "region"), table(spark, sf, "nation")
+    gap = F.col("r_regionkey") == 4
+
+    def row(region_code, region_name, absent, note):
+        return [F.lit("register").alias("provider_key"), F.col("r_name").alias("country"), region_code.alias("region_code"),
+                region_name.alias("region_name"), (~absent).alias("transaction_level"), (~absent).alias("characteristics"),
+                (~absent).alias("market_index"), (~absent).alias("forecast_supported"),
+                F.when(absent, "NONE").otherwise("EXACT_TRANSACTION").alias("max_precision"),
+                F.when(~absent, "POSTCODE").alias("coordinate_precision"), F.lit("GBP").alias("currency"),
+                F.when(absent, note).alias("notes"), F.array(F.lit("register"), F.lit("index")).alias("source_keys")]
+    countries = r.select(*row(F.lit(None).cast("string"), F.col("r_name"), gap, F.concat(F.lit("No prices for "), "r_name")))
+    absent = n.where("n_nationkey % 6 = 0").join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    regions = absent.select(*row(F.col("n_name"), F.col("n_name"), F.lit(True), F.concat(F.lit("No prices for "), "n_name")))
+    return countries.unionByName(regions)

@@ -73,11 +73,16 @@ def agg_area_stats(sales: DataFrame, levels: list[str] | None = None,
     columns = [*dict.fromkeys(["country", "property_type", "year", "price", "price_per_sqm", "lat", "lon", *levels])]
     rows = with_levels(with_segments(evidence(sales).select(
         *columns, "market_value_basis", "is_residential")), levels)
+    return stats_of(rows, minimum)
+
+
+def stats_of(rows: DataFrame, minimum: dict[str, int] | None = None) -> DataFrame:
+    """Statistics of rows already spread over levels and segments."""
     stats = exact_quantiles(rows, AREA_KEYS, {
         "price": {"p25_price": 0.25, "median_price": 0.5, "p75_price": 0.75},
         "price_per_sqm": {"median_price_per_sqm": 0.5}},
         also=[F.count(F.lit(1)).alias("transaction_count"), exact_mean("price").alias("mean_price"), *extent()])
-    return stats.where(F.col("transaction_count") >= level_minimum(F.col("area_level"), minimum))
+    return stats.where(F.col("transaction_count") >= level_minimum(F.col("area_level"), minimum or K.LEVEL_MIN_SALES))
 
 
 def with_growth(stats: DataFrame, value: str = "median_price",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_areas", "q_register", "q_published"]
+MODULES = ["q_areas", "q_register", "q_published", "q_tables"]
 
 
 def collect(attribute: str) -> dict:
