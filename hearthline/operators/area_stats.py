@@ -44,6 +44,11 @@ def with_levels(sales: DataFrame, levels: list[str]) -> DataFrame:
             .drop("_area"))
 
 
+def with_own_district(rows: DataFrame) -> DataFrame:
+    """Rows of the levels at which an area can take its series from a district."""
+    return rows.where("area_level <> 'country'").select("country", "area_level", "area_code", "district")
+
+
 def exact_mean(col: str, scale: int = 2) -> Column:
     """Mean through an exact decimal sum, so that it does not depend on row order."""
     return F.sum(F.col(col).cast(f"decimal(18,{scale})")).cast("double") / F.count(col)

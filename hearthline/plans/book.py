@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .oracle import compose
-
 
 def book():
     """A module's query and SQL tables, and the decorator that fills them."""
@@ -16,7 +14,7 @@ def book():
         def add(fn):
             queries[name] = fn
             if sql is not None:
-                oracle[name] = compose(sql)
+                oracle[name] = sql
             return fn
         return add
     return queries, oracle, query
