@@ -166,3 +166,24 @@ def val_comparables(targets: DataFrame, evidence: DataFrame, policy: SearchPolic
     rest = targets.join(enough, "target_id", "left_anti")
     second = search(rest, sites, policy, False).where(good).withColumn("type_restricted", F.lit(False))
     return first.join(enough, "target_id", "left_semi").unionByName(second)
+
+
+def radius_counts(targets: DataFrame, evidence: DataFrame, radius_m: float) -> DataFrame:
+    """Sales of other dwellings within a radius: how many, and how near the nearest is.
+
+    Sales are counted per point and dwelling before the join, so a point with very many sales is
+    one row in it.
+    """
+    edge, radius = F.lit(radius_m / 2), F.lit(float(radius_m))
+    dates = targets.select("country", "as_of", "date_from", "date_to").distinct()
+    points = (evidence.join(F.broadcast(dates), "country")
+              .where(F.col("transaction_date").between(F.col("date_from"), F.col("date_to")))
+              .groupBy("country", "as_of", F.col("lat").alias("sale_lat"), F.col("lon").alias("sale_lon"), F.col("property_id").alias("sale_home"))
+              .agg(F.count(F.lit(1)).alias("sales")))
+    row = geo.grid_row(F.col("sale_lat"), edge)
+    placed = points.select("*", F.struct(row.alias("row"), geo.grid_col(F.col("sale_lon"), row, edge).alias("col")).alias("cell"))
+    looking = targets.withColumn("cell", F.explode(geo.cover_cells(F.col("lat"), F.col("lon"), radius, edge)))
+    distance = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("sale_lat"), F.col("sale_lon"))
+    near = looking.join(placed, ["country", "as_of", "cell"]).withColumn("distance_m", distance).where(
+        (F.col("distance_m") <= radius) & ~F.col("sale_home").eqNullSafe(F.col("property_id")))
+    return near.groupBy("target_id").agg(F.sum("sales").alias("sales_within"), F.min("distance_m").alias("nearest_m"))
