@@ -130,8 +130,8 @@ def fc_fallback(requests: DataFrame, fits: DataFrame) -> DataFrame:
 def fc_market(places: DataFrame, years: DataFrame, indices: DataFrame, links: DataFrame, sigma: DataFrame | None, policy: ForecastPolicy) -> DataFrame:
     """Market movement per (country, district, type) to the middle of each wanted year."""
     fits = fc_fit(indices, policy)
-    requests = places.join(links.select("country", "district", F.col("area_code").alias("requested_area")), ["country", "district"], "left").withColumn(
-        "requested_segment", F.coalesce("property_type", F.lit("all")))
+    requests = places.join(links.select("country", "district", F.col("area_code").alias("requested_area")), ["country", "district"], "left").withColumns(
+        {"requested_area": F.coalesce("requested_area", F.lit("")), "requested_segment": F.coalesce("property_type", F.lit("all"))})
     fitted = fc_fallback(requests.select("country", "requested_area", "requested_segment").distinct(), fits)
     wanted = years.agg(F.collect_set("year").alias("_y")).scalar()  # calendar years
     ahead = fitted.withColumn("year", F.explode(wanted)).withColumn(
@@ -139,9 +139,8 @@ def fc_market(places: DataFrame, years: DataFrame, indices: DataFrame, links: Da
     out = fc_project(ahead, policy, sigma).withColumn("forecast_confidence", fc_grade(F.col("area_level"), F.col("interval_basis")))
     keep = ["country", "requested_area", "requested_segment", "year", "area_code", "area_level", "segment", "origin_period", "target_period", "horizon", "ratio", "ratio_low",
             "ratio_high", "sigma", "interval_basis", "forecast_confidence", "months", "g_used", "g_short", "shrinkage", "residual_sigma"]
-    cond = [requests[c].eqNullSafe(out[c]) for c in ("country", "requested_area", "requested_segment")]
-    joined = requests.join(out.select(*keep), cond[0] & cond[1] & cond[2])
-    return joined.select(requests["country"], "district", "property_type", *keep[3:])
+    joined = requests.join(out.select(*keep), ["country", "requested_area", "requested_segment"])
+    return joined.select("country", "district", "property_type", *keep[3:])
 
 
 def yearly_pct(monthly: Column, share: float = 1.0) -> Column:

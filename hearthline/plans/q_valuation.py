@@ -163,23 +163,23 @@ def val_type_affinity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("val_similarity", f"""
-SELECT sale_key, round(d,3) AS distance_m, round({similarity_sql('d', 'm', 'ta', 'sa', 'tt', 'st')},8) AS similarity FROM (
+SELECT sale_key, round({similarity_sql('d', 'm', 'ta', 'sa', 'tt', 'st')},8) AS similarity FROM (
   SELECT s.sale_key, {distance_sql('h.lat', 'h.lon', 's.lat', 's.lon')} AS d, {TM}-(year(s.transaction_date)*12+month(s.transaction_date)) AS m,
     h.floor_area AS ta, s.floor_area AS sa, h.property_type AS tt, s.property_type AS st FROM sales s JOIN homes h ON h.property_id=s.supplier_id)""")
 def val_similarity(spark: SparkSession, sf: str) -> DataFrame:
     homes = bridge.dwellings(spark, sf).select(F.col("property_id").alias("supplier_id"), *[F.col(c).alias("h_" + c) for c in ("lat", "lon", "floor_area", "property_type")])
     rows = bridge.sales(spark, sf).join(homes, "supplier_id").withColumn("d", haversine_m(F.col("h_lat"), F.col("h_lon"), F.col("lat"), F.col("lon")))
     score = C.similarity(F.col("d"), F.lit(TM) - month_no(F.col("transaction_date")), F.col("h_property_type"), F.col("property_type"), F.col("h_floor_area"), F.col("floor_area"))
-    return rows.select("sale_key", F.round("d", 3).alias("distance_m"), F.round(score, 8).alias("similarity"))
+    return rows.select("sale_key", F.round(score, 8).alias("similarity"))
 
 
 @query("val_window", f"""
-SELECT DISTINCT as_of, symmetric, make_date(CAST(year(as_of)-5 AS INTEGER),CAST(month(as_of) AS INTEGER),1) AS date_from,
-  least(CASE WHEN symmetric THEN make_date(CAST(year(as_of)+5 AS INTEGER),CAST(month(as_of) AS INTEGER),28) ELSE as_of END,{T}) AS date_to
-FROM (SELECT transaction_date AS as_of, sale_area>25 AS symmetric FROM sales)""")
+SELECT DISTINCT as_of, both_ways, make_date(CAST(year(as_of)-5 AS INTEGER),CAST(month(as_of) AS INTEGER),1) AS date_from,
+  least(CASE WHEN both_ways THEN make_date(CAST(year(as_of)+5 AS INTEGER),CAST(month(as_of) AS INTEGER),28) ELSE as_of END,{T}) AS date_to
+FROM (SELECT transaction_date AS as_of, sale_area>25 AS both_ways FROM sales)""")
 def val_window(spark: SparkSession, sf: str) -> DataFrame:
-    rows = bridge.sales(spark, sf).select(F.col("transaction_date").alias("as_of"), (F.col("sale_area") > 25).alias("symmetric")).distinct()
-    start, end = C.search_window(F.col("as_of"), GB_POLICY.months, F.col("symmetric"), F.lit(TODAY))
+    rows = bridge.sales(spark, sf).select(F.col("transaction_date").alias("as_of"), (F.col("sale_area") > 25).alias("both_ways")).distinct()
+    start, end = C.search_window(F.col("as_of"), GB_POLICY.months, F.col("both_ways"), F.lit(TODAY))
     return rows.withColumns({"date_from": start, "date_to": end})
 
 
@@ -348,7 +348,7 @@ def sample_hash(spark: SparkSession, sf: str) -> DataFrame:
 def evaluated(spark: SparkSession, sf: str) -> DataFrame:
     ev = evidence(spark, sf)
     held = E.sample_hash(ev, date(1999, 1, 1), date(2000, 12, 31), SAMPLE)
-    return E.val_eval(held, ev, stored_indices(spark, sf), district_links(spark, sf), GB_POLICY, TODAY)
+    return cut_lineage(E.val_eval(held, ev, stored_indices(spark, sf), district_links(spark, sf), GB_POLICY, TODAY))
 
 
 _EVAL = avm_ctes(EVAL_T, causal=True)
