@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 
@@ -104,24 +107,42 @@ def ring_area2(ring: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
 
 
-def _clip_edge(ring: Column, axis: str, limit: Column, keep_above: bool) -> Column:
-    """One step of clipping a ring to a half plane (x or y on one side of a limit)."""
-    n = F.size(ring)
-    sign = 1.0 if keep_above else -1.0
-
-    def inside(p):
-        return (p[axis] - limit) * sign >= 0
-
-    def crossing(p, q):
-        t = (limit - p[axis]) / (q[axis] - p[axis])
-        return F.struct((p["x"] + (q["x"] - p["x"]) * t).alias("x"),
-                        (p["y"] + (q["y"] - p["y"]) * t).alias("y"))
-
-    def step(q, i):
-        p = F.get(ring, (i + n - 1) % n)
-        point = F.struct(q["x"].alias("x"), q["y"].alias("y"))
-        return (F.when(inside(q) & inside(p), F.array(point))
-                .when(inside(q), F.array(crossing(p, q), point))
-                .when(inside(p), F.array(crossing(p, q)))
-                .otherwise(F.array().cast("array<struct<x:double,y:double>>")))
-    return F.flatten(F.transform(ring, step))
+CLIPPED = T.StructType([T.StructField(c, T.DoubleType()) for c in ("area", "lat", "lon")])
+
+
+@F.pandas_udf(CLIPPED)
+def clip_ring(xs: pd.Series, ys: pd.Series, w: pd.Series, s: pd.Series, e: pd.Series, n: pd.Series) -> pd.DataFrame:
+    """Part of a ring inside a box: signed area, and a point inside it.
+
+    The ring is cut by one side of the box after the other. The point is the middle of the widest
+    span at half height, so it lies inside the shape even where a mean point would not.
+    """
+    rows = [_clipped(np.asarray(x, float), np.asarray(y, float), box) for x, y, *box in zip(xs, ys, w, s, e, n)]
+    return pd.DataFrame(rows, columns=["area", "lat", "lon"])
+
+
+def _clipped(x: np.ndarray, y: np.ndarray, box: list[float]) -> tuple:
+    w, s, e, n = box
+    for horizontal, limit, sign in ((True, w, 1.0), (True, e, -1.0), (False, s, 1.0), (False, n, -1.0)):
+        if x.size < 3:
+            return 0.0, None, None
+        side = ((x if horizontal else y) - limit) * sign
+        before = np.roll(side, 1)
+        keep, cut = side >= 0, (side >= 0) != (before >= 0)
+        t = np.divide(before, before - side, out=np.zeros_like(side), where=cut)
+        cx, cy = np.roll(x, 1) + t * (x - np.roll(x, 1)), np.roll(y, 1) + t * (y - np.roll(y, 1))
+        # a crossing comes before the vertex that it leads to
+        chosen = np.stack([cut, keep], axis=1).ravel()
+        x, y = np.stack([cx, x], axis=1).ravel()[chosen], np.stack([cy, y], axis=1).ravel()[chosen]
+    if x.size < 3:
+        return 0.0, None, None
+    nx, ny = np.roll(x, -1), np.roll(y, -1)
+    area = float(np.sum(x * ny - nx * y) / 2)
+    mid = (y.min() + y.max()) / 2
+    cross = (y > mid) != (ny > mid)
+    hits = np.sort(x[cross] + (mid - y[cross]) / (ny[cross] - y[cross]) * (nx[cross] - x[cross]))
+    if hits.size < 2:
+        return area, None, None
+    spans = hits[1::2] - hits[: hits.size // 2 * 2: 2]
+    best = int(np.argmax(spans))
+    return area, float(mid), float((hits[2 * best] + hits[2 * best + 1]) / 2)

@@ -56,7 +56,7 @@ def edges_of(shapes: DataFrame) -> DataFrame:
 def shape_facts(shapes: DataFrame) -> DataFrame:
     """Area and bounding box per shape; rings of opposite direction cut holes."""
     area = F.abs(F.aggregate("rings", F.lit(0.0), lambda s, r: s + geo.ring_area2(r))) / 2
-    xs, ys = (F.flatten(F.transform("rings", lambda r: F.transform(r, lambda p: p[c]))) for c in ("x", "y"))
+    xs, ys = (F.flatten("rings")[c] for c in ("x", "y"))
     return shapes.select("shape_id", area.alias("shape_area"), F.array_min(xs).alias("w"), F.array_min(ys).alias("s"),
                          F.array_max(xs).alias("e"), F.array_max(ys).alias("n"))
 
@@ -109,13 +109,13 @@ def nearest_polygon(points: DataFrame, shapes: DataFrame, limit_m: float = K.COA
 
 
 def visible_parts(boxes: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Rings of every shape clipped to every box they meet (box_id, shape_id, ring).
+    """Every ring cut to every box it meets: signed area and a point inside (box_id, shape_id).
 
     Rings are matched to boxes by overlapping cells of their bounding boxes.
     """
     rings = shapes.select("shape_id", F.posexplode("rings").alias("ring_no", "ring"))
     for name, axis, fn in (("rw", "x", F.array_min), ("rs", "y", F.array_min), ("re", "x", F.array_max), ("rn", "y", F.array_max)):
-        rings = rings.withColumn(name, fn(F.transform("ring", lambda p, a=axis: p[a])))
+        rings = rings.withColumn(name, fn(F.col("ring")[axis]))
     step = 4.0
 
     def cells(w, s, e, n):
@@ -128,31 +128,16 @@ def visible_parts(boxes: DataFrame, shapes: DataFrame) -> DataFrame:
     first = (F.col("_c.x") == F.greatest(F.floor(F.col("w") / step), F.floor(F.col("rw") / step))) & (
         F.col("_c.y") == F.greatest(F.floor(F.col("s") / step), F.floor(F.col("rs") / step)))
     out = left.join(right, "_c").where(meets & first).select("box_id", "w", "s", "e", "n", "shape_id", "ring_no", "ring")
-    for axis, limit, above in (("x", "w", True), ("x", "e", False), ("y", "s", True), ("y", "n", False)):
-        out = out.withColumn("ring", geo._clip_edge(F.col("ring"), axis, F.col(limit), above)).where(F.size("ring") >= 3)
-    return out.withColumn("area", geo.ring_area2(F.col("ring")) / 2)
-
-
-def interior_point(parts: DataFrame) -> DataFrame:
-    """A point inside the largest visible ring: middle of its widest span at half height."""
-    big = parts.groupBy("box_id", "shape_id").agg(F.max_by("ring", F.struct(F.abs("area"), "ring_no", "w")).alias("ring"))
-    ys = F.transform("ring", lambda p: p["y"])
-    rows = big.withColumn("y", (F.array_min(ys) + F.array_max(ys)) / 2)
-    nxt = lambda i: F.get("ring", (i + 1) % F.size("ring"))
-    hits = F.flatten(F.transform("ring", lambda p, i: F.when((p["y"] > F.col("y")) != (nxt(i)["y"] > F.col("y")), F.array(
-        p["x"] + (F.col("y") - p["y"]) / (nxt(i)["y"] - p["y"]) * (nxt(i)["x"] - p["x"]))).otherwise(F.array().cast("array<double>"))))
-    rows = rows.withColumn("xs", F.array_sort(hits))
-    spans = F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1), lambda i: F.struct(
-        (F.get("xs", 2 * i + 1) - F.get("xs", 2 * i)).alias("width"), ((F.get("xs", 2 * i + 1) + F.get("xs", 2 * i)) / 2).alias("x")))
-    rows = rows.where(F.size("xs") >= 2).withColumn("best", F.array_max(spans))
-    return rows.select("box_id", "shape_id", F.col("y").alias("lat"), F.col("best.x").alias("lon"))
+    part = geo.clip_ring(F.col("ring")["x"], F.col("ring")["y"], "w", "s", "e", "n")
+    return out.withColumn("_part", part).select("box_id", "shape_id", "ring_no", "_part.*").where("area <> 0")
 
 
 def polygon_in_view(boxes: DataFrame, shapes: DataFrame) -> DataFrame:
     """Shapes that meet a box: visible area (square degrees) and a point inside the visible part."""
     parts = visible_parts(boxes, shapes)
-    area = parts.groupBy("box_id", "shape_id").agg(F.abs(F.sum("area")).alias("visible_area")).where("visible_area > 0")
-    return area.join(interior_point(parts), ["box_id", "shape_id"])
+    biggest = F.max_by(F.struct("lat", "lon"), F.when(F.col("lat").isNotNull(), F.struct(F.abs("area"), "ring_no", "lon")))
+    out = parts.groupBy("box_id", "shape_id").agg(F.abs(F.sum("area")).alias("visible_area"), biggest.alias("p"))
+    return out.where("visible_area > 0").select("box_id", "shape_id", "visible_area", "p.lat", "p.lon")
 
 
 def box_country(boxes: DataFrame, shapes: DataFrame) -> DataFrame:
