@@ -138,3 +138,50 @@ def coverage(spark: SparkSession, sf: str) -> DataFrame:
     absent = n.where("n_nationkey % 6 = 0").join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     regions = absent.select(*row(F.col("n_name"), F.col("n_name"), F.lit(True), F.concat(F.lit("No prices for "), "n_name")))
     return countries.unionByName(regions)
+
+
+def _ring(points: list[tuple[Column, Column]]) -> Column:
+    return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in points])
+
+
+def _patch(d: Column, ell: Column) -> Column:
+    """Outline of one district patch: a square, or an L-shape."""
+    x, y = F.lit(-2.0) + (d % 10) * 0.2, F.lit(50.0) + _div(d, 10) * 0.2
+    square = _ring([(x, y), (x + 0.1, y), (x + 0.1, y + 0.1), (x, y + 0.1)])
+    el = _ring([(x, y), (x + 0.15, y), (x + 0.15, y + 0.05), (x + 0.05, y + 0.05), (x + 0.05, y + 0.15), (x, y + 0.15)])
+    return F.when(ell, el).otherwise(square)
+
+
+def region_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Four patches per nation."""
+    n = F.col("n_nationkey").cast("long")
+    rings = F.array(*[_patch(n + 25 * j, n % 5 == 0) for j in range(4)])
+    return table(spark, sf, "nation").select(F.col("n_name").alias("shape_id"), "n_regionkey", rings.alias("rings"))
+
+
+def country_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """All patches of a country, and a large shape around half of them that no country owns."""
+    parts = region_shapes(spark, sf).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    own = parts.groupBy(F.col("r_name").alias("shape_id")).agg(F.flatten(F.collect_list("rings")).alias("rings"))
+    w, e, s, n = map(F.lit, (-2.05, -1.02, 49.95, 51.02))
+    outer = table(spark, sf, "region").where("r_regionkey = 0").select(F.lit("OUTER").alias("shape_id"), F.array(_ring([(w, s), (e, s), (e, n), (w, n)])).alias("rings"))
+    return own.unionByName(outer)
+
+
+def points(spark: SparkSession, sf: str) -> DataFrame:
+    """One place per customer, some of them at sea."""
+    c = F.col("c_custkey")
+    return table(spark, sf, "customer").select(
+        c.alias("point_id"), (F.lit(49.8) + (c * 37 % 2600) / 1000.0 + 0.0005).alias("lat"), (F.lit(-2.3) + (c * 91 % 2600) / 1000.0 + 0.0005).alias("lon"))
+
+
+def viewports(spark: SparkSession, sf: str) -> DataFrame:
+    """One map view per supplier, over all zooms, years and segments."""
+    s = F.col("s_suppkey")
+    zoom = F.element_at(F.array(*map(F.lit, (3.0, 5.0, 8.0, 9.5, 11.0, 12.5, 13.5, 15.0))), (s % 8 + 1).cast("int"))
+    lat = F.lit(50.0) + (s * 7 % 10) * 0.2 + 0.03
+    lon = F.lit(-2.0) + (s * 3 % 10) * 0.2 + F.when(s % 11 == 0, -0.08).otherwise(0.03)
+    half = F.lit(360.0) / F.pow(F.lit(2.0), zoom) * F.when(zoom >= 12, 6.0).otherwise(1.0)
+    return table(spark, sf, "supplier").select(
+        s.alias("viewport_id"), (lon - half).alias("west"), (lat - half / 2).alias("south"), (lon + half).alias("east"), (lat + half / 2).alias("north"),
+        zoom.alias("zoom"), (s % 9 + 1995).cast("int").alias("year"), F.when(s % 3 == 0, "flat").otherwise("all").alias("segment"))

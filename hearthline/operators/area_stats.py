@@ -90,6 +90,11 @@ def stats_of(rows: DataFrame, minimum: dict[str, int] | None = None) -> DataFram
     return stats.where(F.col("transaction_count") >= level_minimum(F.col("area_level"), minimum or K.LEVEL_MIN_SALES))
 
 
+def priced_only(stats: DataFrame) -> DataFrame:
+    """Rows that can be shown: a change without a price level is not a price."""
+    return stats.where("median_price IS NOT NULL")
+
+
 def with_growth(stats: DataFrame, value: str = "median_price",
                 keys: list[str] | None = None) -> DataFrame:
     """Change on the calendar year before; null where that year was not published."""

@@ -6,7 +6,7 @@ import importlib
 
 from .oracle import compose
 
-MODULES = ["q_areas", "q_register", "q_published", "q_tables", "q_links", "q_valuation", "q_forecast", "q_timeline"]
+MODULES = ["q_areas", "q_register", "q_published", "q_tables", "q_links", "q_valuation", "q_forecast", "q_timeline", "q_map", "q_coverage"]
 
 
 def _collect(attribute: str) -> dict:
