@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.quantiles import exact_quantiles
 
-AREA_KEYS = ["country", "area_level", "area_code", "segment", "year"]
+AREA_KEYS = ["area_code", "year", "segment", "area_level", "country"]  # most selective first: it leads the sort
 
 
 def evidence(sales: DataFrame) -> DataFrame:
