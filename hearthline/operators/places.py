@@ -136,13 +136,13 @@ def polygon_in_view(boxes: DataFrame, shapes: DataFrame) -> DataFrame:
     """Shapes that meet a box: visible area (square degrees) and a point inside the visible part."""
     parts = visible_parts(boxes, shapes)
     biggest = F.max_by(F.struct("lat", "lon"), F.when(F.col("lat").isNotNull(), F.struct(F.abs("area"), "ring_no", "lon")))
-    out = parts.groupBy("box_id", "shape_id").agg(F.round(F.abs(F.sum("area")), 10).alias("visible_area"), biggest.alias("p"))
+    out = parts.groupBy("box_id", "shape_id").agg(F.round(F.abs(F.sum("area")), 12).alias("visible_area"), biggest.alias("p"))
     return out.where("visible_area > 0").select("box_id", "shape_id", "visible_area", "p.lat", "p.lon")
 
 
 def box_country(boxes: DataFrame, shapes: DataFrame) -> DataFrame:
     """Shape with the largest share of each box."""
-    area = visible_parts(boxes, shapes).groupBy("box_id", "shape_id").agg(F.round(F.abs(F.sum("area")), 10).alias("a")).where("a > 0")
+    area = visible_parts(boxes, shapes).groupBy("box_id", "shape_id").agg(F.round(F.abs(F.sum("area")), 12).alias("a")).where("a > 0")
     return area.groupBy("box_id").agg(F.max(F.struct("a", "shape_id")).alias("b")).select("box_id", "b.shape_id", F.col("b.a").alias("overlap"))
 
 
@@ -157,7 +157,7 @@ def knn_postcode(points: DataFrame, gazetteer: DataFrame, limit_m: float = K.REG
     live = gazetteer.where("status = 'live' AND uk_country IS NOT NULL").select(
         "postcode", "uk_country", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
     rest = points.select("point_id", "lat", "lon")
-    radii = [limit_m / 16, limit_m / 4, limit_m]
+    radii = [limit_m / 64, limit_m / 16, limit_m / 4, limit_m]
     found = None
     for radius in radii:
         edge = F.lit(radius / 2 if radius < limit_m else radius / 4)

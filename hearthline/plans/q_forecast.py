@@ -203,17 +203,24 @@ cte("fit_area", """SELECT s.country, s.area_level, s.area_code, s.segment, s.yea
 WHERE s.year=(SELECT max(year) FROM area_stats z WHERE z.country=s.country)""")
 
 
-@query("fc_area", f"""
-WITH moved AS (SELECT a.*, f.area_code AS market, f.origin_period, f.g_used, f.area_level AS market_level, f.months, f.residual_sigma FROM fit_area a JOIN (
+AREA_FIT = """SELECT a.*, f.area_code AS market, f.origin_period, f.g_used, f.area_level AS market_level, f.months, f.residual_sigma FROM fit_area a JOIN (
     SELECT *, area_code AS ra, segment AS rs, 0 AS p FROM fits UNION ALL SELECT f.*, f.area_code, t.s, 1 FROM fits f, (SELECT DISTINCT segment AS s FROM fits) t WHERE f.segment='all'
     UNION ALL SELECT n.*, d.area_code, t.s, 2 FROM fits n JOIN (SELECT DISTINCT country, area_code FROM district_links) d USING (country), (SELECT DISTINCT segment AS s FROM area_stats) t WHERE n.area_level='country' AND n.segment='all') f
-  ON f.country=a.country AND f.ra=a.index_area_code AND f.rs=a.segment QUALIFY row_number() OVER (PARTITION BY a.country,a.area_level,a.area_code,a.segment ORDER BY p)=1)
+  ON f.country=a.country AND f.ra=a.index_area_code AND f.rs=a.segment QUALIFY row_number() OVER (PARTITION BY a.country,a.area_level,a.area_code,a.segment ORDER BY p)=1"""
+
+
+def area_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Index series of each area, through its most frequent district."""
+    rows = A.with_levels(A.evidence(bridge.sales(spark, sf)), ["county", "district", "outcode", "sector"])
+    links = district_links(spark, sf).withColumnRenamed("area_code", "index_area_code")
+    return L.modal_district(A.with_own_district(rows)).join(links, ["country", "district"]).drop("district")
+
+
+@query("fc_area", f"""
+WITH moved AS ({AREA_FIT})
 SELECT country, area_level, area_code, segment, data_year, market AS forecast_market, round(median_price*exp(0.35*g_used*(2003*12+6-(year(origin_period)*12+month(origin_period)))),4) AS median_price FROM moved
 WHERE 2003*12+6-(year(origin_period)*12+month(origin_period)) BETWEEN 1 AND 60""")
 def fc_area(spark: SparkSession, sf: str) -> DataFrame:
-    sales = bridge.sales(spark, sf)
-    stats = cut_lineage(A.agg_area_stats(sales))
-    rows = A.with_levels(A.evidence(sales), ["county", "district", "outcode", "sector"])
-    links = L.modal_district(A.with_own_district(rows)).join(district_links(spark, sf).withColumnRenamed("area_code", "index_area_code"), ["country", "district"]).drop("district")
-    out = FC.fc_area(stats, links, _indices(spark, sf), None, SHORT, 2003)
+    stats = cut_lineage(A.agg_area_stats(bridge.sales(spark, sf)))
+    out = FC.fc_area(stats, area_links(spark, sf), _indices(spark, sf), None, SHORT, 2003)
     return rounded(out.select("country", "area_level", "area_code", "segment", "data_year", "forecast_market", "median_price"), 4)

@@ -11,15 +11,17 @@ from .. import bridge
 from .. import constants as K
 from ..functions import geo
 from ..operators import area_stats as A
+from ..operators import forecast as FC
 from ..operators import places as P
 from ..operators import viewports as M
 from ..operators.lookup import geo_lookup as lookup_texts
 from ..session import cut_lineage
 from .book import book, rounded
 from .oracle import cte, distance_sql
+from .q_forecast import AREA_FIT, SHORT, area_links
 from .q_register import gazetteer
 from .q_timeline import figures, timeline_ctes
-from .q_valuation import TODAY
+from .q_valuation import TODAY, stored_indices
 
 QUERIES, ORACLE, query = book()
 
@@ -64,7 +66,7 @@ FROM (SELECT *, 360.0::DOUBLE/pow(2,zoom)*CASE WHEN zoom>=12 THEN 6.0 ELSE 1.0 E
   50.0::DOUBLE+(s_suppkey*7%10)*0.2::DOUBLE+0.03::DOUBLE AS lat, -2.0::DOUBLE+(s_suppkey*3%10)*0.2::DOUBLE+CASE WHEN s_suppkey%11=0 THEN -0.08 ELSE 0.03 END::DOUBLE AS lon,
   CAST(s_suppkey%9+1995 AS INTEGER) AS year, CASE WHEN s_suppkey%3=0 THEN 'flat' ELSE 'all' END AS segment FROM supplier))""")
 cte("seen_shapes", """
-SELECT viewport_id, shape, round(sum((least(x1,east)-greatest(x0,west))*(least(y1,north)-greatest(y0,south))),10) AS visible_area FROM vps JOIN crects ON x0<east AND x1>west AND y0<north AND y1>south GROUP BY 1,2""")
+SELECT viewport_id, shape, round(sum((least(x1,east)-greatest(x0,west))*(least(y1,north)-greatest(y0,south))),12) AS visible_area FROM vps JOIN crects ON x0<east AND x1>west AND y0<north AND y1>south GROUP BY 1,2""")
 
 
 def boxes(spark: SparkSession, sf: str) -> DataFrame:
@@ -243,6 +245,20 @@ def map_areas(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("viewport_id", "area_level", "area_code", "place", "year", "stats_year", "median_price", "transaction_count", "growth_1y_pct", "precision", "served_tier"), 6)
 
 
+@query("map_areas_future", gate_sql(f"""{_AREAS}, moved AS ({AREA_FIT}) SELECT r.viewport_id, r.area_level, r.area_code, r.year, CAST(r.sy AS INTEGER) AS stats_year,
+  round(r.median_price*exp(0.35*m.g_used*(r.year*12+6-(year(m.origin_period)*12+month(m.origin_period)))),4) AS median_price FROM ranked r
+JOIN moved m ON m.country=r.country AND m.area_level=r.area_level AND m.area_code=r.area_code AND m.segment=r.segment
+WHERE r.year>{_TY} AND r.year*12+6-(year(m.origin_period)*12+month(m.origin_period)) BETWEEN 1 AND 60"""))
+def map_areas_future(spark: SparkSession, sf: str) -> DataFrame:
+    """Future years: latest medians projected with each area's own series, omitted where none fits."""
+    stats, sales = stats_and_sales(spark, sf)
+    indices, links = stored_indices(spark, sf), area_links(spark, sf)
+    columns = ["country", "area_level", "area_code", "segment", "year", "ratio", "confidence"]
+    years = [FC.fc_area(stats, links, indices, None, SHORT, y).select(*columns) for y in (2002, 2003)]
+    out = M.map_areas(gated(spark, sf), stats, sales, bridge.country_shapes(spark, sf), TODAY, cut_lineage(years[0].unionByName(years[1])))
+    return rounded(out.where("is_forecast").select("viewport_id", "area_level", "area_code", "year", "stats_year", "median_price"), 4)
+
+
 @query("coarsen", gate_sql(f"{_AREAS} SELECT DISTINCT viewport_id, tier, area_level FROM ranked WHERE year<={_TY}"))
 def coarsen(spark: SparkSession, sf: str) -> DataFrame:
     stats, sales = stats_and_sales(spark, sf)
