@@ -103,6 +103,11 @@ def usable_pred(spark: SparkSession, sf: str) -> DataFrame:
     return bridge.coverage(spark, sf).select("country", "region_code", C.usable().alias("usable"), C.dwelling_level().alias("dwelling_level"))
 
 
+@query("dwelling_pred", "SELECT country, region_code FROM coverage WHERE transaction_level AND max_precision IN ('EXACT_TRANSACTION','PROPERTY_ESTIMATE')")
+def dwelling_pred(spark: SparkSession, sf: str) -> DataFrame:
+    return bridge.coverage(spark, sf).where(C.dwelling_level()).select("country", "region_code")
+
+
 @query("cov_index", "SELECT country, region_code, CASE WHEN max_precision<>'NONE' THEN 'supported' ELSE 'known absence' END AS listing FROM coverage")
 def cov_index(spark: SparkSession, sf: str) -> DataFrame:
     return bridge.coverage(spark, sf).select("country", "region_code", F.when(C.usable(), "supported").otherwise("known absence").alias("listing"))

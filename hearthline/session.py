@@ -7,9 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+_STAGES: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,13 +29,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise a reused result in the shared folder, so that lost executors cost little."""
     path = fresh_path(df.sparkSession, "stage")
     df.write.parquet(path)
+    _STAGES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting, with the count itself bounded by the limit."""
-    small = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if small else df
+def drop_stages(spark: SparkSession) -> None:
+    """Remove what `cut_lineage` wrote in this session, once the results that read it are stored."""
+    while _STAGES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
