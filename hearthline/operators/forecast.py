@@ -105,6 +105,8 @@ def fc_project(rows: DataFrame, policy: ForecastPolicy, sigma: DataFrame | None)
                             "target_period": F.add_months("origin_period", F.greatest(F.col("horizon"), F.lit(0)))})
 
 
+# --- fixed values: limits and scores of the forecast grade ---
+
 def fc_grade(level: Column, basis: Column) -> Column:
     score = (F.lit(3.0) - 0.42 * F.col("horizon") / 12.0
              + F.when(level == "local_authority", 0.5).when(level.isin("region", "country"), -0.3).otherwise(0.0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .area_stats import extent
 
+# --- fixed values: shapes of a full postcode and of an outcode ---
 FULL = r"^([A-Z]{1,2}\d[A-Z\d]?)\s*(\d[A-Z]{2})$"
 OUTCODE = r"^[A-Z]{1,2}\d[A-Z\d]?$"
 

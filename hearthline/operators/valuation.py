@@ -105,6 +105,8 @@ def steps(value: Column, table: list[tuple[str, float, float]], otherwise: float
     return out.otherwise(otherwise)
 
 
+# --- fixed values: limits and scores of the nine facts, and the sentences shown for them ---------
+
 def grade_score(horizon_years: Column) -> Column:
     """Sum of nine scored facts about the evidence."""
     own = F.col("own_years")
