@@ -9,16 +9,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _STAGES: list[str] = []
+_LOCAL: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared work folder; a temporary one only where none is configured (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="hearthline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The cluster's shared work folder. Only a local master may go without one: it gets one temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="hearthline-"))
+    return _LOCAL[0]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
