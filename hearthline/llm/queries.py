@@ -20,6 +20,29 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..session import cut_lineage
+    from .quality import classify, fit, statistics
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    measured = cut_lineage(statistics(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("held_out", held_out))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = fit(measured.where(~F.col("held_out")).join(labels, "doc_id"))
+    return classify(measured, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("finds", lambda x: x.phrase)
+
+    def named(rows):
+        return F.concat_ws(",", F.array_sort(F.array_distinct(F.transform(rows, lambda x: x.label))))
+    best = F.coalesce(F.array_max(F.transform("finds", lambda x: x.containment)), F.lit(0.0))
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(F.transform(base, lambda x: x["first"])).alias("first_word"),
+                        F.array_max(F.transform(base, lambda x: x["first"])).alias("last_word"), named(base).alias("base_labels"), named(F.col("finds")).alias("labels"),
+                        best.alias("score"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, identify
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
