@@ -43,6 +43,12 @@ def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
                         best.alias("score"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+    records, _ = round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, identify
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
