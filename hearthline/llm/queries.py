@@ -65,6 +65,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), is_contaminated(F.col("n_words"), n_hit).alias("contaminated"))
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import link
+    return link(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
