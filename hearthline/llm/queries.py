@@ -65,6 +65,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), is_contaminated(F.col("n_words"), n_hit).alias("contaminated"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import link
+    return link(table(spark, sf_dir, "documents"))
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embeddings import link
     return link(table(spark, sf_dir, "embeddings"))
