@@ -70,6 +70,13 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import remove_repeats
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embeddings import link
     return link(table(spark, sf_dir, "embeddings"))
