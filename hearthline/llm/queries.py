@@ -65,6 +65,16 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), is_contaminated(F.col("n_words"), n_hit).alias("contaminated"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, how many were removed, and digests of the numbers of those and of the text that stays."""
+    from .linededup import dedup_lines
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    found = dedup_lines(docs)
+    return found.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"),
+                        F.sha2(F.concat_ws(",", F.transform("removed_lines", lambda x: x.cast("string"))), 256).alias("removed_sha256"),
+                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import link
     return link(table(spark, sf_dir, "documents"))
