@@ -96,7 +96,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """The rows of a text column, nulls as empty texts, in chunks of about `limit` bytes or one row."""
     if column.null_count:
         column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)
     offsets = offsets[column.offset:column.offset + len(column) + 1].astype(np.int64)
     raw = column.buffers()[2]
