@@ -11,8 +11,8 @@ repeated strings. The sort goes from coarse to fine digits, and only groups that
 3. Last digit: the window itself, only for one copy of each different run whose anchor has other runs.
 
 Each pass deals digits to groups by number, sorts inside the tasks, and drops what is settled. Runs are settled within
-a batch before they are dealt: of equal runs in a batch only those of the least document travel, so a passage that a
-third of all documents share costs a group one entry for each batch. The number of groups follows the bytes of the
+a slice of the input before they are dealt: of equal runs in a slice only those of the least document travel, so a passage that a
+third of all documents share costs a group one entry for each slice. The number of groups follows the bytes of the
 input. Marks return to the documents by a key of id and text.
 
 A document's byte is removed if it is covered by a window that also starts in a document with a smaller id; windows
@@ -36,7 +36,8 @@ from ..session import cut_lineage
 from . import bytecode as B
 
 WINDOW, GRAM = 50, 20
-RUN_GROUP_BYTES, TEXT_GROUP_BYTES = 32 << 20, 16 << 20
+SLICE_BYTES, PACK_BYTES, CHUNK_BYTES = 16 << 20, 4 << 20, 1 << 20
+RUN_GROUP_BYTES, TEXT_GROUP_BYTES = 16 << 20, 8 << 20
 BLOBS = "kind int, part int, data binary"
 _DIGITS, _MARKS, _TEXTS = 0, 1, 2
 
@@ -108,33 +109,40 @@ def _later(value: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order, cut, d > least
 
 
+def _settle(found: list, keys: np.ndarray, ids: np.ndarray, window: int, groups: int, parts: int) -> pa.RecordBatch:
+    """Marks for the runs that an earlier document of the slice holds too; the other runs, dealt by anchor."""
+    anchor, code, row, start, length = (np.concatenate(x) for x in zip(*found))
+    word = (anchor & ~B.U64((1 << 40) - 1)) | (code >> B.U64(24))
+    order, _, later = _later(word, ids[row])
+    gone, stay = order[later], np.sort(order[~later])
+    out = _marks(keys[row[gone]], start[gone], length[gone], np.zeros(len(gone), dtype=B.U64), parts)
+    group = (anchor[stay] % B.U64(groups)).astype(np.int64)
+    deal = np.argsort(group, kind="stable")
+    g, cut = np.unique(group[deal], return_index=True)
+    for p, o in zip(g, np.split(stay[deal], cut[1:])) if len(stay) else ():
+        docs, place = np.unique(row[o], return_inverse=True)
+        out.append((_DIGITS, int(p), _press(word[o], place.astype(np.uint16 if len(docs) < 65536 else np.uint32), ids[docs], keys[docs],
+                                            start[o].astype(np.uint32), length[o].astype(np.uint8 if window < 128 else np.uint32))))
+    return _rows(out)
+
+
 def _first_pass(window: int, gram: int, groups: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known = np.asarray(batch.column(0).is_valid())
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            found, keys = [], []
-            for chunk in B.chunks(batch.column(1)):
+            found, keys, begin, held = [], [], 0, 0
+            for chunk in B.chunks(batch.column(1), CHUNK_BYTES):
+                if held >= SLICE_BYTES:
+                    yield _settle(found, np.concatenate(keys), ids[begin:chunk.first], window, groups, parts)
+                    found, keys, begin, held = [], [], chunk.first, 0
                 anchor, code, row, start, length = runs(chunk, window, gram)
                 keys.append(_row_keys(chunk, ids[chunk.first:chunk.first + chunk.rows]))
                 fits = known[row + chunk.first]
-                found.append([x[fits] for x in (anchor, code, row + chunk.first, start, length)])
-            if not found:
-                continue
-            anchor, code, row, start, length = (np.concatenate(x) for x in zip(*found))
-            keys = np.concatenate(keys)
-            word = (anchor & ~B.U64((1 << 40) - 1)) | (code >> B.U64(24))
-            order, _, later = _later(word, ids[row])
-            gone, stay = order[later], np.sort(order[~later])
-            out = _marks(keys[row[gone]], start[gone], length[gone], np.zeros(len(gone), dtype=B.U64), parts)
-            group = (anchor[stay] % B.U64(groups)).astype(np.int64)
-            deal = np.argsort(group, kind="stable")
-            g, cut = np.unique(group[deal], return_index=True)
-            for p, o in zip(g, np.split(stay[deal], cut[1:])) if len(stay) else ():
-                docs, place = np.unique(row[o], return_inverse=True)
-                out.append((_DIGITS, int(p), _press(word[o], place.astype(np.uint16 if len(docs) < 65536 else np.uint32), ids[docs], keys[docs],
-                                                    start[o].astype(np.uint32), length[o].astype(np.uint8 if window < 128 else np.uint32))))
-            yield _rows(out)
+                found.append([x[fits] for x in (anchor, code, row + (chunk.first - begin), start.astype(np.uint32), length.astype(np.uint32))])
+                held += len(chunk.data)
+            if found:
+                yield _settle(found, np.concatenate(keys), ids[begin:], window, groups, parts)
     return run
 
 
@@ -180,7 +188,7 @@ def _pack_texts(parts: int):
         for batch in batches:
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             known = np.asarray(batch.column(0).is_valid())
-            for chunk in B.chunks(batch.column(1)):
+            for chunk in B.chunks(batch.column(1), PACK_BYTES):
                 own = slice(chunk.first, chunk.first + chunk.rows)
                 keys = _row_keys(chunk, ids[own])
                 out, part = [], (keys % B.U64(parts)).astype(np.int64)
