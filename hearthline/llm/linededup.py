@@ -211,6 +211,8 @@ def within(left: list[bytes], right: list[bytes], edits: int) -> np.ndarray:
     the right and j + b - edits bytes of the left were used up with e errors. One step takes the next right byte.
     """
     n = len(left)
+    if not n:
+        return np.zeros(0, dtype=bool)
     a, b = (np.frombuffer(b"".join(x) + b"\0", dtype=np.uint8) for x in (left, right))
     la, lb = (np.array([len(x) for x in y], dtype=np.int64) for y in (left, right))
     sa, sb = np.cumsum(la) - la, np.cumsum(lb) - lb
@@ -261,14 +263,25 @@ def _verify_pairs(edits: int):
 def _verify_units(edits: int):
     """Sorted by unit: (unit, side, line, doc, pos, text) to the lines that have an earlier line within reach."""
     def solve(rows: list[tuple]) -> list[int]:
-        gone: set[int] = set()
         rows.sort(key=lambda r: (r[3], r[4]))
-        for i in range(len(rows)):  # every line meets the later ones that are still there
-            rest = [r for r in rows[i + 1:] if r[2] not in gone and r[2] != rows[i][2] and (r[1] == 2 or r[1] != rows[i][1])]
-            if rest:
-                near = within([rows[i][5]] * len(rest), [r[5] for r in rest], edits)
-                gone.update(r[2] for r, k in zip(rest, near) if k)
-        return sorted(gone)
+        text, line, side = [r[5] for r in rows], np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+        # one edit changes the counts of byte classes by at most 2 in all
+        counts = np.stack([np.bincount(np.frombuffer(x, dtype=np.uint8) & 63, minlength=64) for x in text]).astype(np.int32) if rows else np.zeros((0, 64), np.int32)
+        gone, waiting = np.zeros(len(rows), dtype=bool), []
+
+        def settle() -> None:
+            pairs = [(i, j) for i, j in waiting if not gone[j]]
+            near = within([text[i] for i, _ in pairs], [text[j] for _, j in pairs], edits)
+            gone[np.isin(line, [line[j] for (_, j), k in zip(pairs, near) if k])] = True
+            waiting.clear()
+        for i in range(len(rows) - 1):  # every line meets the later ones that are still there
+            fits = ~gone[i + 1:] & (line[i + 1:] != line[i]) & ((side[i + 1:] == 2) | (side[i + 1:] != side[i]))
+            fits &= np.abs(counts[i + 1:] - counts[i]).sum(axis=1) <= 2 * edits
+            waiting += [(i, j) for j in (np.flatnonzero(fits) + i + 1).tolist()]
+            if len(waiting) >= 2000:
+                settle()
+        settle()
+        return sorted(set(line[gone].tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
