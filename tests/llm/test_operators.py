@@ -202,7 +202,7 @@ def test_quality(spark):
     model = quality.fit(measured.where(~held).join(labels, "doc_id"))
     rows = quality.classify(measured.where(held).join(labels, "doc_id"), model).collect()
     good, bad = [r.score for r in rows if r.label == 1], [r.score for r in rows if r.label == 0]
-    assert np.mean([g > b for g in good for b in bad]) > 0.9
+    assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.9
     odd = quality.statistics(spark.createDataFrame([(1, None, 2.0), (2, "", 2.0), (3, "word " * 50_000, 2.0), (3, "word " * 50_000, 2.0)], DOC + ", score double"))
     got = quality.classify(odd, model).collect()
     assert len(got) == 4 and all(0 <= r.score <= 1 for r in got) and len({r.score for r in got if r.doc_id == 3}) == 1
