@@ -219,7 +219,8 @@ def _verify(forest: Forest):
 def verified(pairs: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
     """The pairs whose full sets are similar enough; docs has (id, text). Texts travel as texts, not as sets."""
     needed = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = cut_lineage(docs.select("id", "text").join(needed, "id", "left_semi").dropDuplicates(["id", "text"]))
+    # the ids grow with the documents, so this join is a merge at every size
+    texts = cut_lineage(docs.select("id", "text").join(needed.hint("merge"), "id", "left_semi").dropDuplicates(["id", "text"]))
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return with_b.select("a", "b", "ta", "tb").mapInArrow(_verify(forest), "a long, b long")
