@@ -1,8 +1,8 @@
 """Exact order statistics that survive a group holding most of the rows.
 
-A plain exact percentile gathers every distinct value of a group in one task. Here a group small
-enough for one task is sorted once, and a larger one is spread out: its values are counted
-(map-side combined) and cut into value bins, and only the bins that hold a wanted rank are sorted.
+A plain exact percentile gathers every distinct value of a group in one task. Here the values of all measures are
+counted (combined before the shuffle) and cut into value bins; bin totals tell which bins hold a wanted rank, and only
+inside a bin are values put in order. Every group takes this one way, whatever its size.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS_PER_E_FOLD = 256
-HEAVY_ROWS = 5_000_000
 
 
 def value_bin(col: Column) -> Column:
@@ -28,36 +27,49 @@ def rank_of(p: float, n: Column, rule: str) -> Column:
     return F.least(low, (n - 1).cast("double"))
 
 
-def _dense_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float],
-                     rule: str) -> DataFrame:
-    """The spread-out way, for groups too large to be sorted in one task."""
-    counts = (df.where(F.col(value).isNotNull())
-              .groupBy(*keys, value_bin(F.col(value)).alias("_bin"), F.col(value).alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_n")))
-    per_key = Window.partitionBy(*keys)
-    bins = (counts.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_bn"))
-            .withColumn("_end", F.sum("_bn").over(per_key.orderBy("_bin")))
-            .withColumn("_total", F.sum("_bn").over(per_key))
+def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on keys of which null equals null; the left side's keys stay."""
+    other = right.select(*[F.col(k).alias(f"_key_{k}") if k in keys else F.col(k) for k in right.columns])
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(other[f"_key_{k}"])
+    return left.join(other, on, how).drop(*[f"_key_{k}" for k in keys])
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, dict[str, float]], rule: str = "inclusive", also: list[Column] = ()) -> DataFrame:
+    """One row per group: the mergeable aggregates in `also`, then the interpolated quantiles
+    {measure: {output name: probability}}. Nulls are ignored; a group without values has null quantiles.
+
+    The input is read twice, for the counts and for the aggregates.
+    """
+    entries = [F.struct(F.lit(i).alias("_m"), F.col(v).cast("double").alias("_v")) for i, v in enumerate(wanted)]
+    counts = (df.select(*keys, F.explode(F.array(*entries)).alias("_e")).select(*keys, "_e._m", "_e._v").where(F.col("_v").isNotNull())
+              .groupBy(*keys, "_m", value_bin(F.col("_v")).alias("_bin"), "_v").agg(F.count(F.lit(1)).alias("_n")))
+    group = Window.partitionBy(*keys, "_m")
+    bins = (counts.groupBy(*keys, "_m", "_bin").agg(F.sum("_n").alias("_bn"))
+            .withColumn("_end", F.sum("_bn").over(group.orderBy("_bin"))).withColumn("_total", F.sum("_bn").over(group))
             .withColumn("_start", F.col("_end") - F.col("_bn")))
-    ranks = {name: rank_of(p, F.col("_total"), rule) for name, p in wanted.items()}
 
     def holds(lo: str, hi: str, rank: Column) -> Column:
         return (F.col(lo) <= rank) & (rank < F.col(hi))
-
-    needed = F.lit(False)
-    for rank in ranks.values():
-        needed = needed | holds("_start", "_end", F.floor(rank)) | holds("_start", "_end", F.ceil(rank))
-    chosen = bins.where(needed).select(*keys, "_bin", "_start", "_total")
-    in_bin = Window.partitionBy(*keys, "_bin").orderBy("_v")
-    placed = (counts.join(chosen, [*keys, "_bin"])
-              .withColumn("_to", F.col("_start") + F.sum("_n").over(in_bin))
+    needed, picks, out = F.lit(False), [], []
+    for i, names in enumerate(wanted.values()):
+        for name, p in names.items():
+            rank = rank_of(p, F.col("_total"), rule)
+            for side, whole in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
+                needed = needed | ((F.col("_m") == i) & holds("_start", "_end", whole))
+                picks.append(F.max(F.when((F.col("_m") == i) & holds("_from", "_to", whole), F.col("_v"))).alias(f"_{side}_{name}"))
+            out.append(_between(name, rank_of(p, F.col(f"_total_{i}"), rule)))
+        picks.append(F.max(F.when(F.col("_m") == i, F.col("_total"))).alias(f"_total_{i}"))
+    chosen = bins.where(needed).select(*keys, "_m", "_bin", "_start", "_total")
+    in_bin = Window.partitionBy(*keys, "_m", "_bin").orderBy("_v")
+    placed = (_same(counts, chosen, [*keys, "_m", "_bin"], "inner").withColumn("_to", F.col("_start") + F.sum("_n").over(in_bin))
               .withColumn("_from", F.col("_to") - F.col("_n")))
-    picks = []
-    for name, rank in ranks.items():
-        picks += [F.max(F.when(holds("_from", "_to", F.floor(rank)), F.col("_v"))).alias(f"_lo_{name}"),
-                  F.max(F.when(holds("_from", "_to", F.ceil(rank)), F.col("_v"))).alias(f"_hi_{name}")]
-    found = placed.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
-    return found.select(*keys, *[_between(name, ranks[name]) for name in wanted])
+    found = placed.groupBy(*keys).agg(*picks)
+    found = found.select(*keys, *out)
+    groups = df.groupBy(*keys).agg(*(also or [F.count(F.lit(1)).alias("_any")]))
+    done = _same(groups, found, keys, "left")
+    return done.drop("_any")
 
 
 def _between(name: str, rank: Column) -> Column:
@@ -65,46 +77,6 @@ def _between(name: str, rank: Column) -> Column:
     return (low + (high - low) * (rank - F.floor(rank))).alias(name)
 
 
-def _sorted_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, dict[str, float]],
-                      rule: str, also: list[Column]) -> DataFrame:
-    """One shuffle by group, one sort per measure; for groups that fit one task."""
-    rows, picks, out = df, [], []
-    for i, (value, names) in enumerate(wanted.items()):
-        # nulls sort last, so the first non-null rows carry positions 1..n
-        rows = rows.withColumns({
-            f"_r{i}": F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())) - 1,
-            f"_n{i}": F.count(value).over(Window.partitionBy(*keys))})
-        for name, p in names.items():
-            rank = rank_of(p, F.col(f"_n{i}"), rule)
-            picks += [F.max(F.when(F.col(f"_r{i}") == F.floor(rank), F.col(value))).alias(f"_lo_{name}"),
-                      F.max(F.when(F.col(f"_r{i}") == F.ceil(rank), F.col(value))).alias(f"_hi_{name}")]
-            out.append(_between(name, rank))
-        picks.append(F.max(f"_n{i}").alias(f"_n{i}"))
-    done = rows.groupBy(*keys).agg(*picks, *also)
-    extra = [c for c in done.columns if not c.startswith("_") and c not in keys]
-    return done.select(*keys, *extra, *out)
-
-
-def exact_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, dict[str, float]],
-                    rule: str = "inclusive", also: list[Column] = (),
-                    heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """One row per group: the mergeable aggregates in `also`, then the interpolated quantiles
-    {measure: {output name: probability}}.
-
-    Nulls are ignored. Groups above `heavy_rows` take the spread-out way. There can be at most
-    rows / heavy_rows of them, which bounds what is broadcast.
-    """
-    heavy = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-             .where(F.col("_size") > heavy_rows).select(*keys))
-    light = _sorted_quantiles(df.join(F.broadcast(heavy), keys, "left_anti"), keys, wanted, rule, list(also))
-    dense_rows = df.join(F.broadcast(heavy), keys, "left_semi")
-    dense = dense_rows.groupBy(*keys).agg(*also) if also else None
-    for value, names in wanted.items():
-        part = _dense_quantiles(dense_rows, keys, value, names, rule)
-        dense = part if dense is None else dense.join(part, keys, "left")
-    return light.unionByName(dense)
-
-
 def weighted_lower_quantile(df: DataFrame, keys: list[str], value: str, weight: str,
                             wanted: dict[str, float]) -> DataFrame:
     """First value whose running weight reaches q x total; the middle value when weights vanish.

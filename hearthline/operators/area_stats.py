@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -99,7 +99,7 @@ def with_growth(stats: DataFrame, value: str = "median_price",
                 keys: list[str] | None = None) -> DataFrame:
     """Change on the calendar year before; null where that year was not published."""
     keys = keys or ["country", "area_level", "area_code", "segment"]
-    before = stats.select(*keys, (F.col("year") + 1).alias("year"), F.col(value).alias("previous"))
-    return (stats.join(before, [*keys, "year"], "left")
-            .withColumn("growth_1y_pct", F.when(F.col("previous") > 0,
-                        (F.col(value) / F.col("previous") - 1) * 100)))
+    series = Window.partitionBy(*keys).orderBy("year")
+    before = F.when(F.lag("year").over(series) == F.col("year") - 1, F.lag(value).over(series))
+    return (stats.withColumn("previous", before)
+            .withColumn("growth_1y_pct", F.when(F.col("previous") > 0, (F.col(value) / F.col("previous") - 1) * 100)))

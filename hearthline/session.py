@@ -42,8 +42,3 @@ def drop_stages(spark: SparkSession) -> None:
         path = spark._jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input has fewer splits than the cluster has cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import parse as P
 from ..functions import text as X
-from ..session import spread
 
 BOM = "﻿"
 
@@ -16,9 +15,7 @@ BOM = "﻿"
 def read_register(spark: SparkSession, paths: list[str] | str) -> tuple[DataFrame, DataFrame]:
     """Headerless 16-column register, plain or gzip: (raw rows, rows with too few fields)."""
     schema = ", ".join(f"{c} string" for c in [*K.REGISTER_COLUMNS, "_short"])
-    # a single-file gzip cannot be split, so it is spread after the read
-    raw = spread(spark.read.schema(schema).option("columnNameOfCorruptRecord", "_short")
-                 .option("emptyValue", "").csv(paths, header=False))
+    raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_short").option("emptyValue", "").csv(paths, header=False)
     raw = raw.withColumn("record_id", F.regexp_replace("record_id", "^" + BOM, ""))
     short = F.col("_short").isNotNull() & F.col("status").isNull()
     return raw.where(~short).drop("_short"), raw.where(short)
@@ -61,7 +58,7 @@ def register_sales(raw: DataFrame) -> DataFrame:
 
 def read_transfers(spark: SparkSession, path: str, departments: list[str] | None = None) -> DataFrame:
     """Headed transfer file: sales only, valid date, chosen departments, typed columns."""
-    raw = spread(spark.read.option("inferSchema", "false").csv(path, header=True))
+    raw = spark.read.option("inferSchema", "false").csv(path, header=True)
     dept = F.trim("code_departement")
     kind = X.lookup(F.trim("type_local"), K.TRANSFER_TYPES)
     rows = raw.where((F.trim("nature_mutation") == K.TRANSFER_SALE_NATURE)
