@@ -60,17 +60,29 @@ def grams(chunk: B.Chunk) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield B.mix(code[fits]), np.searchsorted(fits, chunk.offsets)
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return key, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column(0).to_pylist()
-        seen: dict[str, list[np.ndarray]] = {}
+        seen: dict[str, list] = {}
         for chunk in B.chunks(batch.column(1)):
+            own: dict[str, list[int]] = {}
+            for r in range(chunk.rows):
+                own.setdefault(langs[chunk.first + r], []).append(r)
             for codes, first in grams(chunk):
-                for r in range(chunk.rows):
-                    seen.setdefault(langs[chunk.first + r], []).append(codes[first[r]:first[r + 1]])
+                for lang, rows in own.items():
+                    part = np.unique(np.concatenate([codes[first[r]:first[r + 1]] for r in rows]), return_counts=True)
+                    seen.setdefault(lang, []).append(part)
+            for lang, parts in seen.items():  # what is held stays near the number of different n-grams
+                if sum(len(k) for k, _ in parts[1:]) > max(200_000, len(parts[0][0])):
+                    seen[lang] = [_merged(parts)]
         for lang, parts in seen.items():
-            key, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+            key, n = _merged(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(key.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
 
 @dataclass

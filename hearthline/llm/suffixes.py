@@ -36,7 +36,7 @@ from ..session import cut_lineage
 from . import bytecode as B
 
 WINDOW, GRAM = 50, 20
-SLICE_BYTES, PACK_BYTES, CHUNK_BYTES = 16 << 20, 4 << 20, 1 << 20
+SLICE_BYTES, PACK_BYTES, CHUNK_BYTES = 8 << 20, 2 << 20, 1 << 19
 RUN_GROUP_BYTES, TEXT_GROUP_BYTES = 16 << 20, 8 << 20
 BLOBS = "kind int, part int, data binary"
 _DIGITS, _MARKS, _TEXTS = 0, 1, 2
