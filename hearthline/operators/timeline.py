@@ -78,10 +78,9 @@ def val_price_year(wanted: DataFrame, dwellings: DataFrame, sales: DataFrame, ev
     return facts.unionByName(estimates).unionByName(ahead).unionByName(refused).select(*COLUMNS)
 
 
-def wanted_years(dwellings: DataFrame, first_year: int, last_year: int, cap: int = 40) -> DataFrame:
-    """Dwelling x year, at most `cap` years back from the last one."""
-    start = max(first_year, last_year - cap)
-    return dwellings.select("property_id", F.explode(F.sequence(F.lit(start), F.lit(last_year))).alias("year"))
+def wanted_years(dwellings: DataFrame, first_year: int, last_year: int) -> DataFrame:
+    """Dwelling x year, from the first to the last one."""
+    return dwellings.select("property_id", F.explode(F.sequence(F.lit(first_year), F.lit(last_year))).alias("year"))
 
 
 def val_detail(dwellings: DataFrame, sales: DataFrame, figures: DataFrame, current: DataFrame) -> DataFrame:

@@ -212,8 +212,10 @@ def map_properties(thin: DataFrame, figures: DataFrame) -> DataFrame:
 
 
 def txn_window(viewports: DataFrame, sales: DataFrame, first: date, last: date, limit: int = 500) -> DataFrame:
-    """Newest residential sales in each box and date range."""
+    """Newest residential sales in each box and date range, and whether the box holds more than the limit."""
     rows = sales.where(F.col("is_residential") & F.col("transaction_date").between(first, last))
     boxes = P.plain_boxes(viewports).select("viewport_id", "w", "s", "e", "n")
     w = Window.partitionBy("viewport_id").orderBy(F.col("transaction_date").desc(), "sale_key")
-    return P.box_join(rows, boxes, []).withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+    placed = P.box_join(rows, boxes, []).withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit + 1)
+    more = F.max("place").over(Window.partitionBy("viewport_id")) > limit
+    return placed.withColumn("truncated", more).where(F.col("place") <= limit)

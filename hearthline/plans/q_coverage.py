@@ -259,17 +259,11 @@ def dq_null_count(spark: SparkSession, sf: str) -> DataFrame:
     return Q.dq_null_count(stats.withColumn("transaction_count", F.when(F.col("area_level") == "county", 0).when(F.col("area_level") != "country", F.col("transaction_count"))))
 
 
-@query("dq_priced_shown", "SELECT 'priced and shown once' AS rule, count(*) AS checked, 0::BIGINT AS broken FROM vps JOIN area_stats a ON a.area_level='district' AND a.segment='all' AND a.year=1998 AND centre_lon BETWEEN vps.west AND vps.east AND centre_lat BETWEEN vps.south AND vps.north")
-def dq_priced_shown(spark: SparkSession, sf: str) -> DataFrame:
-    stats = A.agg_area_stats(bridge.sales(spark, sf)).where("area_level = 'district' AND segment = 'all' AND year = 1998").drop("west", "south", "east", "north")
-    boxes = P.plain_boxes(bridge.viewports(spark, sf)).select("viewport_id", "w", "s", "e", "n")
-    return Q.dq_priced_shown(P.box_join(stats, boxes, [], "centre_lat", "centre_lon"), 100.0, 1e8)
-
-
-@query("dq_coverage_backed", """SELECT 'claims have rows' AS rule, count(*) AS checked, count_if(country NOT IN (SELECT country FROM held_sales) OR country NOT IN (SELECT country FROM held_index))::BIGINT AS broken FROM coverage WHERE max_precision<>'NONE'""")
+@query("dq_coverage_backed", """SELECT 'claims have rows' AS rule, count(*) AS checked, count_if((country NOT IN (SELECT country FROM held_sales) AND country NOT IN (SELECT country FROM held_stats))
+  OR (transaction_level AND country NOT IN (SELECT country FROM held_sales)) OR (market_index AND country NOT IN (SELECT country FROM held_index)))::BIGINT AS broken FROM coverage WHERE max_precision<>'NONE'""")
 def dq_coverage_backed(spark: SparkSession, sf: str) -> DataFrame:
-    sales, idx, _ = held(spark, sf)
-    return Q.dq_coverage_backed(bridge.coverage(spark, sf), sales, idx)
+    sales, idx, stats = held(spark, sf)
+    return Q.dq_coverage_backed(bridge.coverage(spark, sf), sales, idx, stats)
 
 
 @query("dq_source_known", "SELECT 'index' AS source_key FROM region WHERE r_regionkey=1")

@@ -199,9 +199,9 @@ def agg_sale_counts(spark: SparkSession, sf: str) -> DataFrame:
     return bridge.sales(spark, sf).groupBy("property_id").agg(F.count(F.lit(1)).alias("sale_count"), F.max("transaction_date").alias("last_sold"))
 
 
-@query("semi_exists", "SELECT property_id, property_type, country FROM homes WHERE property_id IN (SELECT property_id FROM evid WHERE year=2000)")
+@query("semi_exists", "SELECT property_id, property_type, country FROM homes WHERE property_id IN (SELECT property_id FROM evid)")
 def semi_exists(spark: SparkSession, sf: str) -> DataFrame:
-    sold = A.evidence(bridge.sales(spark, sf)).where("year = 2000").select("property_id")
+    sold = A.evidence(bridge.sales(spark, sf)).select("property_id")
     return bridge.dwellings(spark, sf).join(sold, "property_id", "left_semi").select("property_id", "property_type", "country")
 
 

@@ -13,6 +13,7 @@ from ..functions import geo
 from ..operators import area_stats as A
 from ..operators import forecast as FC
 from ..operators import places as P
+from ..operators import quality as Q
 from ..operators import viewports as M
 from ..operators.lookup import geo_lookup as lookup_texts
 from ..session import cut_lineage
@@ -35,6 +36,7 @@ cte("crects", "SELECT r_name AS shape, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::D
 cte("cshape_area", "SELECT shape, round(sum((x1-x0)*(y1-y0)),9) AS area FROM crects GROUP BY 1")
 cte("cpoints", "SELECT c_custkey AS point_id, 49.8::DOUBLE+(c_custkey*37%2600)/1000.0::DOUBLE+0.0005::DOUBLE AS lat, -2.3::DOUBLE+(c_custkey*91%2600)/1000.0::DOUBLE+0.0005::DOUBLE AS lon FROM customer")
 _M = repr(P.M_PER_DEG)
+_LIMIT_OF_ZOOM = "CASE " + " ".join(f"WHEN zoom>={low} THEN {n}" for low, _, _, n in K.ZOOM_LADDER) + " ELSE 120 END"
 
 
 def pip_ctes(points: str) -> str:
@@ -87,12 +89,12 @@ def polygon_in_view(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("box_id").alias("viewport_id"), F.col("shape_id").alias("shape"), "visible_area", inside.alias("point_in_box"))
 
 
-@query("top_visible", "SELECT viewport_id, shape, CAST(row_number() OVER (PARTITION BY viewport_id ORDER BY visible_area DESC, shape) AS INTEGER) AS place FROM seen_shapes QUALIFY place<=3")
+@query("top_visible", f"SELECT viewport_id, shape, CAST(row_number() OVER (PARTITION BY viewport_id ORDER BY visible_area DESC, shape) AS INTEGER) AS place FROM seen_shapes JOIN vps USING (viewport_id) QUALIFY place<={_LIMIT_OF_ZOOM}")
 def top_visible(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
-    out = P.polygon_in_view(boxes(spark, sf), bridge.country_shapes(spark, sf))
+    out = P.polygon_in_view(boxes(spark, sf), bridge.country_shapes(spark, sf)).join(boxes(spark, sf).select("box_id", "zoom"), "box_id")
     w = Window.partitionBy("box_id").orderBy(F.col("visible_area").desc(), "shape_id")
-    return out.withColumn("place", F.row_number().over(w)).where("place <= 3").select(F.col("box_id").alias("viewport_id"), F.col("shape_id").alias("shape"), "place")
+    return out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= M.limit_of(M.tier_of(F.col("zoom")))).select(F.col("box_id").alias("viewport_id"), F.col("shape_id").alias("shape"), "place")
 
 
 # --- nearest postcode --------------------------------------------------------
@@ -170,16 +172,21 @@ def honest_precision(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("tier", "area_level", M.honest_precision(F.col("area_level"), F.col("tier")).alias("precision"), M.honest_tier(F.col("area_level"), F.col("tier")).alias("served_tier"))
 
 
-@query("txn_window", """SELECT viewport_id, sale_key, CAST(row_number() OVER (PARTITION BY viewport_id ORDER BY transaction_date DESC, sale_key) AS INTEGER) AS place
-FROM vps JOIN sales ON lon BETWEEN west AND east AND lat BETWEEN south AND north WHERE zoom>=11 AND is_residential AND transaction_date BETWEEN DATE '1998-01-01' AND DATE '2000-12-31' QUALIFY place<=500""")
+@query("txn_window", """SELECT viewport_id, sale_key, CAST(row_number() OVER (PARTITION BY viewport_id ORDER BY transaction_date DESC, sale_key) AS INTEGER) AS place,
+  count(*) OVER (PARTITION BY viewport_id)>500 AS truncated
+FROM vps JOIN sales ON lon BETWEEN west AND east AND lat BETWEEN south AND north WHERE is_residential AND transaction_date BETWEEN DATE '1998-01-01' AND DATE '2000-12-31' QUALIFY place<=500""")
 def txn_window(spark: SparkSession, sf: str) -> DataFrame:
-    return M.txn_window(bridge.viewports(spark, sf).where("zoom >= 11"), bridge.sales(spark, sf).drop("year"), date(1998, 1, 1), date(2000, 12, 31)).select("viewport_id", "sale_key", "place")
+    found = M.txn_window(bridge.viewports(spark, sf), bridge.sales(spark, sf).drop("year"), date(1998, 1, 1), date(2000, 12, 31))
+    return found.select("viewport_id", "sale_key", "place", "truncated")
 
 
-@query("viewport_join", "SELECT viewport_id, property_id FROM vps JOIN homes ON lon BETWEEN west AND east AND lat BETWEEN south AND north WHERE zoom>=8")
+@query("viewport_join", """SELECT viewport_id, count(*) AS dwellings, min(property_id) AS first_id, max(property_id) AS last_id, sum(property_id)::BIGINT AS id_sum
+FROM vps JOIN homes ON lon BETWEEN west AND east AND lat BETWEEN south AND north GROUP BY 1""")
 def viewport_join(spark: SparkSession, sf: str) -> DataFrame:
-    v = P.plain_boxes(bridge.viewports(spark, sf).where("zoom >= 8")).select("viewport_id", "w", "s", "e", "n")
-    return P.box_join(bridge.dwellings(spark, sf).select("property_id", "lat", "lon"), v, []).select("viewport_id", "property_id")
+    """Dwellings in each viewport, counted; sums of ids show that they are the right ones."""
+    v = P.plain_boxes(bridge.viewports(spark, sf)).select("viewport_id", "w", "s", "e", "n")
+    seen = P.box_join(bridge.dwellings(spark, sf).select("property_id", "lat", "lon"), v, [])
+    return seen.groupBy("viewport_id").agg(F.count(F.lit(1)).alias("dwellings"), F.min("property_id").alias("first_id"), F.max("property_id").alias("last_id"), F.sum("property_id").alias("id_sum"))
 
 
 cte("gate0", f"""
@@ -265,10 +272,17 @@ def coarsen(spark: SparkSession, sf: str) -> DataFrame:
     return M.map_areas(gated(spark, sf), stats, sales, bridge.country_shapes(spark, sf), TODAY).select("viewport_id", "tier", "area_level").distinct()
 
 
-@query("top_area", gate_sql(f"{_AREAS} SELECT viewport_id, area_code, place FROM ranked WHERE place<=5 AND year<={_TY}"))
+@query("top_area", gate_sql(f"{_AREAS} SELECT viewport_id, area_code, place FROM ranked WHERE year<={_TY}"))
 def top_area(spark: SparkSession, sf: str) -> DataFrame:
     stats, sales = stats_and_sales(spark, sf)
-    return M.map_areas(gated(spark, sf), stats, sales, bridge.country_shapes(spark, sf), TODAY).where("place <= 5").select("viewport_id", "area_code", "place")
+    return M.map_areas(gated(spark, sf), stats, sales, bridge.country_shapes(spark, sf), TODAY).select("viewport_id", "area_code", "place")
+
+
+@query("dq_priced_shown", gate_sql(f"{_AREAS} SELECT 'priced and shown once' AS rule, count(*) AS checked, 0::BIGINT AS broken FROM ranked WHERE year<={_TY}"))
+def dq_priced_shown(spark: SparkSession, sf: str) -> DataFrame:
+    """Over all rows that the map shows."""
+    stats, sales = stats_and_sales(spark, sf)
+    return Q.dq_priced_shown(M.map_areas(gated(spark, sf), stats, sales, bridge.country_shapes(spark, sf), TODAY), 100.0, 1e8)
 
 
 @query("agg_live", gate_sql(f"{_AREAS} SELECT viewport_id, CASE l WHEN 1 THEN 'street' ELSE 'postcode' END AS area_level, area_code, round(median_price,6) AS median_price, n AS transaction_count FROM live"))

@@ -12,10 +12,17 @@ from ..functions import text as X
 BOM = "﻿"
 
 
+REGISTER_SCHEMA = ", ".join(f"{c} string" for c in [*K.REGISTER_COLUMNS, "_short"])
+REGISTER_OPTIONS = {"columnNameOfCorruptRecord": "_short", "emptyValue": ""}
+
+
 def read_register(spark: SparkSession, paths: list[str] | str) -> tuple[DataFrame, DataFrame]:
     """Headerless 16-column register, plain or gzip: (raw rows, rows with too few fields)."""
-    schema = ", ".join(f"{c} string" for c in [*K.REGISTER_COLUMNS, "_short"])
-    raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_short").option("emptyValue", "").csv(paths, header=False)
+    return split_short(spark.read.schema(REGISTER_SCHEMA).options(**REGISTER_OPTIONS).csv(paths, header=False))
+
+
+def split_short(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows as read, batch or stream: (rows, rows with too few fields)."""
     raw = raw.withColumn("record_id", F.regexp_replace("record_id", "^" + BOM, ""))
     short = F.col("_short").isNotNull() & F.col("status").isNull()
     return raw.where(~short).drop("_short"), raw.where(short)

@@ -26,6 +26,35 @@ def test_replay_changes_nothing(spark):
     assert (row.v, row.s, row.g) == (3, "c", 2.0)
 
 
+def test_bucket_number_stays_with_the_table(spark):
+    path = fresh_path(spark, "t")
+    rows = spark.range(50).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v"))
+    U.upsert_into(path, rows, ["k"], buckets=8)
+    U.upsert_into(path, rows.withColumn("v", F.col("v") + 1), ["k"], buckets=16)
+    assert sorted(r.v for r in U.read_table(spark, path).collect()) == list(range(1, 51))
+
+
+def test_rows_of_one_key_are_not_mixed(spark):
+    path = fresh_path(spark, "t")
+    rows = [("x", i, f"s{i}", 2 * i) for i in range(20)]
+    U.upsert_into(path, spark.createDataFrame(rows, "k string, a int, b string, c int").repartition(7), ["k"])
+    row = U.read_table(spark, path).first()
+    assert tuple(row) in rows and U.read_table(spark, path).count() == 1
+
+
+def test_refresh_touches_the_group_a_sale_leaves(spark):
+    from hearthline import bridge
+    from hearthline.operators import area_stats as A
+    from hearthline.streaming.incremental import refresh_area_stats
+    old = bridge.sales(spark, "/root/testdata/sf0.001")
+    moved = old.where("sale_area = 7 AND year = 1999")
+    now = old.join(moved.select("sale_key"), "sale_key", "left_anti").select(*old.columns).unionByName(moved.withColumn("year", F.lit(1997)))
+    changed = moved.withColumn("year", F.lit(1997))
+    fresh = refresh_area_stats(A.agg_area_stats(old), now, changed, moved)
+    columns = [*A.AREA_KEYS, "transaction_count", "median_price"]
+    assert sorted(map(str, fresh.select(*columns).collect())) == sorted(map(str, A.agg_area_stats(now).select(*columns).collect()))
+
+
 def test_shapes(spark):
     ell = [(0.0, 0.0), (4.0, 0.0), (4.0, 1.0), (1.0, 1.0), (1.0, 4.0), (0.0, 4.0)]
     square = [(0.2, 0.2), (0.8, 0.2), (0.8, 0.8), (0.2, 0.8)]
