@@ -6,8 +6,8 @@ signature read from its own start, round to the end and on, so that the neighbou
 longest common prefix. A region is a set of classes with one prefix. Its depth adapts to how full it is:
 
 * regions start at `depth` values; one with at most `region` classes gives all its pairs as candidates;
-* a fuller one gives each class's pair with the region's pivot and is cut by the next values, twice as deep each time,
-  to the end of the signature. The pivot is the class closest to the region's consensus, the most frequent value at
+* a fuller one gives each class's pair with the region's pivot and is cut by the next values, four times as deep each
+  time, to the end of the signature. The pivot is the class closest to the region's consensus, the most frequent value at
   each place of the signature, so a large group of copies of one text is held together by that text and not by chance
   neighbours.
 
@@ -47,7 +47,7 @@ class Forest:
     shingle: int = 5
     trees: int = 16
     depth: int = 4
-    region: int = 24
+    region: int = 32
     sample: int = 256
 
     @property
@@ -187,7 +187,7 @@ def candidates(classes: DataFrame, forest: Forest) -> DataFrame:
                                 F.when(first, F.col("pn")).otherwise(F.col("n")).alias("nb")))
         if depth >= forest.values:
             break
-        depth, inside = min(depth * 2, forest.values), large.select("rep", "tree")
+        depth, inside = min(depth * 4, forest.values), large.select("rep", "tree")
     pairs = found[0]
     for p in found[1:]:
         pairs = pairs.unionByName(p)
