@@ -262,10 +262,18 @@ def _window_groups(window: int, parts: int):
         anchor, doc, key, start, size, raw = (np.concatenate(x) for x in zip(*[_unpress(b) for b in blobs]))
         size = size.astype(np.int64)
         begin, many = np.cumsum(size) - size, size - window + 1
-        run = np.repeat(np.arange(len(size)), many)
-        inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        sums = B.Chunk(raw, np.array([0, len(raw)]), 0).sums()
-        code = B.pieces(sums, begin[run] + inside, begin[run] + inside + window) ^ B.mix(anchor)[run]
+        run = np.repeat(np.arange(len(size), dtype=np.int32), many)
+        inside = (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32)
+        code = np.empty(len(run), dtype=B.U64)
+        edge = np.cumsum(many) - many
+        at = 0
+        while at < len(size):  # some runs at a time
+            to = max(at + 1, int(np.searchsorted(begin, begin[at] + CHUNK_BYTES)))
+            some = slice(edge[at], edge[to] if to < len(size) else len(run))
+            own = raw[begin[at]:begin[to] if to < len(size) else len(raw)]
+            first = begin[run[some]] - begin[at] + inside[some]
+            code[some] = B.pieces(B.Chunk(own, np.array([0, len(own)]), 0).sums(), first, first + window) ^ B.mix(anchor[run[some]])
+            at = to
         order, _, later = _later(code, doc[run])
         gone = np.sort(order[later])
         if not len(gone):
@@ -318,6 +326,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, key:
 
     def met(more: DataFrame) -> DataFrame:
         return more.unionByName(texts).repartition(parts, "part").sortWithinPartitions("part", "kind")
-    opened = met(marks).mapInArrow(_by_part(_cut_runs(groups)), BLOBS)
-    windows = cut_lineage(opened.repartition(groups, "part").sortWithinPartitions("kind", "part").mapInArrow(_grouped(_window_groups(window, parts)), BLOBS))
+    opened = met(marks).mapInArrow(_by_part(_cut_runs(2 * groups)), BLOBS)
+    windows = cut_lineage(opened.repartition(2 * groups, "part").sortWithinPartitions("kind", "part").mapInArrow(_grouped(_window_groups(window, parts)), BLOBS))
     return met(marks.unionByName(windows)).mapInArrow(_by_part(_finish), "doc_id long, n_bytes long, spans array<struct<first:long,last:long>>, kept binary")
