@@ -75,14 +75,7 @@ CUBE_AGGREGATES = ["EU", "EU27_2020", "EU28", "EU15", "EU25", "EA", "EA11", "EA1
 CUBE_ISO_FIXES = {"EL": "GR", "UK": "GB"}
 INDEX_FLAVOURS = ["purchase-only", "all-transactions"]
 PROVINCE_ALIASES = {"Fryslân": "Friesland"}
-DANISH_REGION_ALIASES = {"Sjælland": "Sjaælland"}
-SWEDISH_COUNTY_ALIASES = {"Örebro": "Orebro"}
 SWEDISH_PRICE_CODE, SWEDISH_COUNT_CODE = "BO0501O4", "BO0501O3"
-IRISH_COUNTY_SHAPES = {
-    "Dublin": ["Dublin", "Dún Laoghaire–Rathdown", "Fingal", "South Dublin"],
-    "Tipperary": ["North Tipperary", "South Tipperary"],
-    "Laois": ["Laoighis"],
-}
 AUSTRALIAN_STATES = {
     "AUS": "Australia", "1": "New South Wales", "2": "Victoria", "3": "Queensland",
     "4": "South Australia", "5": "Western Australia", "6": "Tasmania", "7": "Northern Territory",
@@ -171,7 +164,6 @@ OWN_MAX_SHARE, OWN_DECAY_YEARS = 0.55, 7.0
 OWN_EVIDENCE_SHARE, OWN_EVIDENCE_OFFSET = 0.65, 4.0
 NEAREST_LIMIT = 160
 MIN_SERIES_POINTS, MAX_MONTH_GAP = 24, 6
-GRADES = ["HIGH", "MEDIUM", "LOW", "VERY_LOW"]
 GRADE_FLOORS = (4.2, 2.2, 0.6)
 GRADE_HALF_WIDTH = {"HIGH": 0.075, "MEDIUM": 0.125, "LOW": 0.200, "VERY_LOW": 0.300}
 BACKCAST_PER_YEAR, BACKCAST_CAP, BACKCAST_NONLOCAL, BACKCAST_BASE = 0.012, 0.22, 0.04, 0.12
@@ -197,8 +189,6 @@ EXPORT_TABLES = {
 }
 EXPORT_FILTERS = {"lean": {"area_stats": "area_level <> 'sector'",
                            "market_indices": "period >= DATE '1995-01-01'"}}
-EXPORT_NOTE = ("This deployment holds precomputed area statistics only: the individual sale records "
-               "are not present, so no individual property figures, comparables or valuations are "
-               "available here.")
+EXPORT_NOTE = "Exported without single sales: area figures only, nothing for one dwelling."
 EARTH_RADIUS_M = 6371008.771415
 METRES_PER_DEGREE = 111320.0

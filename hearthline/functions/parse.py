@@ -54,8 +54,3 @@ def sale_year(col: Column) -> Column:
 def month_no(col: Column) -> Column:
     """Months since year zero; differences ignore the day of month."""
     return F.year(col) * 12 + F.month(col)
-
-
-def python_round(col: Column, digits: int = 0) -> Column:
-    """Half-even rounding, as used for displayed figures."""
-    return F.bround(col, digits)

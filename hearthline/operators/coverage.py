@@ -61,13 +61,13 @@ def statistics_only(stats: DataFrame, indices: DataFrame, sales: DataFrame) -> D
     rows = without_sales(candidates, sales).join(evidence, "country", "left").join(held, "country", "left")
     priced = F.coalesce("has_price", F.lit(False))
     plural = F.when(F.col("price_areas") == 1, "area, ").otherwise("areas, ")
-    word = F.when(F.col("price_statistic") == "MEAN", "Average (mean) prices").otherwise("Median prices")
-    origin = F.when(F.col("price_basis") == "OFFICIAL_STATISTIC", "published by the national statistics office").otherwise("computed from recorded sales")
+    word = F.when(F.col("price_statistic") == "MEAN", "Mean prices").otherwise("Median prices")
+    origin = F.when(F.col("price_basis") == "OFFICIAL_STATISTIC", "from official statistics").otherwise("from registered sales")
     count = F.when(F.col("sale_count") > 0, F.concat(F.lit(" ("), F.format_number("sale_count", 0), F.lit(" sales)"))).otherwise("")
     price_note = F.concat(word, F.lit(" for "), F.col("price_areas").cast("string"), F.lit(" "), "price_level", F.lit("-level "), plural, origin, count)
     grain = F.when(F.col("index_areas") == 1, "national level only").otherwise(
         F.concat(F.col("index_areas").cast("string"), F.lit(" "), F.coalesce("index_level", F.lit("national")), F.lit("-level areas")))
-    index_note = F.concat(F.lit("An index of change exists at "), grain, F.lit(", but no price level."))
+    index_note = F.concat(F.lit("Only an index exists, at "), grain, F.lit("; it gives no price."))
     return rows.select(
         "country", F.lit("official_statistics").alias("provider_key"), F.lit(False).alias("transaction_level"),
         F.when(priced, "CITY_REGIONAL").otherwise("NONE").alias("max_precision"), F.when(priced, "REGION").alias("coordinate_precision"),

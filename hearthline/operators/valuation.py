@@ -133,19 +133,19 @@ def grade_reasons(horizon_years: Column) -> Column:
     weight, far, spread = F.col("effective_weight"), F.col("median_distance_m"), F.col("dispersion")
     months, own = F.col("months_to_nearest"), F.col("own_years")
     parts = [
-        F.when(weight >= 6, F.concat(n, F.lit(" nearby comparable sales"))).when(weight >= 3, F.concat(F.lit("only "), n, F.lit(" nearby comparable sales")))
-        .otherwise(F.concat(F.lit("very few comparable sales ("), n, F.lit(")"))),
-        F.when(far <= 400, "comparables are on or beside the same street").when(far <= 1000, "comparables are within the immediate neighbourhood")
-        .when(far > 2500, "comparables are spread over a wide area"),
-        F.when(spread <= 0.14, "comparable prices agree closely").when(spread > 0.38, "comparable prices vary widely")
-        .when(spread > 0.24, "comparable prices vary considerably"),
-        F.when(F.col("top_similarity") < 0.5, "no closely-matching comparable found"),
-        F.when(months > 36, "the nearest evidence is more than three years old"),
-        F.when(F.col("adjustment_level") == "country", "only a national price index was available for this area")
-        .when(~F.col("adjustment_level").isin("local_authority", "region"), "no official price index could be applied"),
-        F.when(own <= 4, F.concat(F.lit("the property itself sold "), F.bround(own).cast("int").cast("string"), F.lit(" year(s) ago")))
-        .when(own <= 10, "the property has a recorded sale within the last decade"),
-        F.when(horizon_years > 0, F.concat(F.lit("forecast "), F.bround(horizon_years).cast("int").cast("string"), F.lit(" years ahead"))),
+        F.when(weight >= 6, F.concat(n, F.lit(" sales close by"))).when(weight >= 3, F.concat(F.lit("no more than "), n, F.lit(" sales close by")))
+        .otherwise(F.concat(F.lit("hardly any sales to compare ("), n, F.lit(")"))),
+        F.when(far <= 400, "compared sales lie a few doors away").when(far <= 1000, "compared sales lie in the neighbourhood")
+        .when(far > 2500, "compared sales lie far apart"),
+        F.when(spread <= 0.14, "their prices are close together").when(spread > 0.38, "their prices differ a great deal")
+        .when(spread > 0.24, "their prices differ noticeably"),
+        F.when(F.col("top_similarity") < 0.5, "none of them resembles the dwelling well"),
+        F.when(months > 36, "the latest of them is over three years old"),
+        F.when(F.col("adjustment_level") == "country", "prices were moved with a national index")
+        .when(~F.col("adjustment_level").isin("local_authority", "region"), "prices were not moved with any index"),
+        F.when(own <= 4, F.concat(F.lit("own sale "), F.bround(own).cast("int").cast("string"), F.lit(" year(s) ago")))
+        .when(own <= 10, "own sale within ten years"),
+        F.when(horizon_years > 0, F.concat(F.lit("projected ahead by "), F.bround(horizon_years).cast("int").cast("string"), F.lit(" years"))),
     ]
     return F.array_compact(F.array(*parts))
 

@@ -68,8 +68,8 @@ def anti_txn_country(spark: SparkSession, sf: str) -> DataFrame:
 WITH ev AS ({_EVID}), cand AS (SELECT country FROM ev WHERE has_price UNION SELECT country FROM held_index), ix AS (SELECT country, min(period) AS f, max(period) AS l, count(DISTINCT area_code) AS n, max(area_level) AS lv FROM held_index GROUP BY 1)
 SELECT k.country, CASE WHEN has_price THEN 'CITY_REGIONAL' ELSE 'NONE' END AS max_precision, CASE WHEN has_price THEN 'REGION' END AS coordinate_precision,
   CASE WHEN has_price THEN make_date(CAST(price_from AS INTEGER),1,1) ELSE f END AS historical_from, CASE WHEN has_price THEN make_date(CAST(price_to AS INTEGER),12,31) ELSE l END AS historical_to,
-  CASE WHEN has_price THEN 'Median prices for '||price_areas||' '||price_level||'-level areas, computed from recorded sales ('||format('{{:,}}',sale_count)||' sales)'
-    ELSE 'An index of change exists at '||CASE WHEN ix.n=1 THEN 'national level only' ELSE ix.n||' '||lv||'-level areas' END||', but no price level.' END AS notes
+  CASE WHEN has_price THEN 'Median prices for '||price_areas||' '||price_level||'-level areas, from registered sales ('||format('{{:,}}',sale_count)||' sales)'
+    ELSE 'Only an index exists, at '||CASE WHEN ix.n=1 THEN 'national level only' ELSE ix.n||' '||lv||'-level areas' END||'; it gives no price.' END AS notes
 FROM cand k LEFT JOIN ev USING (country) LEFT JOIN ix USING (country) WHERE k.country NOT IN (SELECT country FROM held_sales)""")
 def cov_stats_only(spark: SparkSession, sf: str) -> DataFrame:
     sales, idx, stats = held(spark, sf)

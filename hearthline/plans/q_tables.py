@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import bridge
 from ..operators import area_stats as A
-from ..operators import index_series as I
 from ..operators import ledger as L
 from ..operators import upsert as U
 from ..session import fresh_path

@@ -275,13 +275,13 @@ def val_avm(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _REASONS = """array_to_string(list_filter([
-  CASE WHEN effective_weight>=6 THEN comparable_count||' nearby comparable sales' WHEN effective_weight>=3 THEN 'only '||comparable_count||' nearby comparable sales' ELSE 'very few comparable sales ('||comparable_count||')' END,
-  CASE WHEN median_distance_m<=400 THEN 'comparables are on or beside the same street' WHEN median_distance_m<=1000 THEN 'comparables are within the immediate neighbourhood' WHEN median_distance_m>2500 THEN 'comparables are spread over a wide area' END,
-  CASE WHEN dispersion<=0.14 THEN 'comparable prices agree closely' WHEN dispersion>0.38 THEN 'comparable prices vary widely' WHEN dispersion>0.24 THEN 'comparable prices vary considerably' END,
-  CASE WHEN top_similarity<0.5 THEN 'no closely-matching comparable found' END,
-  CASE WHEN months_to_nearest>36 THEN 'the nearest evidence is more than three years old' END,
-  CASE WHEN adjustment_level='country' THEN 'only a national price index was available for this area' END,
-  CASE WHEN own_years<=4 THEN 'the property itself sold '||CAST(round_even(own_years,0) AS INTEGER)||' year(s) ago' WHEN own_years<=10 THEN 'the property has a recorded sale within the last decade' END], lambda x: x IS NOT NULL),'; ')"""
+  CASE WHEN effective_weight>=6 THEN comparable_count||' sales close by' WHEN effective_weight>=3 THEN 'no more than '||comparable_count||' sales close by' ELSE 'hardly any sales to compare ('||comparable_count||')' END,
+  CASE WHEN median_distance_m<=400 THEN 'compared sales lie a few doors away' WHEN median_distance_m<=1000 THEN 'compared sales lie in the neighbourhood' WHEN median_distance_m>2500 THEN 'compared sales lie far apart' END,
+  CASE WHEN dispersion<=0.14 THEN 'their prices are close together' WHEN dispersion>0.38 THEN 'their prices differ a great deal' WHEN dispersion>0.24 THEN 'their prices differ noticeably' END,
+  CASE WHEN top_similarity<0.5 THEN 'none of them resembles the dwelling well' END,
+  CASE WHEN months_to_nearest>36 THEN 'the latest of them is over three years old' END,
+  CASE WHEN adjustment_level='country' THEN 'prices were moved with a national index' END,
+  CASE WHEN own_years<=4 THEN 'own sale '||CAST(round_even(own_years,0) AS INTEGER)||' year(s) ago' WHEN own_years<=10 THEN 'own sale within ten years' END], lambda x: x IS NOT NULL),'; ')"""
 
 
 @query("val_confidence", f"WITH {avm_ctes(NOW)} SELECT property_id, confidence, round(score,6) AS score, {_REASONS} AS reasons FROM est WHERE NOT thin")
