@@ -36,14 +36,14 @@ from ..session import cut_lineage
 from . import bytecode as B
 
 WINDOW, GRAM = 50, 20
-SLICE_BYTES, PACK_BYTES, CHUNK_BYTES = 8 << 20, 2 << 20, 1 << 19
-RUN_GROUP_BYTES, TEXT_GROUP_BYTES = 16 << 20, 8 << 20
+SLICE_BYTES, PACK_BYTES, CHUNK_BYTES = 8 << 20, 4 << 20, 1 << 19
+RUN_GROUP_BYTES, TEXT_GROUP_BYTES = 16 << 20, 16 << 20
 BLOBS = "kind int, part int, data binary"
-_DIGITS, _MARKS, _TEXTS = 0, 1, 2
+_DIGITS, _MARKS, _OPEN, _TEXTS = 0, 1, 2, 3  # what a blob holds: runs, ranges to remove, ranges to look at, texts
 
 
 def _press(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    return zstandard.ZstdCompressor(level=6).compress(pickle.dumps(arrays, protocol=5))
 
 
 def _unpress(data: bytes) -> tuple:
@@ -93,11 +93,11 @@ def _split(part: np.ndarray, kind: int, arrays: list[np.ndarray]) -> list[tuple[
     return [(kind, int(p), _press(*[a[o] for a in arrays])) for p, o in zip(found, np.split(order, cut[1:]))] if len(part) else []
 
 
-def _marks(rows: np.ndarray, start: np.ndarray, length: np.ndarray, anchor: np.ndarray, parts: int) -> list[tuple[int, int, bytes]]:
-    """Ranges for the documents: to remove (anchor 0), or to be looked at by window."""
+def _marks(kind: int, rows: np.ndarray, start: np.ndarray, length: np.ndarray, anchor: np.ndarray | None, parts: int) -> list[tuple[int, int, bytes]]:
+    """Ranges for the documents: to remove, or (with their anchors) to be looked at by window."""
     order = np.lexsort((start, rows))
-    arrays = [rows, start.astype(np.uint32), length.astype(np.uint32), anchor]
-    return _split((rows % B.U64(parts)).astype(np.int64)[order], _MARKS, [a[order] for a in arrays])
+    arrays = [rows, start.astype(np.uint32), length.astype(np.uint32), *([] if anchor is None else [anchor])]
+    return _split((rows % B.U64(parts)).astype(np.int64)[order], kind, [a[order] for a in arrays])
 
 
 def _later(value: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +115,7 @@ def _settle(found: list, keys: np.ndarray, ids: np.ndarray, window: int, groups:
     word = (anchor & ~B.U64((1 << 40) - 1)) | (code >> B.U64(24))
     order, _, later = _later(word, ids[row])
     gone, stay = order[later], np.sort(order[~later])
-    out = _marks(keys[row[gone]], start[gone], length[gone], np.zeros(len(gone), dtype=B.U64), parts)
+    out = _marks(_MARKS, keys[row[gone]], start[gone], length[gone], None, parts)
     group = (anchor[stay] % B.U64(groups)).astype(np.int64)
     deal = np.argsort(group, kind="stable")
     g, cut = np.unique(group[deal], return_index=True)
@@ -176,10 +176,9 @@ def _run_groups(parts: int):
         edge = np.flatnonzero(np.r_[True, top[1:] != top[:-1]])
         alone = np.repeat(np.diff(np.r_[edge, len(top)]) == 1, np.diff(np.r_[edge, len(top)]))
         open_ = ~np.repeat(alone, np.diff(np.r_[cut, len(order)])) & ~later
-        keep = later | open_
-        o = order[keep]
-        anchor = np.where(later[keep], B.U64(0), ((word[o] >> B.U64(40) << B.U64(32)) | B.U64(part)) + B.U64(1))
-        return _marks(key[o], start[o], length[o], anchor, parts)
+        gone, more = order[later], order[open_]
+        anchor = (word[more] >> B.U64(40) << B.U64(32)) | B.U64(part)
+        return _marks(_MARKS, key[gone], start[gone], length[gone], None, parts) + _marks(_OPEN, key[more], start[more], length[more], anchor, parts)
     return work
 
 
@@ -217,23 +216,19 @@ def _by_part(work: Callable[[list[bytes], list[bytes]], pa.RecordBatch | None]):
     return run
 
 
-def _gather(marks: list[bytes], pending: bool) -> tuple[np.ndarray, ...]:
-    cols = []
-    for b in marks:
-        key, start, length, anchor = _unpress(b)
-        own = (anchor != 0) == pending
-        cols.append((key[own], start[own].astype(np.int64), length[own].astype(np.int64), anchor[own]))
-    if not cols:
-        return np.zeros(0, B.U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, B.U64)
-    key, start, length, anchor = (np.concatenate(x) for x in zip(*cols))
-    order = np.lexsort((start, key))
-    return key[order], start[order], length[order], anchor[order]
+def _gather(marks: list[bytes], columns: int) -> tuple[np.ndarray, ...]:
+    """All ranges of a part in order of row and start: row key, start, length and, where there is one, the anchor."""
+    if not marks:
+        return tuple(np.zeros(0, t) for t in (B.U64, np.int64, np.int64, B.U64)[:columns])
+    found = [np.concatenate(x) for x in zip(*[_unpress(b) for b in marks])]
+    order = np.lexsort((found[1], found[0]))
+    return tuple(x[order] if x.dtype == B.U64 else x[order].astype(np.int64) for x in found)
 
 
 def _cut_runs(groups: int):
     """The bytes of the runs that are to be looked at by window, dealt by anchor."""
     def work(marks: list[bytes], texts: list[bytes]) -> pa.RecordBatch | None:
-        key, start, length, anchor = _gather(marks, True)
+        key, start, length, anchor = _gather(marks, 4)
         out = []
         for b in texts:
             ids, known, keys, sizes, data = _unpress(b)
@@ -282,7 +277,7 @@ def _window_groups(window: int, parts: int):
         fresh = np.r_[True, (r[1:] != r[:-1]) | (i[1:] != i[:-1] + 1)]
         a = np.flatnonzero(fresh)
         z = np.r_[a[1:], len(gone)] - 1
-        return _marks(key[r[a]], start[r[a]].astype(np.int64) + i[a], i[z] - i[a] + window, np.zeros(len(a), dtype=B.U64), parts)
+        return _marks(_MARKS, key[r[a]], start[r[a]].astype(np.int64) + i[a], i[z] - i[a] + window, None, parts)
     return work
 
 
@@ -290,7 +285,7 @@ _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
 def _finish(marks: list[bytes], texts: list[bytes]) -> pa.RecordBatch | None:
-    key, start, length, _ = _gather(marks, False)
+    key, start, length = _gather(marks, 3)
     ids_out, sizes_out, spans, kept = [], [], [], []
     for b in texts:
         ids, known, keys, sizes, data = _unpress(b)
@@ -326,6 +321,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, key:
 
     def met(more: DataFrame) -> DataFrame:
         return more.unionByName(texts).repartition(parts, "part").sortWithinPartitions("part", "kind")
-    opened = met(marks).mapInArrow(_by_part(_cut_runs(2 * groups)), BLOBS)
+    opened = met(marks.where(F.col("kind") == _OPEN)).mapInArrow(_by_part(_cut_runs(2 * groups)), BLOBS)
     windows = cut_lineage(opened.repartition(2 * groups, "part").sortWithinPartitions("kind", "part").mapInArrow(_grouped(_window_groups(window, parts)), BLOBS))
-    return met(marks.unionByName(windows)).mapInArrow(_by_part(_finish), "doc_id long, n_bytes long, spans array<struct<first:long,last:long>>, kept binary")
+    return met(marks.where(F.col("kind") == _MARKS).unionByName(windows)).mapInArrow(_by_part(_finish), "doc_id long, n_bytes long, spans array<struct<first:long,last:long>>, kept binary")
