@@ -1,23 +1,25 @@
 """Near-duplicate documents with an LSH forest over MinHash signatures.
 
 A document's set is its distinct shingles of `shingle` words (its whole word sequence if it has fewer). Documents of
-equal sets are collapsed into one class. The signature is cut into `trees` runs; each tree orders the classes by the
-signature read from its own start, round to the end and on, so that the neighbours of a class are those with the
-longest common prefix. A region is a set of classes with one prefix. Its depth adapts to how full it is:
-
-* regions start at `depth` values; one with at most `region` classes gives all its pairs as candidates;
-* a fuller one gives each class's pair with the region's pivot and is cut by the next values, four times as deep each
-  time, to the end of the signature. The pivot is the class closest to the region's consensus, the most frequent value at
-  each place of the signature, so a large group of copies of one text is held together by that text and not by chance
-  neighbours.
+equal sets are collapsed into one class. The signature is cut into `trees` runs of `depth` values; a region is a set of
+classes with one run. Every pair of classes that shares a region is compared, however full the region is:
+
+* a region with at most `region` classes gives all its pairs as candidates;
+* a fuller one first gives each class's pair with the region's pivot, the class closest to the region's consensus, the
+  most frequent value at each place of the signature. These candidates are verified and their components found;
+* then classes outside the pivot's component meet all others of the region that are in another component than they.
+  Both sides are cut into blocks of at most about `block` classes and `load` shingles, and each pair of blocks is one unit
+  of work. A unit compares signatures: pairs that agree on fewer values than a pair at the threshold does with
+  probability 1 - 1e-7 are left out. Classes that have a pair left get their texts, and the unit returns verified edges
+  of a spanning forest.
 
 Candidates are pairs of ids; each is verified on the two full sets. No pair list of a large region is ever made, and no
 region's rows are collected: regions are counted with map-side combining, and consensus is taken from a sample of a
-region (that only names the pivot; every class meets it).
+region (that only names the pivot; every class meets it). The comparisons inside a full region are quadratic in its
+number of classes where most are outside the pivot's component; a group of copies around one text is not.
 
 With 16 trees of depth 4 a pair of similarity 0.85 misses every region it could share with probability
-(1 - 0.85^4)^16, below 0.00001. Links between two outer members of a group that outgrew `region` are found through
-deeper regions and pivots, with a probability that falls with the group's size; see README for measured recall.
+(1 - 0.85^4)^16, below 0.00001, in full regions as in others.
 
 Null and empty texts have no shingles and link with nothing. Rows with a null id link with nothing, have a null
 component and are kept. Rows with one id are one document for linking. Columns that the operator adds replace columns
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,8 @@ from ..session import cut_lineage
 from . import bytecode as B
 from .graph import components
 
+PAIRS_AT_ONCE = 20_000
+
 
 @dataclass(frozen=True)
 class Forest:
@@ -49,11 +54,22 @@ class Forest:
     depth: int = 4
     region: int = 32
     sample: int = 256
+    block: int = 256
+    load: int = 1 << 20
 
     @property
     def values(self) -> int:
         return self.trees * self.depth
 
+    @property
+    def need(self) -> int:
+        """Equal values of two signatures that a pair at the threshold has with probability 1 - 1e-7."""
+        p, miss, need = self.percent / 100, 0.0, 0
+        while miss + comb(self.values, need) * p ** need * (1 - p) ** (self.values - need) < 1e-7:
+            miss += comb(self.values, need) * p ** need * (1 - p) ** (self.values - need)
+            need += 1
+        return need
+
     def seeds(self) -> tuple[np.ndarray, np.ndarray]:
         n = np.arange(1, self.values + 1, dtype=B.U64)
         return B.mix(n) | B.U64(1), B.mix(n + B.U64(1 << 32))
@@ -112,8 +128,8 @@ def _sign(forest: Forest, text: str):
     return run
 
 
-def _prefixes(forest: Forest, depth: int):
-    """Keys of the regions of `depth` values: of all trees, or of the tree in the second column's place."""
+def _prefixes(forest: Forest):
+    """Keys of the regions of each class, one for each tree."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signs = batch.column(batch.schema.get_field_index("sign")).to_pylist()
@@ -121,8 +137,8 @@ def _prefixes(forest: Forest, depth: int):
             keys = np.empty((len(signs), forest.trees), dtype=B.U64)
             for t in range(forest.trees):
                 code = np.full(len(signs), t + 1, dtype=B.U64)
-                for i in range(depth):
-                    code = B.mix(code * B.U64(33) + table[:, (t * forest.depth + i) % forest.values])
+                for i in range(forest.depth):
+                    code = B.mix(code * B.U64(33) + table[:, t * forest.depth + i])
                 keys[:, t] = code
             first = np.arange(len(signs) + 1) * forest.trees
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), B.lists(keys.ravel().view(np.int64), first, pa.int64())], names=["rep", "n", "keys"])
@@ -157,23 +173,16 @@ def _pairs_of(members):
     return F.flatten(at)
 
 
-def candidates(classes: DataFrame, forest: Forest) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of class representatives, from (rep, n, sign)."""
-    found, depth, inside = [], forest.depth, None
-    while True:
-        rows = classes.select("rep", "n", "sign")
-        if inside is not None:
-            rows = rows.join(inside.select("rep").distinct(), "rep", "left_semi")
-        rows = rows.mapInArrow(_prefixes(forest, depth), "rep long, n long, keys array<long>").select("rep", "n", F.posexplode("keys").alias("tree", "region"))
-        if inside is not None:
-            rows = rows.join(inside, ["rep", "tree"], "left_semi")
-        counts = rows.groupBy("region").agg(F.count(F.lit(1)).alias("full")).where("full > 1")
-        rows = cut_lineage(rows.join(counts, "region"))
-        small = rows.where(F.col("full") <= forest.region).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("rep", "n"))).alias("members"))
-        found.append(small.select(F.explode(_pairs_of(F.col("members"))).alias("p")).select("p.*"))
-        large = rows.where(F.col("full") > forest.region)
-        if large.isEmpty():
-            break
+def candidates(classes: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame | None]:
+    """From (rep, n, sign): distinct pairs (a, b), a < b, of class representatives, and (region, tree, rep, n, pivot) of full regions."""
+    rows = (classes.select("rep", "n", "sign").mapInArrow(_prefixes(forest), "rep long, n long, keys array<long>")
+            .select("rep", "n", F.posexplode("keys").alias("tree", "region")))
+    counts = rows.groupBy("region").agg(F.count(F.lit(1)).alias("full")).where("full > 1")
+    rows = cut_lineage(rows.join(counts, "region"))
+    small = rows.where(F.col("full") <= forest.region).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("rep", "n"))).alias("members"))
+    pairs = small.select(F.explode(_pairs_of(F.col("members"))).alias("p")).select("p.*")
+    large, met = rows.where(F.col("full") > forest.region), None
+    if not large.isEmpty():
         signed = large.join(classes.select("rep", "sign"), "rep")
         part = F.pmod(F.xxhash64("rep", "region"), F.col("full")) < forest.sample
         modes = (signed.where(part).groupBy("region").agg(F.collect_list("sign").alias("signs"))  # about `sample` members of each
@@ -181,19 +190,123 @@ def candidates(classes: DataFrame, forest: Forest) -> DataFrame:
         same = signed.select("region", "rep", "sign").join(modes, "region").mapInArrow(_agreement, "region long, rep long, same long")
         pivots = cut_lineage(same.groupBy("region").agg(F.min_by("rep", F.struct(-F.col("same"), "rep")).alias("pivot")))
         named = pivots.join(classes.select(F.col("rep").alias("pivot"), F.col("n").alias("pn")), "pivot")
-        met = large.join(named, "region").where(F.col("rep") != F.col("pivot"))
+        met = cut_lineage(large.join(named, "region").select("region", "tree", "rep", "n", "pivot", "pn"))
         first = F.col("rep") < F.col("pivot")
-        found.append(met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), F.when(first, F.col("n")).otherwise(F.col("pn")).alias("na"),
-                                F.when(first, F.col("pn")).otherwise(F.col("n")).alias("nb")))
-        if depth >= forest.values:
-            break
-        depth, inside = min(depth * 4, forest.values), large.select("rep", "tree")
-    pairs = found[0]
-    for p in found[1:]:
-        pairs = pairs.unionByName(p)
+        pairs = pairs.unionByName(met.where(F.col("rep") != F.col("pivot")).select(
+            F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), F.when(first, F.col("n")).otherwise(F.col("pn")).alias("na"),
+            F.when(first, F.col("pn")).otherwise(F.col("n")).alias("nb")))
     # sizes alone rule out many pairs: the intersection is at most the smaller set, the union at least the larger
     sized = pairs.where(100 * F.least("na", "nb") >= forest.percent * F.greatest("na", "nb"))
-    return cut_lineage(sized.select("a", "b").distinct())
+    return cut_lineage(sized.select("a", "b").distinct()), met
+
+
+def _near_in_unit(forest: Forest, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a unit's rows, in order, that are in two components and whose signatures may be similar enough.
+
+    A pair that shares several regions is looked at in the first of them only.
+    """
+    side, tree, n, comp = (rows[c].to_numpy() for c in ("side", "tree", "n", "comp"))
+    table = np.frombuffer(b"".join(rows["sign"].to_pylist()), dtype=np.uint32).reshape(len(side), forest.values)
+    at, left = 0, []
+    while at < len(side):
+        to = min(len(side), at + max(1, PAIRS_AT_ONCE // len(side)))
+        i, j = np.nonzero(np.arange(at, to)[:, None] < np.arange(len(side))[None, :])
+        i, at = i + at, to
+        fits = ((side[i] == 2) | (side[i] != side[j])) & (comp[i] != comp[j])  # inside one block, or across two
+        fits &= 100 * np.minimum(n[i], n[j]) >= forest.percent * np.maximum(n[i], n[j])
+        i, j = i[fits], j[fits]
+        equal = table[i] == table[j]
+        near = (equal.sum(axis=1) >= forest.need) & (np.argmax(equal.reshape(len(i), forest.trees, forest.depth).all(axis=2), axis=1) == tree[i])
+        left.append(np.stack([i[near], j[near]]))
+    i, j = np.concatenate(left, axis=1)
+    return i, j
+
+
+def _hopeful(forest: Forest):
+    """The rows of a unit that have a pair left."""
+    def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        i, j = _near_in_unit(forest, rows)
+        if len(i):
+            yield from rows.take(pa.array(np.union1d(i, j))).combine_chunks().to_batches()
+    return solve
+
+
+def _spanning(forest: Forest):
+    """Edges between components that join all which the unit's verified pairs join."""
+    def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        i, j = _near_in_unit(forest, rows)
+        comp = rows["comp"].to_numpy()
+        _, root = np.unique(comp, return_inverse=True)
+        sets = []
+        for text in rows["text"].chunks:
+            for chunk in B.chunks(text):
+                value, first = shingle_sets(chunk, forest.shingle)
+                sets += [value[first[r]:first[r + 1]] for r in range(chunk.rows)]
+        edges, cut = [], np.r_[np.flatnonzero(np.r_[True, i[1:] != i[:-1]]), len(i)] if len(i) else [0]
+        for a, z in zip(cut[:-1], cut[1:]):  # the pairs of one row
+            x, other = i[a], j[a:z]
+            other = other[root[other] != root[x]]
+            if not len(other):
+                continue
+            size = np.array([len(sets[y]) for y in other])
+            value = np.concatenate([sets[y] for y in other])
+            place = np.minimum(np.searchsorted(sets[x], value), len(sets[x]) - 1)
+            both = np.add.reduceat((sets[x][place] == value).astype(np.int64), np.cumsum(size) - size)
+            for y in other[100 * both >= forest.percent * (len(sets[x]) + size - both)]:
+                if root[y] != root[x]:
+                    edges.append((comp[x], comp[y]))
+                    root[root == root[y]] = root[x]
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    return solve
+
+
+def _by_unit(solve):
+    """Rows come sorted by unit of work; one that goes on in the next batch is held back."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            rows = new if held is None else pa.concat_tables([held, new])
+            unit = rows["unit"].to_numpy()
+            cut = np.r_[0, np.flatnonzero(unit[1:] != unit[:-1]) + 1]
+            for a, z in zip(cut[:-1], cut[1:]):
+                if z - a > 1:
+                    yield from solve(rows.slice(a, z - a))
+            held = rows.slice(cut[-1])
+        if held is not None and held.num_rows > 1:
+            yield from solve(held)
+    return run
+
+
+def settled(met: DataFrame, classes: DataFrame, parts: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
+    """Edges (a, b) between components (of `parts`) that the pairs of full regions join; docs has (id, text)."""
+    own = parts.select(F.col("node").alias("rep"), "component")
+    pivot = parts.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))
+    rows = met.join(own, "rep", "left").join(pivot, "pivot", "left").select(
+        "region", "tree", "rep", "n", F.coalesce("component", "rep").alias("comp"), (F.coalesce("component", "rep") != F.coalesce("pc", "pivot")).alias("out"))
+    rows = cut_lineage(rows)
+
+    def blocks(kind):
+        return F.ceil(F.greatest(F.count_if(kind) / forest.block, F.coalesce(F.sum(F.when(kind, F.col("n"))), F.lit(0)) / forest.load)).cast("int")
+    cuts = rows.groupBy("region").agg(blocks(F.col("out")).alias("k"), blocks(~F.col("out")).alias("m")).where("k > 0")
+    placed = rows.join(cuts, "region")
+    # blocks 0 to k - 1 are outside the pivot's component and meet all; the m others meet those
+    mine = F.when(F.col("out"), F.pmod(F.xxhash64("rep"), F.col("k"))).otherwise(F.col("k") + F.pmod(F.xxhash64("rep"), F.col("m"))).cast("int")
+    last = F.when(F.col("out"), F.col("k") + F.col("m") - 1).otherwise(F.col("k") - 1)
+    work = placed.withColumn("own", mine).select("region", "tree", "rep", "n", "comp", "own", F.explode(F.sequence(F.lit(0), last)).alias("with"))
+    unit = F.xxhash64("region", F.least("own", "with"), F.greatest("own", "with"))
+    side = F.when(F.col("own") == F.col("with"), 2).otherwise((F.col("own") > F.col("with")).cast("int"))
+    work = work.select(unit.alias("unit"), side.alias("side"), "tree", "rep", "n", "comp").join(classes.select("rep", "sign"), "rep")
+    shape = ["unit", "side", "tree", "rep", "n", "comp", "sign"]
+    hopeful = cut_lineage(work.select(*shape).repartition("unit").sortWithinPartitions("unit").mapInArrow(
+        _by_unit(_hopeful(forest)), "unit long, side int, tree int, rep long, n long, comp long, sign binary"))
+    needed = hopeful.select(F.col("rep").alias("id")).distinct()
+    texts = docs.join(needed.hint("merge"), "id", "left_semi").dropDuplicates(["id", "text"]).select(F.col("id").alias("rep"), "text")
+    return cut_lineage(hopeful.join(texts, "rep").select(*shape, "text").repartition("unit").sortWithinPartitions("unit")
+                       .mapInArrow(_by_unit(_spanning(forest)), "a long, b long").distinct())
 
 
 def _verify(forest: Forest):
@@ -233,12 +346,20 @@ def link(docs: DataFrame, forest: Forest = Forest(), key: str = "doc_id", text:
     some = signed.where("n > 0 AND id IS NOT NULL")
     groups = cut_lineage(some.groupBy("print1", "print2", "n").agg(F.min("id").alias("rep")))
     classes = cut_lineage(some.join(groups, ["print1", "print2", "n"]).where("id = rep").select("rep", "n", "sign").dropDuplicates(["rep", "sign"]))
-    links = cut_lineage(verified(candidates(classes, forest), plain, forest).distinct())
+    pairs, met = candidates(classes, forest)
+    links = cut_lineage(verified(pairs, plain, forest).distinct())
     # rows of one id are one node even where their texts differ
     same = some.join(groups, ["print1", "print2", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
     repeated = some.groupBy("id").agg(F.count_distinct("print1", "print2", "n").alias("k")).where("k > 1").select(F.col("id").alias("a"))
     tied = same.join(repeated, "a", "left_semi")
     parts = components(links.unionByName(tied), "a", "b")
+    if met is not None:
+        more = settled(met, classes, parts, plain, forest)
+        if not more.isEmpty():
+            joined = components(more, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+            inside = parts.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+            alone = joined.select(F.col("component").alias("node"), F.col("whole").alias("component")).join(parts.select("node"), "node", "left_anti")
+            parts = cut_lineage(inside.unionByName(alone))
     by_class = groups.join(parts, groups.rep == parts.node, "left").select("print1", "print2", "n", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n", "print1", "print2").join(by_class, ["print1", "print2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))

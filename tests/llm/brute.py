@@ -1,6 +1,7 @@
 """Plain Python versions of the operators, for small inputs."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -113,3 +114,15 @@ def repeats(docs, window=50):
 def license_places(text):
     w = words(text)
     return sorted((i, name) for name, p in LICENSES.items() for i in range(len(w)) if w[i:i + len(p.split())] == p.split())
+
+
+def crowd(share, apart, alone=70, pairs=40):
+    """Texts of which all share `share` of 200 words, and of these `pairs` pairs that differ in their last `apart` words only."""
+    rng = random.Random(4)
+    new = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    base, own = new(int(200 * share)), 200 - int(200 * share)
+    texts = [base + new(own) for _ in range(alone)]
+    for _ in range(pairs):
+        tail = new(own - apart)
+        texts += [base + tail + new(apart), base + tail + new(apart)]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]

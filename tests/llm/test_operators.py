@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from brute import contamination, dedup_lines, license_places, near_copies, repeats
+from brute import contamination, crowd, dedup_lines, license_places, near_copies, repeats
 from pyspark.sql import functions as F
 
 from hearthline.llm import decontam, embeddings, graph, langid, licenses, linededup, minhash, mixing, quality, suffixes, warc
@@ -71,6 +71,21 @@ def test_a_crowd_around_one_text_stays_whole(spark):
     assert got == part
 
 
+@pytest.mark.parametrize("share, apart, options", [(0.5, 13, {}), (0.5, 15, {"region": 3, "block": 8}), (0.91, 14, {}), (0.91, 13, {"region": 3, "block": 8, "load": 900})])
+def test_pairs_in_a_crowd_are_found_away_from_its_pivot(spark, share, apart, options):
+    rows = crowd(share, apart)
+    _, part = near_copies(rows, 85)
+    assert sum(part[d] != d for d in part) == 40
+    got = {r.doc_id: r.component_id for r in minhash.link(spark.createDataFrame(rows, DOC), minhash.Forest(**options)).collect()}
+    assert got == part
+
+
+def test_small_blocks_of_full_regions_equal_brute_force(spark, rows):
+    _, part = near_copies(rows, 85)
+    got = minhash.link(spark.createDataFrame(rows, DOC), minhash.Forest(region=2, sample=4, block=2)).collect()
+    assert all(r.component_id == (None if r.doc_id is None else part[r.doc_id]) for r in got)
+
+
 def test_lines(spark, rows):
     want = sorted(dedup_lines(rows), key=str)
     named = spark.createDataFrame([(d, t, 1, "a") for d, t in rows], "doc_id long, text string, removed_lines int, row string")
