@@ -18,7 +18,8 @@ from hearthline.session import cut_lineage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: similarity 0.8: twenty trees of depth three miss a pair at the threshold with probability below 0.000001
+#: similarity 0.8: twenty trees of depth three miss a pair at the threshold with probability below 0.000001, in full regions
+#: as in others, as all pairs that share a region are compared
 NEAR = minhash.Forest(percent=80, trees=20, depth=3)
 
 

@@ -1,7 +1,7 @@
 """The numbered queries against their SQL, and the pipeline's stages against brute force."""
 
 import pytest
-from brute import contamination, dedup_lines, near_copies
+from brute import contamination, crowd, dedup_lines, near_copies
 from check_oracle import compare, duck
 from pyspark.sql import functions as F
 
@@ -51,3 +51,12 @@ def test_pipeline(spark):
         if stage is not P.mix:
             assert out.columns == P.COLUMNS
         docs = out
+
+
+@pytest.mark.parametrize("share, apart", [(0.5, 19), (0.88, 19)])
+def test_near_copies_in_a_crowd_leave(spark, share, apart):
+    rows = crowd(share, apart)
+    _, part = near_copies(rows, 80)
+    assert sum(part[d] != d for d in part) == 40
+    docs = spark.createDataFrame([(d, t, "en", "src", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in P.near_copies(spark, docs, SF).collect()) == sorted(d for d in part if part[d] == d)
