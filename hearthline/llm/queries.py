@@ -92,6 +92,30 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "embeddings"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import edited, resemblance, unpack
+    found = edited(table(spark, sf_dir, "documents"))
+    hashes = found.select("*", unpack(F.col("fingerprint")).alias("a"), unpack(F.col("edited_fingerprint")).alias("b"), unpack(F.col("next_fingerprint")).alias("c"))
+
+    def printed(sketch):
+        return F.translate(F.base64(sketch), "\r\n", "")  # without line breaks
+    return hashes.select("doc_id", "n_chars", "edited_sha256", printed("fingerprint").alias("fingerprint"), printed("edited_fingerprint").alias("edited_fingerprint"),
+                         resemblance(F.col("a"), F.col("b")).alias("near_edited"), resemblance(F.col("a"), F.col("c")).alias("near_next"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deviation is cast to a long, which ends in an error beyond its range (some millions of vectors); the operator itself gives it whole."""
+    from .whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .middle import fill_in_middle, restore
+    found = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                        F.sha2(restore(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 

@@ -51,3 +51,38 @@ m AS (SELECT payload_digest, max(page_id) AS last, count(*) AS n FROM p WHERE pa
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN n > 1 AND last IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN n > 1 AND last IS DISTINCT FROM page_id THEN last END AS refers_to
 FROM p LEFT JOIN m USING (payload_digest)"""
+
+
+WORDS = r"list_filter(string_split_regex(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+HASHES = """CASE WHEN len({0}) = 0 THEN []::VARCHAR[] ELSE list_slice(list_sort(list_distinct(list_transform(
+  generate_series(1, greatest(len({0}) - 4, 1)), lambda i: upper(substr(md5(array_to_string(list_slice({0}, i, i + 4), ' ')), 1, 16))))), 1, 128) END"""
+NEAR = """CASE WHEN len({0}) + len({1}) = 0 THEN 1.0::DOUBLE ELSE len(list_filter({0}, lambda x: list_contains({1}, x)
+  AND list_contains(list_slice(list_sort(list_distinct(list_concat({0}, {1}))), 1, 128), x)))::DOUBLE
+  / least(len(list_distinct(list_concat({0}, {1}))), 128) END"""
+
+SQL["op11_fingerprints"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, count(*) AS copies FROM documents GROUP BY ALL),
+o AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nt FROM d
+  WINDOW w AS (ORDER BY doc_id NULLS LAST, md5(t) ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, left(t, n - n // 4) || left(nt, n // 4) AS x FROM o),
+w AS (SELECT *, {WORDS.format("t")} AS tw, {WORDS.format("x")} AS xw, {WORDS.format("nt")} AS nw FROM e),
+h AS (SELECT *, {HASHES.format("tw")} AS a, {HASHES.format("xw")} AS b, {HASHES.format("nw")} AS c FROM w)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(x) AS edited_sha256, base64(unhex(array_to_string(a, ''))) AS fingerprint,
+  base64(unhex(array_to_string(b, ''))) AS edited_fingerprint, {NEAR.format("a", "b")} AS near_edited, {NEAR.format("a", "c")} AS near_next
+FROM (SELECT *, unnest(generate_series(1, copies)) AS copy FROM h)"""
+
+SQL["op13_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+g AS (SELECT *, CAST(len(u) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS k FROM d),
+c AS (SELECT *, least(k[1] % (n + 1), k[2] % (n + 1)) AS a, greatest(k[1] % (n + 1), k[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR k[3] % 100 >= 100 THEN 'plain'
+      WHEN k[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, array_to_string(list_slice(u, 1, a), '') AS pre, array_to_string(list_slice(u, a + 1, b), '') AS mid,
+    array_to_string(list_slice(u, b + 1, n), '') AS suf FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS made FROM p),
+r AS (SELECT *, string_split_regex(made, '<P>|<S>|<M>') AS s FROM o)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(made) AS output_sha256, sha256(CASE form WHEN 'plain' THEN made WHEN 'psm' THEN s[2] || s[4] || s[3] ELSE s[3] || s[4] || s[2] END) AS restored_sha256
+FROM r"""

@@ -21,7 +21,7 @@ def test_statement(spark, name):
 
 def test_all_are_registered():
     names = {n.split("_")[0] for n in E.queries() if n.startswith("op")}
-    assert names == {f"op{n}" for n in range(1, 11)} and "pipeline" in E.queries()
+    assert names == {f"op{n}" for n in range(1, 14)} and "pipeline" in E.queries()
 
 
 def test_pipeline(spark):
