@@ -49,10 +49,8 @@ def pack(hashes: Column) -> Column:
 
 
 def unpack(sketch: Column) -> Column:
-    digits = F.hex(sketch)
-    count = F.octet_length(sketch) / F.lit(HEX // 2)
-    return F.when(F.octet_length(sketch) > 0, F.transform(F.sequence(F.lit(0), count.cast("int") - 1), lambda i: F.substring(digits, i * HEX + 1, HEX))
-                  ).otherwise(F.array().cast("array<string>"))
+    starts = F.sequence(F.lit(1), F.octet_length(sketch), F.lit(HEX // 2))
+    return F.when(F.octet_length(sketch) > 0, F.transform(starts, lambda i: F.hex(F.substring(sketch, i, HEX // 2)))).otherwise(F.array().cast("array<string>"))
 
 
 def add_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint", size: int = SIZE, width: int = WIDTH) -> DataFrame:
