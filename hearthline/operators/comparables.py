@@ -1,13 +1,8 @@
 """Comparable sales for whole tables of dwellings: radius search, similarity, selection.
 
-The pairs that a radius join would emit are bounded in three exact ways:
-
-1. Of the sales at one point, only those are kept that can be among the nearest `n` of any
-   dwelling (own sales are never evidence, so a few more than `n` are needed).
-2. A target looks no further than the smallest radius for which its own grid cell alone already
-   holds enough other dwellings. Cells are half a radius wide, so the whole cell is inside it.
-   Radii below the first policy step serve dense places, where the nearest `n` lie closer still.
-3. The join is an equi join on grid cells; the true distance decides afterwards.
+The search goes through an adaptive tree of evidence cells (`search_tree.py`): a dwelling is searched around once for all
+its valuation dates, its reach shrinks to the distance that surely holds enough sales, and each date's sales are cut out of
+the sites' sorted arrays. The true distance decides afterwards.
 """
 
 from __future__ import annotations
@@ -20,8 +15,7 @@ from ..functions import geo
 from ..functions.parse import month_no
 from ..policies import SearchPolicy
 from ..session import cut_lineage
-
-SALE = ["sale_key", "sale_property_id", "price", "sold_date", "sale_type", "sale_area", "sale_district"]
+from . import search_tree as ST
 
 
 def search_window(as_of: Column, months: int, symmetric: Column, today: Column) -> tuple[Column, Column]:
@@ -53,84 +47,31 @@ def similarity(distance_m: Column, months: Column, target_type: Column, sale_typ
         F.when(sized, base + K.WEIGHT_SIZE * alike).otherwise(base / (K.WEIGHT_DISTANCE + K.WEIGHT_RECENCY)))
 
 
-def _ladder(policy: SearchPolicy) -> list[tuple[float, int]]:
-    """(radius, dwellings that must be in the own cell), nearest first."""
-    first = policy.radius_steps_m[0]
-    inner = [(first / d, policy.nearest + 1) for d in (16, 8, 4, 2)]
-    return inner + [(r, policy.target_comparables + 1) for r in policy.radius_steps_m]
-
-
-def _rungs(policy: SearchPolicy) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("rung"), F.lit(float(r)).alias("radius"), F.lit(n).alias("need"))
-                     for i, (r, n) in enumerate(_ladder(policy))])
-
-
-def _cell(lat: Column, lon: Column, edge: Column) -> list[Column]:
-    row = geo.grid_row(lat, edge)
-    return [row.alias("row"), geo.grid_col(lon, row, edge).alias("col")]
-
-
-def evidence_sites(targets: DataFrame, evidence: DataFrame, policy: SearchPolicy) -> DataFrame:
-    """Eligible sales per valuation date, one row per point and type, with the sales that matter."""
-    reach = F.lit(float(policy.radius_steps_m[-1]))
-    asked = targets.select("country", "as_of", "date_from", "date_to",
-                           F.explode(geo.cover_cells(F.col("lat"), F.col("lon"), reach, reach)).alias("cell")).distinct()
-    sales = evidence.select(
-        "country", "lat", "lon", "sale_key", F.col("property_id").alias("sale_property_id"), "price", F.col("transaction_date").alias("sold_date"),
-        F.col("property_type").alias("sale_type"), F.col("floor_area").alias("sale_area"), F.col("district").alias("sale_district"),
-        F.struct(*_cell(F.col("lat"), F.col("lon"), reach)).alias("cell"))
-    eligible = sales.join(asked, ["country", "cell"]).where(F.col("sold_date").between(F.col("date_from"), F.col("date_to")))
-    order = [F.col("sold_date").desc(), F.col("sale_key")]
-    point = ["country", "as_of", "lat", "lon"]
-    own = F.coalesce(F.col("sale_property_id").cast("string"), F.col("sale_key"))
-    limit = policy.nearest
-    kept = (eligible.withColumn("_own", own)
-            .withColumn("_r", F.row_number().over(Window.partitionBy(*point, "sale_type", "_own").orderBy(*order))).where(F.col("_r") <= limit)
-            .withColumn("_r", F.row_number().over(Window.partitionBy(*point, "sale_type").orderBy(*order))).where(F.col("_r") <= 2 * limit))
-    return kept.groupBy(*point, "sale_type").agg(F.collect_list(F.struct(*SALE)).alias("sales"))
-
-
-def _density(sites: DataFrame, policy: SearchPolicy, typed: bool) -> DataFrame:
-    """Distinct dwellings with evidence per cell of every rung."""
-    homes = sites.select("country", "as_of", "lat", "lon", *(["sale_type"] if typed else []),
-                         F.explode("sales.sale_property_id").alias("home")).distinct()
-    cells = homes.withColumn("_l", F.explode(_rungs(policy))).select(
-        "country", "as_of", *(["sale_type"] if typed else []), "home", "_l.rung", *_cell(F.col("lat"), F.col("lon"), F.col("_l.radius") / 2))
-    keys = ["country", "as_of", "rung", "row", "col", *(["sale_type"] if typed else [])]
-    return cells.groupBy(*keys).agg(F.countDistinct("home").alias("homes"))
-
-
-def reach_of(targets: DataFrame, sites: DataFrame, policy: SearchPolicy, typed: bool) -> DataFrame:
-    """Targets with the rung and radius at which they need to look."""
-    rungs = targets.withColumn("_l", F.explode(_rungs(policy))).select(
-        "target_id", "country", "as_of", *([F.col("property_type").alias("sale_type")] if typed else []), "_l.rung", "_l.need",
-        *_cell(F.col("lat"), F.col("lon"), F.col("_l.radius") / 2))
-    keys = ["country", "as_of", "rung", "row", "col", *(["sale_type"] if typed else [])]
-    enough = (rungs.join(_density(sites, policy, typed), keys).where("homes >= need")
-              .groupBy("target_id").agg(F.min("rung").alias("rung")))
-    last = len(_ladder(policy)) - 1
-    radii = F.array(*[F.lit(float(r)) for r, _ in _ladder(policy)])
-    return (targets.join(enough, "target_id", "left").withColumn("rung", F.coalesce("rung", F.lit(last)))
-            .withColumn("reach_m", F.get(radii, F.col("rung"))))
-
-
-def radius_candidates(targets: DataFrame, sites: DataFrame, policy: SearchPolicy, typed: bool) -> DataFrame:
-    """Every sale of another dwelling within each target's reach, with its distance."""
-    looking = reach_of(targets, sites, policy, typed).withColumn("_c", F.explode(
-        geo.cover_cells(F.col("lat"), F.col("lon"), F.col("reach_m"), F.col("reach_m") / 2))).select(
-        *targets.columns, "rung", "reach_m", F.col("_c.row").alias("row"), F.col("_c.col").alias("col"))
-    placed = sites.withColumn("_l", F.explode(_rungs(policy))).select(
-        "country", "as_of", F.col("lat").alias("sale_lat"), F.col("lon").alias("sale_lon"), "sale_type", "sales",
-        "_l.rung", *_cell(F.col("lat"), F.col("lon"), F.col("_l.radius") / 2))
-    keys = ["country", "as_of", "rung", "row", "col"]
-    if typed:
-        looking = looking.withColumn("sale_type", F.col("property_type"))
-        keys = [*keys, "sale_type"]
-    distance = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("sale_lat"), F.col("sale_lon"))
-    near = looking.join(placed, keys).withColumn("distance_m", distance).where(F.col("distance_m") <= F.col("reach_m"))
-    out = near.drop("sale_type", "row", "col").withColumn("_s", F.explode("sales")).select(
-        *targets.columns, "reach_m", "distance_m", "sale_lat", "sale_lon", "_s.*")
-    return out.where(~F.col("sale_property_id").eqNullSafe(F.col("property_id")) | F.col("property_id").isNull())
+def places_of(targets: DataFrame, evidence: DataFrame, typed: bool) -> tuple[DataFrame, DataFrame]:
+    """Distinct dwellings to search around, and the questions (targets) asked at each: its valuation dates share one search."""
+    want = F.col("property_type") if typed else F.lit(ST.ANY)
+    home = F.coalesce(F.col("property_id").cast("string"), F.concat(F.lit("target "), "target_id"))
+    named = targets.where("lat IS NOT NULL AND lon IS NOT NULL").select(
+        F.concat_ws("@", home, "lat", "lon", "country", want).alias("place"), want.alias("want"), F.struct(*targets.columns).alias("t"))
+    asked = cut_lineage(named.groupBy("place", "want").agg(F.collect_list("t").alias("asked")))  # as many as one dwelling's dates
+    own = evidence.where("property_id IS NOT NULL").groupBy("property_id").agg(F.count(F.lit(1)).alias("own_sales"))
+    first = F.element_at("asked", 1)
+    places = asked.select("place", "want", *[first[c].alias(c) for c in ("property_id", "country", "lat", "lon")],
+                          F.array_distinct(F.transform("asked", lambda t: F.struct(t["date_from"].alias("date_from"), t["date_to"].alias("date_to")))).alias("spans"))
+    return places.join(own, "property_id", "left").withColumn("own_sales", F.coalesce("own_sales", F.lit(0).cast("long"))), asked.select("place", "asked")
+
+
+def _distance() -> Column:
+    return geo.haversine_m(F.col("lat"), F.col("lon"), F.col("sale_lat"), F.col("sale_lon"))
+
+
+def radius_candidates(targets: DataFrame, evidence: DataFrame, tree: ST.SearchTree, policy: SearchPolicy, typed: bool) -> DataFrame:
+    """Every sale of another dwelling that can be among each target's nearest within its radius, with its distance."""
+    places, asked = places_of(targets, evidence, typed)
+    leaves = ST.leaves_in_reach(places, tree, policy.radius_steps_m[-1], policy.nearest, policy.radius_steps_m, policy.target_comparables)
+    hits = ST.sales_near(leaves, tree.sites, asked, _distance(), typed, policy.nearest)
+    return hits.select("target.*", "reach_m", "distance_m", "sale_lat", "sale_lon", F.explode("sales").alias("s")).select(
+        *targets.columns, "reach_m", "distance_m", "sale_lat", "sale_lon", "s.*")
 
 
 def expand_radius(candidates: DataFrame, policy: SearchPolicy) -> DataFrame:
@@ -152,38 +93,40 @@ def scored(found: DataFrame) -> DataFrame:
         F.col("distance_m"), months, F.col("property_type"), F.col("sale_type"), F.col("floor_area"), F.col("sale_area")))
 
 
-def search(targets: DataFrame, sites: DataFrame, policy: SearchPolicy, typed: bool) -> DataFrame:
-    return scored(expand_radius(radius_candidates(targets, sites, policy, typed), policy))
+def search(targets: DataFrame, evidence: DataFrame, tree: ST.SearchTree, policy: SearchPolicy, typed: bool) -> DataFrame:
+    return scored(expand_radius(radius_candidates(targets, evidence, tree, policy, typed), policy))
+
 
+def val_comparables(targets: DataFrame, evidence: DataFrame, policy: SearchPolicy, tree: ST.SearchTree | None = None) -> DataFrame:
+    """Comparables worth using per target: its own type first, every type where that is too thin.
 
-def val_comparables(targets: DataFrame, evidence: DataFrame, policy: SearchPolicy) -> DataFrame:
-    """Comparables worth using per target: its own type first, every type where that is too thin."""
-    sites = cut_lineage(evidence_sites(targets, evidence, policy))
+    `tree` may hold the stored evidence of an earlier job with the same `nearest`.
+    """
+    tree = tree or ST.build(evidence, policy.nearest)
     typed = targets.where(F.coalesce(F.col("property_type") != "other", F.lit(False)))
     good = F.col("similarity") >= K.MIN_SIMILARITY
-    first = cut_lineage(search(typed, sites, policy, True).where(good).withColumn("type_restricted", F.lit(True)))
+    first = cut_lineage(search(typed, evidence, tree, policy, True).where(good).withColumn("type_restricted", F.lit(True)))
     enough = first.groupBy("target_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= policy.min_comparables).select("target_id")
     rest = targets.join(enough, "target_id", "left_anti")
-    second = search(rest, sites, policy, False).where(good).withColumn("type_restricted", F.lit(False))
+    second = search(rest, evidence, tree, policy, False).where(good).withColumn("type_restricted", F.lit(False))
     return first.join(enough, "target_id", "left_semi").unionByName(second)
 
 
-def radius_counts(targets: DataFrame, evidence: DataFrame, radius_m: float) -> DataFrame:
-    """Sales of other dwellings within a radius: how many, and how near the nearest is.
+def val_comparables_by_policy(targets: DataFrame, evidence: DataFrame, policies: dict[str, SearchPolicy], other: SearchPolicy) -> DataFrame:
+    """Comparables where countries search by different policies: each country with its own, the rest with `other`."""
+    def of(rows: DataFrame, names: list[str], inside: bool) -> DataFrame:
+        member = F.coalesce(F.col("country").isin(names), F.lit(False))
+        return rows.where(member if inside else ~member)
+    out = val_comparables(of(targets, list(policies), False), of(evidence, list(policies), False), other)
+    for policy in dict.fromkeys(policies.values()):
+        names = [c for c, p in policies.items() if p == policy]
+        out = out.unionByName(val_comparables(of(targets, names, True), of(evidence, names, True), policy))
+    return out
 
-    Sales are counted per point and dwelling before the join, so a point with very many sales is
-    one row in it.
-    """
-    edge, radius = F.lit(radius_m / 2), F.lit(float(radius_m))
-    dates = targets.select("country", "as_of", "date_from", "date_to").distinct()
-    points = (evidence.join(F.broadcast(dates), "country")
-              .where(F.col("transaction_date").between(F.col("date_from"), F.col("date_to")))
-              .groupBy("country", "as_of", F.col("lat").alias("sale_lat"), F.col("lon").alias("sale_lon"), F.col("property_id").alias("sale_home"))
-              .agg(F.count(F.lit(1)).alias("sales")))
-    row = geo.grid_row(F.col("sale_lat"), edge)
-    placed = points.select("*", F.struct(row.alias("row"), geo.grid_col(F.col("sale_lon"), row, edge).alias("col")).alias("cell"))
-    looking = targets.withColumn("cell", F.explode(geo.cover_cells(F.col("lat"), F.col("lon"), radius, edge)))
-    distance = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("sale_lat"), F.col("sale_lon"))
-    near = looking.join(placed, ["country", "as_of", "cell"]).withColumn("distance_m", distance).where(
-        (F.col("distance_m") <= radius) & ~F.col("sale_home").eqNullSafe(F.col("property_id")))
-    return near.groupBy("target_id").agg(F.sum("sales").alias("sales_within"), F.min("distance_m").alias("nearest_m"))
+
+def radius_counts(targets: DataFrame, evidence: DataFrame, radius_m: float) -> DataFrame:
+    """Sales of other dwellings within a radius: how many, and how near the nearest is. Counts are cut out of sorted arrays."""
+    places, asked = places_of(targets, evidence, False)
+    looking, sites = ST.fixed_grid(places, evidence, radius_m)
+    hits = ST.sales_near(looking.select("place", "want", "spans", "own_sales", "country", "lat", "lon", "reach_m", "node"), sites, asked, _distance(), False, None)
+    return hits.groupBy("target.target_id").agg(F.sum(F.size("sales")).alias("sales_within"), F.min("distance_m").alias("nearest_m"))

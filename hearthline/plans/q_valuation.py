@@ -15,8 +15,9 @@ from ..operators import area_stats as A
 from ..operators import comparables as C
 from ..operators import evaluation as E
 from ..operators import index_series as I
+from ..operators import search_tree as ST
 from ..operators import valuation as V
-from ..policies import GB_POLICY, Clock
+from ..policies import FR_POLICY, GB_POLICY, Clock, SearchPolicy
 from ..session import cut_lineage
 from .book import book, rounded
 from .oracle import distance_sql
@@ -39,23 +40,23 @@ def similarity_sql(d: str, months: str, ta: str, sa: str, tt: str, st: str) -> s
     return (f"(CAST({affinity_sql(tt, st)} AS DOUBLE)*(0.58*exp(-{d}/900.0)+0.25*exp(-{months}/30.0)+0.17*exp(-2.0*abs(ln({sa}/{ta})))))")
 
 
-def targets_sql(as_of: str, source: str = "homes") -> str:
-    back = "make_date(CAST(year({0})-5 AS INTEGER),CAST(month({0}) AS INTEGER),1)".format("as_of")
-    fwd = "make_date(CAST(year({0})+5 AS INTEGER),CAST(month({0}) AS INTEGER),28)".format("as_of")
+def targets_sql(as_of: str, source: str = "homes", years: int = 5) -> str:
+    back = f"make_date(CAST(year(as_of)-{years} AS INTEGER),CAST(month(as_of) AS INTEGER),1)"
+    fwd = f"make_date(CAST(year(as_of)+{years} AS INTEGER),CAST(month(as_of) AS INTEGER),28)"
     return f"""SELECT *, {back} AS date_from, least(CASE WHEN is_historical THEN {fwd} ELSE as_of END,{T}) AS date_to FROM (
   SELECT property_id||'@'||as_of AS tid, property_id, country, lat, lon, property_type, floor_area, district, as_of,
     year(as_of)<{TODAY.year} AS is_historical FROM (SELECT *, {as_of} AS as_of FROM {source}))"""
 
 
-def comps_ctes(targets: str, causal: bool = False) -> str:
+def comps_ctes(targets: str, causal: bool = False, policy: SearchPolicy = GB_POLICY) -> str:
     """Named sub-queries for the whole comparable search by brute force."""
     end = "e.transaction_date<t.as_of" if causal else "e.transaction_date<=t.date_to"
     d = distance_sql("t.lat", "t.lon", "e.lat", "e.lon")
 
     def one(name, src):
-        counts = ", ".join(f"count(*) FILTER (d<={int(r)}) OVER (PARTITION BY tid) AS c{int(r)}" for r in GB_POLICY.radius_steps_m)
-        used = " ".join(f"WHEN c{int(r)}>=15 THEN {r}" for r in GB_POLICY.radius_steps_m)
-        return f"""{name}_all AS (SELECT *, CASE {used} ELSE 6400 END::DOUBLE AS radius_m FROM (SELECT *, {counts} FROM {src})),
+        counts = ", ".join(f"count(*) FILTER (d<={int(r)}) OVER (PARTITION BY tid) AS c{int(r)}" for r in policy.radius_steps_m)
+        used = " ".join(f"WHEN c{int(r)}>=15 THEN {r}" for r in policy.radius_steps_m)
+        return f"""{name}_all AS (SELECT *, CASE {used} ELSE {policy.radius_steps_m[-1]} END::DOUBLE AS radius_m FROM (SELECT *, {counts} FROM {src})),
 {name}_near AS (SELECT * FROM {name}_all WHERE d<=radius_m QUALIFY row_number() OVER (PARTITION BY tid ORDER BY d, sold_date DESC, sale_key)<=160),
 {name} AS (SELECT *, {similarity_sql('d', 'months_apart', 'floor_area', 'sale_area', 'property_type', 'sale_type')} AS similarity FROM {name}_near)"""
     return f"""t AS ({targets}),
@@ -63,7 +64,7 @@ pairs AS (SELECT * FROM (SELECT t.*, e.sale_key, e.property_id AS sale_property_
     e.floor_area AS sale_area, e.district AS sale_district, e.lat AS sale_lat, e.lon AS sale_lon,
     CAST(abs((year(e.transaction_date)-year(t.as_of))*12+month(e.transaction_date)-month(t.as_of)) AS INTEGER) AS months_apart, {d} AS d
   FROM t JOIN evid e ON e.country=t.country AND e.transaction_date>=t.date_from AND {end} AND e.property_id<>t.property_id
-    AND abs(e.lat-t.lat)<0.058 AND abs(e.lon-t.lon)<0.096) WHERE d<=6400),
+    AND abs(e.lat-t.lat)<0.058 AND abs(e.lon-t.lon)<0.096) WHERE d<={policy.radius_steps_m[-1]}),
 typed AS (SELECT * FROM pairs WHERE sale_type=property_type AND property_type<>'other'),
 {one('s1', 'typed')},
 enough AS (SELECT tid FROM s1 WHERE similarity>=0.35 GROUP BY 1 HAVING count(*)>=3),
@@ -194,8 +195,8 @@ def radius_join(spark: SparkSession, sf: str) -> DataFrame:
 
 def typed_nearest(spark: SparkSession, sf: str) -> DataFrame:
     targets, ev = current_targets(spark, sf), evidence(spark, sf)
-    sites = C.evidence_sites(targets, ev, GB_POLICY)
-    return C.expand_radius(C.radius_candidates(targets.where("property_type <> 'other'"), sites, GB_POLICY, True), GB_POLICY)
+    tree = ST.build(ev, GB_POLICY.nearest)
+    return C.expand_radius(C.radius_candidates(targets.where("property_type <> 'other'"), ev, tree, GB_POLICY, True), GB_POLICY)
 
 
 @query("expand_radius", f"WITH {comps_ctes(NOW)} SELECT tid AS target_id, max(radius_m) AS radius_m, count(*) AS sales_kept FROM s1_near GROUP BY 1")
@@ -215,6 +216,20 @@ def val_comparables(spark: SparkSession, sf: str) -> DataFrame:
     return c.withColumns({"distance_m": F.round("distance_m", 3), "similarity": F.round("similarity", 8)})
 
 
+_POLICIES = {"EUROPE": FR_POLICY, "ASIA": FR_POLICY}
+_COMPS = "SELECT tid AS target_id, sale_key, type_restricted, radius_m, round(d,3) AS distance_m, round(similarity,8) AS similarity FROM comps"
+
+
+@query("val_policy", f"""SELECT * FROM (WITH {comps_ctes(NOW)} {_COMPS} WHERE country NOT IN ('EUROPE','ASIA'))
+UNION ALL SELECT * FROM (WITH {comps_ctes(targets_sql(T, years=4), policy=FR_POLICY)} {_COMPS} WHERE country IN ('EUROPE','ASIA'))""")
+def val_policy(spark: SparkSession, sf: str) -> DataFrame:
+    """Two countries search by the second policy: smaller steps, a shorter window; the others by the first."""
+    homes = bridge.dwellings(spark, sf)
+    targets = [V.targets_for(homes.where(F.col("country").isin(list(_POLICIES)) == own), F.lit(TODAY), TODAY, p) for own, p in ((True, FR_POLICY), (False, GB_POLICY))]
+    c = C.val_comparables_by_policy(targets[0].unionByName(targets[1]), evidence(spark, sf), _POLICIES, GB_POLICY)
+    return c.select("target_id", "sale_key", "type_restricted", "radius_m", F.round("distance_m", 3).alias("distance_m"), F.round("similarity", 8).alias("similarity"))
+
+
 _TOP = """CAST(row_number() OVER (PARTITION BY tid ORDER BY similarity DESC, sale_key) AS INTEGER)"""
 
 
