@@ -27,7 +27,7 @@ def rank_of(p: float, n: Column, rule: str) -> Column:
     return F.least(low, (n - 1).cast("double"))
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join on keys of which null equals null; the left side's keys stay."""
     other = right.select(*[F.col(k).alias(f"_key_{k}") if k in keys else F.col(k) for k in right.columns])
     on = F.lit(True)
@@ -36,24 +36,44 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataF
     return left.join(other, on, how).drop(*[f"_key_{k}" for k in keys])
 
 
+def counted(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    """How often each value of each measure (`_m`, by position) occurs: keys, _m, _bin, _v, _n. Nulls are left out."""
+    entries = [F.struct(F.lit(i).alias("_m"), F.col(v).cast("double").alias("_v")) for i, v in enumerate(measures)]
+    return (df.select(*keys, F.explode(F.array(*entries)).alias("_e")).select(*keys, "_e._m", "_e._v").where(F.col("_v").isNotNull())
+            .groupBy(*keys, "_m", value_bin(F.col("_v")).alias("_bin"), "_v").agg(F.count(F.lit(1)).alias("_n")))
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, dict[str, float]], rule: str = "inclusive", also: list[Column] = ()) -> DataFrame:
     """One row per group: the mergeable aggregates in `also`, then the interpolated quantiles
     {measure: {output name: probability}}. Nulls are ignored; a group without values has null quantiles.
 
     The input is read twice, for the counts and for the aggregates.
     """
-    entries = [F.struct(F.lit(i).alias("_m"), F.col(v).cast("double").alias("_v")) for i, v in enumerate(wanted)]
-    counts = (df.select(*keys, F.explode(F.array(*entries)).alias("_e")).select(*keys, "_e._m", "_e._v").where(F.col("_v").isNotNull())
-              .groupBy(*keys, "_m", value_bin(F.col("_v")).alias("_bin"), "_v").agg(F.count(F.lit(1)).alias("_n")))
+    found = quantiles_of_counts(counted(df, keys, list(wanted)), keys, list(wanted.values()), rule)
+    groups = df.groupBy(*keys).agg(*(also or [F.count(F.lit(1)).alias("_any")]))
+    done = same_keys(groups, found, keys, "left")
+    return done.drop("_any")
+
+
+def bins_of(counts: DataFrame, keys: list[str], also: list[Column] = ()) -> DataFrame:
+    """Counts by bin (`_bn`), with further sums of the counted rows. A group has as many rows as its values span bins."""
+    return counts.groupBy(*keys, "_m", "_bin").agg(F.sum("_n").alias("_bn"), *also)
+
+
+def quantiles_of_counts(counts: DataFrame, keys: list[str], wanted: list[dict[str, float]], rule: str = "inclusive", bins: DataFrame | None = None) -> DataFrame:
+    """Quantiles of counted values: one dictionary {output name: probability} for each measure number.
+
+    `bins` may hold the counts by bin where they are kept already. Counts may state a value several times.
+    """
+    bins = bins_of(counts, keys) if bins is None else bins
     group = Window.partitionBy(*keys, "_m")
-    bins = (counts.groupBy(*keys, "_m", "_bin").agg(F.sum("_n").alias("_bn"))
-            .withColumn("_end", F.sum("_bn").over(group.orderBy("_bin"))).withColumn("_total", F.sum("_bn").over(group))
+    bins = (bins.withColumn("_end", F.sum("_bn").over(group.orderBy("_bin"))).withColumn("_total", F.sum("_bn").over(group))
             .withColumn("_start", F.col("_end") - F.col("_bn")))
 
     def holds(lo: str, hi: str, rank: Column) -> Column:
         return (F.col(lo) <= rank) & (rank < F.col(hi))
     needed, picks, out = F.lit(False), [], []
-    for i, names in enumerate(wanted.values()):
+    for i, names in enumerate(wanted):
         for name, p in names.items():
             rank = rank_of(p, F.col("_total"), rule)
             for side, whole in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
@@ -63,13 +83,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, dict[str,
         picks.append(F.max(F.when(F.col("_m") == i, F.col("_total"))).alias(f"_total_{i}"))
     chosen = bins.where(needed).select(*keys, "_m", "_bin", "_start", "_total")
     in_bin = Window.partitionBy(*keys, "_m", "_bin").orderBy("_v")
-    placed = (_same(counts, chosen, [*keys, "_m", "_bin"], "inner").withColumn("_to", F.col("_start") + F.sum("_n").over(in_bin))
-              .withColumn("_from", F.col("_to") - F.col("_n")))
-    found = placed.groupBy(*keys).agg(*picks)
-    found = found.select(*keys, *out)
-    groups = df.groupBy(*keys).agg(*(also or [F.count(F.lit(1)).alias("_any")]))
-    done = _same(groups, found, keys, "left")
-    return done.drop("_any")
+    inside = same_keys(counts, chosen, [*keys, "_m", "_bin"], "inner").groupBy(*keys, "_m", "_bin", "_start", "_total", "_v").agg(F.sum("_n").alias("_n"))
+    placed = inside.withColumn("_to", F.col("_start") + F.sum("_n").over(in_bin)).withColumn("_from", F.col("_to") - F.col("_n"))
+    return placed.groupBy(*keys).agg(*picks).select(*keys, *out)
 
 
 def _between(name: str, rank: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import bins_of, counted, quantiles_of_counts, same_keys
+from ..session import cut_lineage
 
 AREA_KEYS = ["area_code", "year", "segment", "area_level", "country"]  # most selective first: it leads the sort
 
@@ -70,24 +71,49 @@ def level_minimum(level: Column, minimum: dict[str, int]) -> Column:
     return out
 
 
+MEASURES = ["price", "price_per_sqm", "lat", "lon"]
+WANTED = {"price": {"p25_price": 0.25, "median_price": 0.5, "p75_price": 0.75}, "price_per_sqm": {"median_price_per_sqm": 0.5}}
+
+
+def finest_counts(sales: DataFrame, levels: list[str]) -> DataFrame:
+    """Counted values of evidence sales by all their area codes together, type and year: what every area and segment is made of."""
+    keys = [*dict.fromkeys(["country", "property_type", "year", *levels])]
+    return counted(evidence(sales), keys, MEASURES)
+
+
+def stats_of_counts(counts: DataFrame, levels: list[str], minimum: dict[str, int] | None = None, touched: DataFrame | None = None) -> DataFrame:
+    """Statistics of every level and segment from counted values; `touched` (country, area_level, area_code, year) limits the groups.
+
+    Levels and segments are spread over counted values, not over sales. Counts, sums and extents come from the bins.
+    """
+    spread = with_levels(with_segments(counts), levels).select(*AREA_KEYS, "_m", "_bin", "_v", "_n")
+    if touched is not None:
+        spread = spread.join(touched, ["country", "area_level", "area_code", "year"], "left_semi")
+    exact = F.when(F.col("_m") == 0, F.col("_v").cast("decimal(18,2)").cast("decimal(25,7)")).otherwise(F.col("_v").cast("decimal(18,7)").cast("decimal(25,7)"))
+    bins = bins_of(spread, AREA_KEYS, [F.sum(exact * F.col("_n").cast("decimal(12,0)")).alias("_sum"), F.min("_v").alias("_low"), F.max("_v").alias("_high")])
+    found = quantiles_of_counts(spread, AREA_KEYS, list(WANTED.values()), bins=bins.select(*AREA_KEYS, "_m", "_bin", "_bn"))
+
+    def of(measure: str, name: str) -> Column:
+        return F.when(F.col("_m") == MEASURES.index(measure), F.col(name))
+
+    def mean(measure: str) -> Column:
+        return F.sum(of(measure, "_sum")).cast("double") / F.sum(of(measure, "_bn"))
+    w, e, s, n = F.min(of("lon", "_low")), F.max(of("lon", "_high")), F.min(of("lat", "_low")), F.max(of("lat", "_high"))
+    real = (w < e) & (s < n)
+    facts = bins.groupBy(*AREA_KEYS).agg(
+        F.sum(of("lat", "_bn")).alias("transaction_count"), mean("price").alias("mean_price"), mean("lat").alias("centre_lat"), mean("lon").alias("centre_lon"),
+        *[F.when(real, x).alias(name) for x, name in ((w, "west"), (s, "south"), (e, "east"), (n, "north"))])
+    kept = facts.where(F.col("transaction_count") >= level_minimum(F.col("area_level"), minimum or K.LEVEL_MIN_SALES))
+    names = [name for group in WANTED.values() for name in group]
+    return same_keys(kept, found, AREA_KEYS, "left").select(*AREA_KEYS, "transaction_count", "mean_price", "centre_lat", "centre_lon", "west", "south", "east", "north", *names)
+
+
 def agg_area_stats(sales: DataFrame, levels: list[str] | None = None,
                    minimum: dict[str, int] | None = None) -> DataFrame:
-    """All levels, segments and years in one pass; groups below their minimum are not published."""
+    """All levels, segments and years; groups below their minimum are not published. Sales are read once, for the counts."""
     minimum = minimum or K.LEVEL_MIN_SALES
     levels = levels or list(minimum)
-    columns = [*dict.fromkeys(["country", "property_type", "year", "price", "price_per_sqm", "lat", "lon", *levels])]
-    rows = with_levels(with_segments(evidence(sales).select(
-        *columns, "market_value_basis", "is_residential")), levels)
-    return stats_of(rows, minimum)
-
-
-def stats_of(rows: DataFrame, minimum: dict[str, int] | None = None) -> DataFrame:
-    """Statistics of rows already spread over levels and segments."""
-    stats = exact_quantiles(rows, AREA_KEYS, {
-        "price": {"p25_price": 0.25, "median_price": 0.5, "p75_price": 0.75},
-        "price_per_sqm": {"median_price_per_sqm": 0.5}},
-        also=[F.count(F.lit(1)).alias("transaction_count"), exact_mean("price").alias("mean_price"), *extent()])
-    return stats.where(F.col("transaction_count") >= level_minimum(F.col("area_level"), minimum or K.LEVEL_MIN_SALES))
+    return stats_of_counts(cut_lineage(finest_counts(sales, levels)), levels, minimum)
 
 
 def priced_only(stats: DataFrame) -> DataFrame:

@@ -43,3 +43,43 @@ def test_partitioning_does_not_matter(spark):
     a = agg_area_stats(sales).orderBy(*AREA_KEYS).collect()
     b = agg_area_stats(sales.repartition(3, F.col("price"))).orderBy(*AREA_KEYS).collect()
     assert a == b and len(a) > 10
+
+
+def test_state_of_counts_follows_changed_sales(spark, tmp_path):
+    """Batches, corrected prices, a sale that leaves its year and area: the state gives what a full run over the final sales gives."""
+    from hearthline.operators import area_state as S
+    from hearthline.operators.area_stats import AREA_KEYS, agg_area_stats
+    rng = random.Random(3)
+    schema = ("country string, property_type string, year int, market_value_basis string, is_residential boolean, lat double, lon double, price double, price_per_sqm double, "
+              "county string, district string, outcode string, sector string")
+
+    def sale(year, district):
+        hot = rng.random() < 0.4
+        return ("c", rng.choice(["flat", "detached", None]), year, rng.choice(["STANDARD", "STANDARD", "ADDITIONAL"]), True, 50 + rng.random(), 1 + rng.random(),
+                250000.0 if hot else round(rng.lognormvariate(12, 1), 2), rng.choice([None, round(rng.uniform(1000, 9000), 2)]), "k", district, f"O{district}", f"S{district}")
+    first = [sale(2000 + i % 3, f"D{i % 4}") for i in range(900)]
+    batch = [sale(2001, "D1") for _ in range(200)] + [sale(2005, "D9") for _ in range(60)]
+    changed = [(*r[:7], r[7] * 1.5, *r[8:]) for r in first[:50]] + [(*r[:2], 2002, *r[3:]) for r in first[50:90]]
+    final = changed + first[90:] + batch
+
+    def frame(rows):
+        return spark.createDataFrame(rows, schema)
+    state = str(tmp_path / "state")
+    S.start(state, frame(first))
+    stored = agg_area_stats(frame(first))
+    stored = S.refreshed(stored, state, S.add(state, frame(batch)))
+    touched = S.add(state, frame(changed), frame(first[:90]))
+    stored = S.refreshed(stored, state, touched)
+    columns = [c for c in agg_area_stats(frame(final)).columns]
+
+    def rows(df):
+        return sorted([tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*columns).collect()], key=str)
+    want = rows(agg_area_stats(frame(final)))
+    assert rows(stored) == want and len(want) > 100
+    # what is emptied disappears, and a compacted state says the same
+    gone = [r for r in final if r[10] == "D9"]
+    stored = S.refreshed(stored, state, S.add(state, frame([]), frame(gone)))
+    assert rows(stored) == rows(agg_area_stats(frame([r for r in final if r[10] != "D9"])))
+    S.compacted(spark, state, str(tmp_path / "compact"))
+    assert S.settled(spark, str(tmp_path / "compact")).exceptAll(S.settled(spark, state)).count() == 0
+    assert len(AREA_KEYS) == 5
