@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import constants as K
 
@@ -50,6 +47,36 @@ def cover_cells(lat: Column, lon: Column, radius_m: Column, edge_m: Column) -> C
         lambda c: F.struct(r.alias("row"), c.alias("col")))))
 
 
+# --- dyadic grid ---------------------------------------------------------------
+# 2^bits rows from pole to pole and twice as many columns around the globe, so that cells wrap at 180 degrees.
+
+def bits_for(metres: float) -> int:
+    """Bits of the finest level whose rows are at least that high."""
+    return max(2, min(20, int(math.floor(math.log2(180.0 / (metres / K.METRES_PER_DEGREE))))))
+
+
+def wrapped_cell(row: Column, col: Column, bits: int) -> Column:
+    """One number for a cell; columns count around, rows beyond a pole count as the last one."""
+    inside = F.least(F.greatest(row, F.lit(0)), F.lit((1 << bits) - 1)).cast("long")
+    return inside * F.lit(1 << 24) + F.pmod(col.cast("long"), F.lit(1 << (bits + 1)))
+
+
+def dyadic_cell(lat: Column, lon: Column, bits: int) -> Column:
+    step = 180.0 / (1 << bits)
+    return wrapped_cell(F.floor((lat + 90.0) / step), F.floor((lon + 180.0) / step), bits)
+
+
+def touched_cells(lat: Column, lon: Column, reach_m: float, bits: int) -> Column:
+    """All cells of a level that a circle can touch."""
+    step = 180.0 / (1 << bits)
+    reach = F.lit(reach_m / K.METRES_PER_DEGREE * 1.002)
+    wide = F.abs(lat) + reach
+    turn = F.when(wide < 89.0, reach / F.cos(F.radians(wide))).otherwise(F.lit(180.0))  # a circle at a pole touches every column
+    rows = F.sequence(F.floor((F.greatest(lat - reach, F.lit(-90.0)) + 90.0) / step), F.floor((F.least(lat + reach, F.lit(90.0)) + 90.0) / step))
+    cols = F.sequence(F.floor((lon - turn + 180.0) / step), F.floor((lon + turn + 180.0) / step))
+    return F.array_distinct(F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: wrapped_cell(r, c, bits)))))
+
+
 # --- boxes -------------------------------------------------------------------
 
 def box_problem(west: Column, south: Column, east: Column, north: Column) -> Column:
@@ -105,44 +132,3 @@ def ring_area2(ring: Column) -> Column:
     terms = F.transform(ring, lambda p, i: (
         p["x"] * F.get(ring, (i + 1) % n)["y"] - F.get(ring, (i + 1) % n)["x"] * p["y"]))
     return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
-
-
-CLIPPED = T.StructType([T.StructField(c, T.DoubleType()) for c in ("area", "lat", "lon")])
-
-
-@F.pandas_udf(CLIPPED)
-def clip_ring(xs: pd.Series, ys: pd.Series, w: pd.Series, s: pd.Series, e: pd.Series, n: pd.Series) -> pd.DataFrame:
-    """Part of a ring inside a box: signed area, and a point inside it.
-
-    The ring is cut by one side of the box after the other. The point is the middle of the widest
-    span at half height, so it lies inside the shape even where a mean point would not.
-    """
-    rows = [_clipped(np.asarray(x, float), np.asarray(y, float), box) for x, y, *box in zip(xs, ys, w, s, e, n)]
-    return pd.DataFrame(rows, columns=["area", "lat", "lon"])
-
-
-def _clipped(x: np.ndarray, y: np.ndarray, box: list[float]) -> tuple:
-    w, s, e, n = box
-    for horizontal, limit, sign in ((True, w, 1.0), (True, e, -1.0), (False, s, 1.0), (False, n, -1.0)):
-        if x.size < 3:
-            return 0.0, None, None
-        side = ((x if horizontal else y) - limit) * sign
-        before = np.roll(side, 1)
-        keep, cut = side >= 0, (side >= 0) != (before >= 0)
-        t = np.divide(before, before - side, out=np.zeros_like(side), where=cut)
-        cx, cy = np.roll(x, 1) + t * (x - np.roll(x, 1)), np.roll(y, 1) + t * (y - np.roll(y, 1))
-        # a crossing comes before the vertex that it leads to
-        chosen = np.stack([cut, keep], axis=1).ravel()
-        x, y = np.stack([cx, x], axis=1).ravel()[chosen], np.stack([cy, y], axis=1).ravel()[chosen]
-    if x.size < 3:
-        return 0.0, None, None
-    nx, ny = np.roll(x, -1), np.roll(y, -1)
-    area = float(np.sum(x * ny - nx * y) / 2)
-    mid = (y.min() + y.max()) / 2
-    cross = (y > mid) != (ny > mid)
-    hits = np.sort(x[cross] + (mid - y[cross]) / (ny[cross] - y[cross]) * (nx[cross] - x[cross]))
-    if hits.size < 2:
-        return area, None, None
-    spans = hits[1::2] - hits[: hits.size // 2 * 2: 2]
-    best = int(np.argmax(spans))
-    return area, float(mid), float((hits[2 * best] + hits[2 * best + 1]) / 2)

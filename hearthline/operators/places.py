@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import geo
-
-BAND_DEG = 0.25
-M_PER_DEG = math.pi * K.EARTH_RADIUS_M / 180
+from . import search_tree as ST
+from . import shapes as SH
+from .shapes import M_PER_DEG, nearest_polygon, point_in_polygon  # noqa: F401
 
 
 # --- points in boxes ---------------------------------------------------------
@@ -43,137 +41,51 @@ def box_join(points: DataFrame, boxes: DataFrame, keys: list[str], lat: str = "l
     return spread.join(placed, [*keys, "_level", "_cell"]).where(inside).drop("_level", "_cell")
 
 
-# --- shapes ------------------------------------------------------------------
-
-def edges_of(shapes: DataFrame) -> DataFrame:
-    """One row per edge of every ring."""
-    rings = shapes.select("shape_id", F.explode("rings").alias("r"))
-    edge = F.transform("r", lambda p, i: F.struct(
-        p["x"].alias("x1"), p["y"].alias("y1"), F.get("r", (i + 1) % F.size("r"))["x"].alias("x2"), F.get("r", (i + 1) % F.size("r"))["y"].alias("y2")))
-    return rings.select("shape_id", F.explode(edge).alias("e")).select("shape_id", "e.*").where("x1 <> x2 OR y1 <> y2")
-
-
-def shape_facts(shapes: DataFrame) -> DataFrame:
-    """Area and bounding box per shape; rings of opposite direction cut holes."""
-    area = F.abs(F.aggregate("rings", F.lit(0.0), lambda s, r: s + geo.ring_area2(r))) / 2
-    xs, ys = (F.flatten("rings")[c] for c in ("x", "y"))
-    return shapes.select("shape_id", area.alias("shape_area"), F.array_min(xs).alias("w"), F.array_min(ys).alias("s"),
-                         F.array_max(xs).alias("e"), F.array_max(ys).alias("n"))
-
-
-def banded_edges(edges: DataFrame) -> DataFrame:
-    """Edges of a shape grouped by the latitude bands they cross; bounded by the published outline."""
-    lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
-    bands = F.sequence(F.floor(lo / BAND_DEG), F.floor(hi / BAND_DEG))
-    return (edges.where("y1 <> y2").withColumn("band", F.explode(bands))
-            .groupBy("shape_id", "band").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges")))
-
-
-def point_in_polygon(points: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Point -> smallest shape that contains it (point_id, shape_id); no row for open water.
-
-    Candidate shapes come from a cell join on bounding boxes; only the edges of the point's own
-    latitude band are then looked at.
-    """
-    where = points.select("point_id", "lat", "lon")
-    pairs = box_join(where, shape_facts(shapes), []).withColumn("band", F.floor(F.col("lat") / BAND_DEG))
-    near = pairs.join(banded_edges(edges_of(shapes)), ["shape_id", "band"])
-    crossings = F.size(F.filter("edges", lambda e: ((e["y1"] > F.col("lat")) != (e["y2"] > F.col("lat"))) & (
-        F.col("lon") < e["x1"] + (F.col("lat") - e["y1"]) / (e["y2"] - e["y1"]) * (e["x2"] - e["x1"]))))
-    return (near.where(crossings % 2 == 1).groupBy("point_id")
-            .agg(F.min_by("shape_id", F.struct("shape_area", "shape_id")).alias("shape_id")))
-
-
-def segment_distance_m(lat: Column, lon: Column, e: dict[str, Column]) -> Column:
-    """Metres from a point to an edge, on a plane touching the point."""
-    scale = F.cos(F.radians(lat)) * M_PER_DEG
-    ax, ay = (e["x1"] - lon) * scale, (e["y1"] - lat) * M_PER_DEG
-    bx, by = (e["x2"] - lon) * scale, (e["y2"] - lat) * M_PER_DEG
-    dx, dy = bx - ax, by - ay
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / (dx * dx + dy * dy)))
-    return F.sqrt(F.pow(ax + t * dx, 2) + F.pow(ay + t * dy, 2))
-
-
-def nearest_polygon(points: DataFrame, shapes: DataFrame, limit_m: float = K.COASTAL_TOLERANCE_M) -> DataFrame:
-    """Point -> nearest shape within the limit, with the distance."""
-    edge = F.lit(float(limit_m))
-    lo_lat, hi_lat = F.least("y1", "y2"), F.greatest("y1", "y2")
-    lo_lon, hi_lon = F.least("x1", "x2"), F.greatest("x1", "x2")
-    cells = F.flatten(F.transform(F.sequence(geo.grid_row(lo_lat, edge), geo.grid_row(hi_lat, edge)), lambda r: F.transform(
-        F.sequence(geo.grid_col(lo_lon, r, edge), geo.grid_col(hi_lon, r, edge)), lambda c: F.struct(r.alias("row"), c.alias("col")))))
-    placed = edges_of(shapes).withColumn("cell", F.explode(cells))
-    looking = points.select("point_id", "lat", "lon").withColumn("cell", F.explode(geo.cover_cells(F.col("lat"), F.col("lon"), edge, edge)))
-    d = F.round(segment_distance_m(F.col("lat"), F.col("lon"), {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}), 6)
-    near = looking.join(placed, "cell").withColumn("distance_m", d).where(F.col("distance_m") <= limit_m)
-    return near.groupBy("point_id").agg(F.min(F.struct("distance_m", "shape_id")).alias("v")).select("point_id", "v.shape_id", "v.distance_m")
-
-
-def visible_parts(boxes: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Every ring cut to every box it meets: signed area and a point inside (box_id, shape_id).
-
-    Rings are matched to boxes by overlapping cells of their bounding boxes.
-    """
-    rings = shapes.select("shape_id", F.posexplode("rings").alias("ring_no", "ring"))
-    for name, axis, fn in (("rw", "x", F.array_min), ("rs", "y", F.array_min), ("re", "x", F.array_max), ("rn", "y", F.array_max)):
-        rings = rings.withColumn(name, fn(F.col("ring")[axis]))
-    step = 4.0
-
-    def cells(w, s, e, n):
-        return F.explode(F.flatten(F.transform(F.sequence(F.floor(F.col(w) / step), F.floor(F.col(e) / step)), lambda x: F.transform(
-            F.sequence(F.floor(F.col(s) / step), F.floor(F.col(n) / step)), lambda y: F.struct(x.alias("x"), y.alias("y"))))))
-    left = plain_boxes(boxes.select("box_id", "west", "south", "east", "north")).withColumn("_c", cells("w", "s", "e", "n"))
-    right = rings.withColumn("_c", cells("rw", "rs", "re", "rn"))
-    meets = (F.col("rw") < F.col("e")) & (F.col("re") > F.col("w")) & (F.col("rs") < F.col("n")) & (F.col("rn") > F.col("s"))
-    # a pair that shares several cells is kept in the first of them only
-    first = (F.col("_c.x") == F.greatest(F.floor(F.col("w") / step), F.floor(F.col("rw") / step))) & (
-        F.col("_c.y") == F.greatest(F.floor(F.col("s") / step), F.floor(F.col("rs") / step)))
-    out = left.join(right, "_c").where(meets & first).select("box_id", "w", "s", "e", "n", "shape_id", "ring_no", "ring")
-    part = geo.clip_ring(F.col("ring")["x"], F.col("ring")["y"], "w", "s", "e", "n")
-    return out.withColumn("_part", part).select("box_id", "shape_id", "ring_no", "_part.*").where("area <> 0")
-
+# --- shapes (see `shapes.py`) ---------------------------------------------------
 
 def polygon_in_view(boxes: DataFrame, shapes: DataFrame) -> DataFrame:
     """Shapes that meet a box: visible area (square degrees) and a point inside the visible part."""
-    parts = visible_parts(boxes, shapes)
-    biggest = F.max_by(F.struct("lat", "lon"), F.when(F.col("lat").isNotNull(), F.struct(F.abs("area"), "ring_no", "lon")))
-    out = parts.groupBy("box_id", "shape_id").agg(F.round(F.abs(F.sum("area")), 12).alias("visible_area"), biggest.alias("p"))
-    return out.where("visible_area > 0").select("box_id", "shape_id", "visible_area", "p.lat", "p.lon")
+    seen = SH.polygon_in_view(_numbered(boxes), shapes)
+    # the two parts of a box across the antimeridian are one view
+    point = F.max_by(F.struct("lat", "lon"), F.when(F.col("lat").isNotNull(), F.struct("visible_area", "lon")))
+    out = seen.groupBy("box_id.box_id", "shape_id").agg(F.round(F.sum("visible_area"), 12).alias("visible_area"), point.alias("p"))
+    return out.select("box_id", "shape_id", "visible_area", "p.lat", "p.lon")
 
 
 def box_country(boxes: DataFrame, shapes: DataFrame) -> DataFrame:
     """Shape with the largest share of each box."""
-    area = visible_parts(boxes, shapes).groupBy("box_id", "shape_id").agg(F.round(F.abs(F.sum("area")), 12).alias("a")).where("a > 0")
+    area = SH.visible_area(_numbered(boxes), shapes).groupBy("box_id.box_id", "shape_id").agg(F.round(F.sum("visible_area"), 12).alias("a"))
     return area.groupBy("box_id").agg(F.max(F.struct("a", "shape_id")).alias("b")).select("box_id", "b.shape_id", F.col("b.a").alias("overlap"))
 
 
+def _numbered(boxes: DataFrame) -> DataFrame:
+    """Plain envelopes, their id made of the box and the part's left side."""
+    plain = plain_boxes(boxes.select("box_id", "west", "south", "east", "north"))
+    return plain.select(F.struct("box_id", F.col("w").alias("part")).alias("box_id"), "w", "s", "e", "n")
+
+
 # --- nearest postcode --------------------------------------------------------
 
 def knn_postcode(points: DataFrame, gazetteer: DataFrame, limit_m: float = K.REGION_MATCH_M) -> DataFrame:
-    """Point -> nearest live postcode within the limit, looking only as far as needed.
+    """Point -> nearest live postcode within the limit: one descent in a tree of the positions, then one join.
 
-    A point first looks in rings of growing radius; one found within a radius is final, as anything
-    nearer would be inside that radius too. The last radius is the limit, so the answer is exact.
+    Of several postcodes at one distance the first by name is taken. Points without a position have no postcode.
     """
-    live = gazetteer.where("status = 'live' AND uk_country IS NOT NULL").select(
-        "postcode", "uk_country", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    rest = points.select("point_id", "lat", "lon")
-    radii = [limit_m / 64, limit_m / 16, limit_m / 4, limit_m]
-    found = None
-    for radius in radii:
-        edge = F.lit(radius / 2 if radius < limit_m else radius / 4)
-        row = geo.grid_row(F.col("plat"), edge)
-        # one postcode per distinct position is enough
-        sites = live.groupBy("plat", "plon").agg(F.min(F.struct("postcode", "uk_country")).alias("p"))
-        placed = sites.withColumn("cell", F.struct(row.alias("row"), geo.grid_col(F.col("plon"), row, edge).alias("col")))
-        looking = rest.withColumn("cell", F.explode(geo.cover_cells(F.col("lat"), F.col("lon"), F.lit(radius), edge)))
-        d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-        hits = (looking.join(placed, "cell").withColumn("d", d).where(F.col("d") <= radius).groupBy("point_id")
-                .agg(F.min(F.struct("d", "p.postcode", "p.uk_country")).alias("v"))
-                .select("point_id", "v.postcode", "v.uk_country", F.col("v.d").alias("distance_m")))
-        found = hits if found is None else found.unionByName(hits)
-        if radius < limit_m:
-            rest = rest.join(hits.select("point_id"), "point_id", "left_anti")
-    return found
+    day = F.lit("2000-01-01").cast("date")
+    everywhere = F.lit("any").alias("country")
+    # one postcode per distinct position is enough
+    live = gazetteer.where("status = 'live' AND uk_country IS NOT NULL").groupBy("lat", "lon").agg(F.min(F.struct("postcode", "uk_country")).alias("p"))
+    none = F.lit(None).cast("double")
+    tree = ST.build(live.select(everywhere, "lat", "lon", F.col("p.postcode").alias("sale_key"), F.lit(None).cast("long").alias("property_id"), none.alias("price"),
+                                day.alias("transaction_date"), F.lit("postcode").alias("property_type"), none.alias("floor_area"), F.col("p.uk_country").alias("district")), 1)
+    places = points.where("lat IS NOT NULL AND lon IS NOT NULL").select(
+        F.col("point_id").alias("place"), everywhere, F.lit(ST.ANY).alias("want"), "lat", "lon",
+        F.array(F.struct(day.alias("date_from"), day.alias("date_to"))).alias("spans"), F.lit(0).cast("long").alias("own_sales"))
+    leaves = ST.leaves_in_reach(places, tree, limit_m, 1, (limit_m,), 1)
+    d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("sale_lat"), F.col("sale_lon"))
+    near = leaves.select("place", "country", "node", "lat", "lon").join(tree.sites, ["country", "node"]).select("place", d.alias("d"), F.get("sales", F.lit(0)).alias("s"))
+    best = near.groupBy("place").agg(F.min(F.when(F.col("d") <= limit_m, F.struct("d", "s.sale_key", "s.sale_district"))).alias("v"))
+    return best.where("v IS NOT NULL").select(F.col("place").alias("point_id"), F.col("v.sale_key").alias("postcode"), F.col("v.sale_district").alias("uk_country"), F.col("v.d").alias("distance_m"))
 
 
 def uk_region(points: DataFrame, gazetteer: DataFrame) -> DataFrame:

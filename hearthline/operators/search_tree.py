@@ -18,13 +18,13 @@ the nearest `nearest` of anyone (2 x nearest, at most `nearest` of one dwelling)
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions import geo
 from ..functions.sorted_arrays import count_up_to
 from ..session import cut_lineage
 
@@ -120,22 +120,6 @@ def build(evidence: DataFrame, nearest: int) -> SearchTree:
 
 # --- descent -----------------------------------------------------------------
 
-def touched_cells(lat: Column, lon: Column, reach_m: float, bits: int = ROOT_BITS) -> Column:
-    """Cells of a level with 2^bits rows that a circle can touch, as (row, column) numbers in one; columns wrap around."""
-    rows, cols = 1 << bits, 1 << (bits + 1)
-    reach = F.lit(reach_m / K.METRES_PER_DEGREE * 1.002)
-    wide = F.abs(lat) + reach
-    turn = F.when(wide < 89.0, reach / F.cos(F.radians(wide))).otherwise(F.lit(180.0))  # a circle at a pole touches every column
-
-    def row(x):
-        return F.least(F.greatest(F.floor((x + 90.0) * (rows / 180.0)), F.lit(0)), F.lit(rows - 1)).cast("long")
-
-    def col(x):
-        return F.floor((x + 180.0) * (cols / 360.0)).cast("long")
-    return F.array_distinct(F.flatten(F.transform(F.sequence(row(lat - reach), row(lat + reach)), lambda r: F.transform(
-        F.sequence(col(lon - turn), col(lon + turn)), lambda c: node_id(r, F.pmod(c, F.lit(cols)), 0)))))
-
-
 def _bounds_m() -> tuple[Column, Column]:
     """Least and greatest distance from (lat, lon) to the cell (level, r, c), on the safe side."""
     high = F.lit(180.0) / F.pow(F.lit(2.0), F.lit(ROOT_BITS) + STEP_BITS * F.col("level"))
@@ -170,7 +154,7 @@ def leaves_in_reach(places: DataFrame, tree: SearchTree, reach_m: float, enough:
     `step_enough` of them.
     """
     front = places.select("place", "country", "want", "lat", "lon", "spans", "own_sales", F.lit(float(reach_m)).alias("reach_m"),
-                          F.explode(touched_cells(F.col("lat"), F.col("lon"), reach_m)).alias("node"))
+                          F.explode_outer(geo.touched_cells(F.col("lat"), F.col("lon"), reach_m, ROOT_BITS)).alias("cell")).withColumn("node", F.col("cell") * F.lit(8)).drop("cell")
     keep = ["place", "country", "want", "lat", "lon", "spans", "own_sales"]
     for _ in range(LAST):
         near, far = _bounds_m()
@@ -196,11 +180,9 @@ def fixed_grid(places: DataFrame, evidence: DataFrame, reach_m: float) -> tuple[
 
     Of the sales only day and dwelling are kept, all of them.
     """
-    half = reach_m / 2 / K.METRES_PER_DEGREE
-    bits = max(2, min(FINEST, int(math.floor(math.log2(180.0 / half)))))
-    looking = places.withColumns({"reach_m": F.lit(float(reach_m)), "node": F.explode(touched_cells(F.col("lat"), F.col("lon"), reach_m, bits))})
-    node = node_id(F.shiftright("row", FINEST - bits), F.shiftright("col", FINEST - bits), 0)
-    return looking, evidence_sites(evidence, None, ("sold_date", "sale_property_id")).withColumn("node", node)
+    bits = geo.bits_for(reach_m / 2)
+    looking = places.withColumns({"reach_m": F.lit(float(reach_m)), "node": F.explode_outer(geo.touched_cells(F.col("lat"), F.col("lon"), reach_m, bits))})
+    return looking, evidence_sites(evidence, None, ("sold_date", "sale_property_id")).withColumn("node", geo.dyadic_cell(F.col("sale_lat"), F.col("sale_lon"), bits))
 
 
 def sales_near(leaves: DataFrame, sites: DataFrame, questions: DataFrame, distance: Column, typed: bool, nearest: int | None) -> DataFrame:
@@ -219,7 +201,7 @@ def sales_near(leaves: DataFrame, sites: DataFrame, questions: DataFrame, distan
         inside = F.slice("sales", first + 1, F.greatest(last - first, F.lit(0)))
         others = F.filter(inside, lambda s: ~s["sale_property_id"].eqNullSafe(t["property_id"]) | t["property_id"].isNull())
         return F.struct(t.alias("target"), others.alias("sales"))
-    hits = near.join(questions, "place").select("reach_m", "distance_m", "sale_lat", "sale_lon", F.explode(F.transform("asked", answer)).alias("hit"))
+    hits = near.join(questions, "place").select("reach_m", "distance_m", "sale_lat", "sale_lon", F.explode_outer(F.transform("asked", answer)).alias("hit"))
     hits = hits.where(F.size("hit.sales") > 0).select("reach_m", "distance_m", "sale_lat", "sale_lon", "hit.*")
     if nearest is None:
         return hits

@@ -44,13 +44,15 @@ def test_rows_of_one_key_are_not_mixed(spark):
 
 def test_refresh_touches_the_group_a_sale_leaves(spark):
     from hearthline import bridge
+    from hearthline.operators import area_state as S
     from hearthline.operators import area_stats as A
-    from hearthline.streaming.incremental import refresh_area_stats
     old = bridge.sales(spark, "/root/testdata/sf0.001")
     moved = old.where("sale_area = 7 AND year = 1999")
-    now = old.join(moved.select("sale_key"), "sale_key", "left_anti").select(*old.columns).unionByName(moved.withColumn("year", F.lit(1997)))
     changed = moved.withColumn("year", F.lit(1997))
-    fresh = refresh_area_stats(A.agg_area_stats(old), now, changed, moved)
+    now = old.join(moved.select("sale_key"), "sale_key", "left_anti").select(*old.columns).unionByName(changed)
+    state = fresh_path(spark, "state")
+    S.start(state, old)
+    fresh = S.refreshed(A.agg_area_stats(old), state, S.add(state, changed, moved))
     columns = [*A.AREA_KEYS, "transaction_count", "median_price"]
     assert sorted(map(str, fresh.select(*columns).collect())) == sorted(map(str, A.agg_area_stats(now).select(*columns).collect()))
 
