@@ -62,9 +62,14 @@ def norm_street(col: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.coalesce(lookup(w, K.STREET_WORDS), w)), " ")
 
 
-def norm_subunit(col: Column) -> Column:
+def bare_subunit(token: Column) -> Column:
+    """A normalised sub-unit without the words that name its kind."""
     prefix = r"^((" + "|".join(K.SUBUNIT_WORDS) + r")\b\s*)+"
-    return F.trim(F.regexp_replace(norm_token(col), prefix, ""))
+    return F.trim(F.regexp_replace(token, prefix, ""))
+
+
+def norm_subunit(col: Column) -> Column:
+    return bare_subunit(norm_token(col))
 
 
 def norm_postcode(col: Column) -> Column:
@@ -92,12 +97,16 @@ def pretty_postcode(pc: Column) -> Column:
 def property_key(postcode: Column, paon: Column, saon: Column, street: Column,
                  town: Column, extra: Column | None = None) -> Column:
     """Dwelling identity over normalised parts; the town counts only without a postcode."""
-    no_postcode = F.coalesce(postcode, F.lit("")) == ""
-    parts = [
-        norm_postcode(postcode), norm_token(paon), norm_subunit(saon), norm_street(street),
-        F.when(no_postcode, norm_token(town)).otherwise(F.lit("")),
-        norm_token(extra) if extra is not None else F.lit(""),
-    ]
+    return key_of_parts(norm_postcode(postcode), norm_token(paon), norm_token(saon), norm_street(street), norm_token(town),
+                        norm_token(extra) if extra is not None else None)
+
+
+def key_of_parts(postcode: Column, paon: Column, saon: Column, street: Column, town: Column, extra: Column | None = None) -> Column:
+    """The same from parts that are normalised already, null or blank where unknown."""
+    def known(part):
+        return F.coalesce(part, F.lit(""))
+    parts = [known(postcode), known(paon), bare_subunit(known(saon)), known(street),
+             F.when(known(postcode) == "", known(town)).otherwise(F.lit("")), known(extra) if extra is not None else F.lit("")]
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 24)
 
 

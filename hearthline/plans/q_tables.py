@@ -9,13 +9,14 @@ from .. import bridge
 from ..operators import area_state as AS
 from ..operators import area_stats as A
 from ..operators import ledger as L
+from ..operators import loading as LD
 from ..operators import upsert as U
 from ..session import cut_lineage, fresh_path
 from ..sources import registers
 from ..streaming import incremental
 from .book import book, rounded
 from .oracle import cte
-from .q_register import land_lines
+from .q_register import gazetteer, land_lines, transfer_rows
 
 QUERIES, ORACLE, query = book()
 
@@ -158,10 +159,12 @@ def sink_upsert_area(spark: SparkSession, sf: str) -> DataFrame:
 SELECT district, min(county) AS county, 'kept' AS origin FROM sales WHERE year=1995 GROUP BY 1
 UNION ALL SELECT district, max(outcode), 'added' FROM sales WHERE district NOT IN (SELECT district FROM sales WHERE year=1995) GROUP BY 1""")
 def sink_insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
-    sales = bridge.sales(spark, sf)
-    stored = sales.where("year = 1995").groupBy("district").agg(F.min("county").alias("county")).withColumn("origin", F.lit("kept"))
+    sales, path = bridge.sales(spark, sf), fresh_path(spark, "districts")
+    first = sales.where("year = 1995").groupBy("district").agg(F.min("county").alias("county")).withColumn("origin", F.lit("kept"))
     more = sales.groupBy("district").agg(F.max("outcode").alias("county")).withColumn("origin", F.lit("added"))
-    return stored.unionByName(U.insert_ignore(stored, more, ["district"]))
+    for batch in (first, more, more):
+        U.insert_into(path, batch, ["district"])
+    return U.read_table(spark, path)
 
 
 @query("sink_upsert_ref", """
@@ -205,7 +208,10 @@ def agg_rowcounts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sink_source_mark", "SELECT market_value_basis AS source_key, max(transaction_date) AS last_record, count(*) AS record_count FROM sales GROUP BY 1")
 def sink_source_mark(spark: SparkSession, sf: str) -> DataFrame:
-    return L.source_marks(bridge.sales(spark, sf).withColumn("source_key", F.col("market_value_basis")))
+    rows, path = bridge.sales(spark, sf).withColumn("source_key", F.col("market_value_basis")), fresh_path(spark, "sources")
+    for part in (rows.where("source_key = 'ADDITIONAL'"), rows.where("source_key = 'STANDARD' AND year < 1999"), rows.where("source_key = 'STANDARD'")):
+        L.mark_sources(path, part)
+    return U.read_table(spark, path)
 
 
 @query("sink_export", f"""
@@ -286,3 +292,74 @@ def inc_area(spark: SparkSession, sf: str) -> DataFrame:
     stored = cut_lineage(AS.refreshed(stored, state, cut_lineage(AS.add(state, sales.where(late)))))
     fresh = AS.refreshed(stored, state, cut_lineage(AS.add(state, right, first_told)))
     return rounded(fresh.select(*A.AREA_KEYS, "transaction_count", "median_price", "mean_price"), 8, ["mean_price"])
+
+
+# --- loads -------------------------------------------------------------------
+cte("gb_waves", "SELECT *, CASE WHEN CAST(paon AS INTEGER)%2=0 THEN 2 ELSE 1 END AS wave FROM clean")
+cte("gb_latest", f"""
+SELECT s.*, g.lat, g.lon FROM (SELECT * FROM gb_waves QUALIFY row_number() OVER (PARTITION BY source_record_id, wave ORDER BY {_CLEAN_ORDER})=1) s
+LEFT JOIN gazetteer g ON g.postcode=s.postcode_norm""")
+cte("gb_loaded", """
+SELECT 'GB' AS country, CAST(year(transaction_date) AS INTEGER) AS year, * EXCLUDE (lat, lon), lat, lon FROM (
+  SELECT b.* EXCLUDE (lat, lon), coalesce(b.lat,a.lat) AS lat, coalesce(b.lon,a.lon) AS lon
+  FROM gb_latest b LEFT JOIN gb_latest a ON a.source_record_id=b.source_record_id AND a.wave=1 WHERE b.wave=2
+  UNION ALL SELECT * FROM gb_latest a WHERE wave=1 AND source_record_id NOT IN (SELECT source_record_id FROM gb_latest WHERE wave=2))
+WHERE market_value_basis='STANDARD' AND is_residential AND lat IS NOT NULL""")
+cte("fr_loaded", """
+SELECT 'FR' AS country, CAST(year(transaction_date) AS INTEGER) AS year, property_type, price, floor_area, county, district
+FROM clean_transfers QUALIFY row_number() OVER (PARTITION BY id_mutation, id_parcelle ORDER BY transaction_date DESC, price DESC, floor_area DESC)=1""")
+
+
+def _levels_sql(source: str, levels: list[str]) -> str:
+    own = f"SELECT *, unnest(['all', property_type]) AS segment FROM {source}"
+    return " UNION ALL ".join(f"SELECT country, '{a}' AS area_level, {a} AS area_code, segment, year, price FROM ({own})" for a in levels)
+
+
+def _loaded_stats(source: str, levels: list[str]) -> str:
+    least = " ".join(f"WHEN '{a}' THEN {A.K.LEVEL_MIN_SALES[a]}" for a in levels)
+    return f"""SELECT country, area_level, area_code, segment, year, count(*) AS transaction_count, round(median(price),8) AS median_price,
+  CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE)/count(*) AS mean_price FROM ({_levels_sql(source, levels)})
+WHERE area_code IS NOT NULL GROUP BY ALL HAVING count(*)>=CASE area_level {least} END"""
+
+
+def loaded_store(spark: SparkSession, sf: str) -> str:
+    """Both countries loaded: two overlapping waves of the register, the second landed twice, transfers."""
+    store, landing = fresh_path(spark, "store"), fresh_path(spark, "landing")
+    rows = cut_lineage(bridge.register_rows(spark, sf))
+    even = F.col("paon").cast("int") % 2 == 0
+    land_lines(rows.where(~even), f"{landing}/wave-1")
+    land_lines(rows.where(even), f"{landing}/wave-2", packed=True)
+    spark.createDataFrame([("short1,250000,1999-04-01 00:00,AB1 2CD,D,N,F,1,,STREET",), ("short2,250000",)], "line string").coalesce(1).write.mode("append").text(f"{landing}/wave-1")
+    transfer_rows(spark, sf).write.option("compression", "gzip").option("emptyValue", "").csv(f"{landing}/transfers", header=True)
+    places = cut_lineage(gazetteer(spark, sf))
+
+    def register(unit: str):
+        return lambda: LD.load_register(spark, f"{landing}/{unit}", store, unit, "register", "GB", places)
+    LD.load_all([register("wave-1"), register("wave-2"), register("wave-2"), lambda: LD.load_transfers(spark, f"{landing}/transfers", store, "transfers", "transfers", "FR")])
+    return store
+
+
+@query("load_gb", _loaded_stats("gb_loaded", ["country", "county", "district", "outcode", "sector"]))
+def load_gb(spark: SparkSession, sf: str) -> DataFrame:
+    """Area statistics of the sales that the register loads stored."""
+    sales = U.read_table(spark, f"{loaded_store(spark, sf)}/sales").where("country = 'GB'")
+    return rounded(A.agg_area_stats(LD.as_sales(sales)).select(*A.AREA_KEYS, "transaction_count", "median_price", "mean_price"), 8, ["mean_price"])
+
+
+@query("load_fr", _loaded_stats("fr_loaded", ["country", "county", "district"]))
+def load_fr(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of the transfers."""
+    sales = U.read_table(spark, f"{loaded_store(spark, sf)}/sales").where("country = 'FR'")
+    return rounded(A.agg_area_stats(LD.as_sales(sales)).select(*A.AREA_KEYS, "transaction_count", "median_price", "mean_price"), 8, ["mean_price"])
+
+
+@query("run_ledger", """
+WITH r AS (SELECT 'wave-'||CASE WHEN CAST(paon AS INTEGER)%2=0 THEN 2 ELSE 1 END AS unit, problem, record_id FROM judged)
+SELECT 'register' AS source_key, unit, 'complete' AS status, count(*)+CASE unit WHEN 'wave-1' THEN 2 ELSE 0 END AS rows_read,
+  count(DISTINCT CASE WHEN problem IS NULL THEN record_id END) AS rows_written,
+  count_if(problem IS NOT NULL)::BIGINT+CASE unit WHEN 'wave-1' THEN 2 ELSE 0 END AS rows_rejected, CAST(1 AS BIGINT) AS runs FROM r GROUP BY unit
+UNION ALL SELECT 'transfers', 'transfers', 'complete', (SELECT count(*) FROM transfers_raw), (SELECT count(DISTINCT (id_mutation, id_parcelle)) FROM clean_transfers),
+  (SELECT count(*) FROM transfers_raw)-(SELECT count(*) FROM clean_transfers), 1""")
+def run_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    state = L.ledger_state(spark, f"{loaded_store(spark, sf)}/ledger")
+    return state.select("source_key", "unit", "status", "rows_read", "rows_written", "rows_rejected", "runs")

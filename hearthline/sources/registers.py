@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,34 +40,31 @@ def register_problem() -> F.Column:
 
 
 def register_sales(raw: DataFrame) -> DataFrame:
-    """Normalised sales of a register; rows with a problem are left out."""
+    """Normalised sales of a register; rows with a problem are left out. Every part is normalised once, in the inner projection."""
     def upper(c):
         return F.upper(F.trim(F.coalesce(F.col(c), F.lit(""))))
-    pc = X.norm_postcode(F.col("postcode"))
-    parts = X.postcode_parts(pc)
-    paon, saon = X.blank_to_null(X.norm_token(F.col("paon"))), X.blank_to_null(X.norm_token(F.col("saon")))
-    street, town = X.blank_to_null(X.norm_street(F.col("street"))), X.blank_to_null(X.norm_token(F.col("town")))
-    kind = F.coalesce(X.lookup(upper("type"), K.SALE_TYPE_CODES), F.lit("other"))
-    title = {c: F.initcap(X.blank_to_null(X.norm_token(F.col(c)))) for c in ("locality", "district", "county")}
-    return raw.where(register_problem().isNull()).select(
-        F.trim("record_id").alias("source_record_id"),
-        X.property_key(pc, paon, saon, street, town).alias("property_key"),
-        P.number(F.col("price")).alias("price"), P.iso_date(F.col("date")).alias("transaction_date"),
+    titles = ("locality", "district", "county")
+    parts = raw.where(register_problem().isNull()).select(
+        F.trim("record_id").alias("source_record_id"), P.number(F.col("price")).alias("price"), P.iso_date(F.col("date")).alias("transaction_date"),
+        X.norm_postcode(F.col("postcode")).alias("pc"), X.blank_to_null(X.norm_token(F.col("paon"))).alias("paon"), X.blank_to_null(X.norm_token(F.col("saon"))).alias("saon"),
+        X.blank_to_null(X.norm_street(F.col("street"))).alias("street"), X.blank_to_null(X.norm_token(F.col("town"))).alias("town"),
+        *[F.initcap(X.blank_to_null(X.norm_token(F.col(c)))).alias(c) for c in titles],
+        F.coalesce(X.lookup(upper("type"), K.SALE_TYPE_CODES), F.lit("other")).alias("property_type"),
+        F.coalesce(X.lookup(upper("duration"), K.TENURE_CODES), F.lit("unknown")).alias("tenure"), (upper("new_build") == "Y").alias("new_build"),
+        F.coalesce(X.lookup(upper("category"), K.BASIS_CODES), F.lit("UNKNOWN")).alias("market_value_basis"))
+    pc, paon, saon, street, town = (F.col(c) for c in ("pc", "paon", "saon", "street", "town"))
+    code = X.postcode_parts(pc)
+    return parts.select(
+        "source_record_id", X.key_of_parts(pc, paon, saon, street, town).alias("property_key"), "price", "transaction_date",
         X.blank_to_null(pc).alias("postcode_norm"), X.blank_to_null(X.pretty_postcode(pc)).alias("postcode_pretty"),
-        X.blank_to_null(parts["outcode"]).alias("outcode"), X.blank_to_null(parts["sector"]).alias("sector"),
-        kind.alias("property_type"),
-        F.coalesce(X.lookup(upper("duration"), K.TENURE_CODES), F.lit("unknown")).alias("tenure"),
-        (upper("new_build") == "Y").alias("new_build"), paon.alias("paon"), saon.alias("saon"),
-        F.initcap(street).alias("street"), X.display_address(saon, paon, street).alias("address_line"),
-        title["locality"].alias("locality"), F.initcap(town).alias("town"),
-        title["district"].alias("district"), title["county"].alias("county"),
-        F.coalesce(X.lookup(upper("category"), K.BASIS_CODES), F.lit("UNKNOWN")).alias("market_value_basis"),
-        (kind != "other").alias("is_residential"))
-
-
-def read_transfers(spark: SparkSession, path: str, departments: list[str] | None = None) -> DataFrame:
-    """Headed transfer file: sales only, valid date, chosen departments, typed columns."""
-    raw = spark.read.option("inferSchema", "false").csv(path, header=True)
+        X.blank_to_null(code["outcode"]).alias("outcode"), X.blank_to_null(code["sector"]).alias("sector"), "property_type", "tenure", "new_build",
+        "paon", "saon", F.initcap(street).alias("street"), X.display_address(saon, paon, street).alias("address_line"),
+        "locality", F.initcap(town).alias("town"), "district", "county", "market_value_basis", (F.col("property_type") != "other").alias("is_residential"))
+
+
+def read_transfers(spark: SparkSession, path: str, departments: list[str] | None = None, observed: Callable[[DataFrame], DataFrame] = lambda raw: raw) -> DataFrame:
+    """Headed transfer file: sales only, valid date, chosen departments, typed columns. `observed` may count the raw rows."""
+    raw = observed(spark.read.option("inferSchema", "false").csv(path, header=True))
     dept = F.trim("code_departement")
     kind = X.lookup(F.trim("type_local"), K.TRANSFER_TYPES)
     rows = raw.where((F.trim("nature_mutation") == K.TRANSFER_SALE_NATURE)

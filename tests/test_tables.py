@@ -1,5 +1,6 @@
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from hearthline.operators import forecast as FC
@@ -57,6 +58,50 @@ def test_refresh_touches_the_group_a_sale_leaves(spark):
     assert sorted(map(str, fresh.select(*columns).collect())) == sorted(map(str, A.agg_area_stats(now).select(*columns).collect()))
 
 
+def test_merge_of_rows_with_other_columns(spark):
+    path = fresh_path(spark, "t")
+    U.upsert_into(path, spark.createDataFrame([("x", 1, "a"), ("y", 2, "b")], "k string, v int, old string"), ["k"])
+    U.upsert_into(path, spark.createDataFrame([("x", 3, 0.5), ("z", 4, 1.5)], "k string, v int, fresh double"), ["k"])
+    rows = {r.k: (r.v, r.old, r.fresh) for r in U.read_table(spark, path).collect()}
+    assert rows == {"x": (3, "a", 0.5), "y": (2, "b", None), "z": (4, None, 1.5)}
+
+
+def test_insert_keeps_what_is_stored(spark):
+    path = fresh_path(spark, "t")
+    for batch in ([("x", 1), (None, 2)], [("x", 9), (None, 9), ("y", 5), ("y", 7)], [("y", 8)], []):
+        U.insert_into(path, spark.createDataFrame(batch, "k string, v int"), ["k"])
+    assert {(r.k, r.v) for r in U.read_table(spark, path).collect()} == {("x", 1), (None, 2), ("y", 7)} and U.read_table(spark, path).count() == 3
+
+
+def test_ledger_of_failing_and_repeated_runs(spark):
+    from hearthline.operators import ledger as L
+    path, calls = fresh_path(spark, "ledger"), []
+
+    def work(counts):
+        calls.append(1)
+        counts["read"] = 10 * len(calls)
+        if len(calls) == 1:
+            raise OSError("no such disk")
+        counts["written"], counts["rejected"] = 7, 3
+    with pytest.raises(OSError):
+        L.run_unit(spark, path, "s", "u", "v1", work)
+    state = L.ledger_state(spark, path).first()
+    assert (state.status, state.rows_read, state.rows_written, state.error, state.runs) == ("failed", 10, 0, "no such disk", 1)
+    assert L.run_unit(spark, path, "s", "u", "v1", work) and not L.run_unit(spark, path, "s", "u", "v1", work)
+    assert L.run_unit(spark, path, "s", "u", "v2", work) and L.run_unit(spark, path, "s", "other", "v1", work) and len(calls) == 4
+    rows = {r.unit: (r.status, r.signature, r.rows_read, r.rows_written, r.rows_rejected, r.runs) for r in L.ledger_state(spark, path).collect()}
+    assert rows == {"u": ("complete", "v2", 30, 7, 3, 3), "other": ("complete", "v1", 40, 7, 3, 1)}
+    assert [r.status for r in L.ledger_events(spark, path).where("unit = 'u'").orderBy("event").collect()] == ["running", "failed", "running", "complete", "running", "complete"]
+
+
+def test_marks_of_other_sources_stay(spark):
+    from hearthline.operators import ledger as L
+    path = fresh_path(spark, "marks")
+    for rows in ([("a", date(2001, 1, 1)), ("b", date(2002, 1, 1))], [("a", date(2000, 1, 1)), ("a", date(1999, 1, 1))]):
+        L.mark_sources(path, spark.createDataFrame(rows, "source_key string, transaction_date date"))
+    assert {tuple(r) for r in U.read_table(spark, path).select("source_key", "last_record", "record_count").collect()} == {("a", date(2001, 1, 1), 2), ("b", date(2002, 1, 1), 1)}
+
+
 def test_shapes(spark):
     ell = [(0.0, 0.0), (4.0, 0.0), (4.0, 1.0), (1.0, 1.0), (1.0, 4.0), (0.0, 4.0)]
     square = [(0.2, 0.2), (0.8, 0.2), (0.8, 0.8), (0.2, 0.8)]
