@@ -35,6 +35,46 @@ def test_bucket_number_stays_with_the_table(spark):
     assert sorted(r.v for r in U.read_table(spark, path).collect()) == list(range(1, 51))
 
 
+def bucket_sizes(spark, path):
+    return {r[0]: r[1] for r in spark.read.parquet(path).groupBy(U.BUCKET).count().collect()}
+
+
+def test_buckets_split_as_the_table_grows(spark):
+    """Begun with 50 rows, grown to 60,000: buckets stay small, no key is there twice, untouched buckets are not rewritten."""
+    path, size = fresh_path(spark, "t"), 500
+
+    def batch(first, last, v):
+        return spark.range(first, last).select(F.concat(F.lit("k"), "id").alias("k"), F.lit(v).alias("v"))
+    for first, last, v in [(0, 50, 1), (25, 400, 2), (300, 20_000, 3), (0, 30, 4), (19_000, 60_000, 5)]:
+        U.upsert_into(path, batch(first, last, v), ["k"], rows_per_bucket=size)
+    U.insert_into(path, batch(59_990, 60_010, 6), ["k"], rows_per_bucket=size)
+    table = U.read_table(spark, path)
+    assert table.count() == table.select("k").distinct().count() == 60_010
+    want = {4: 30, 2: 270, 3: 18_700, 5: 41_000, 6: 10}
+    assert {r.v: r[1] for r in table.groupBy("v").count().collect()} == want
+    sizes = bucket_sizes(spark, path)
+    assert len(sizes) == -(-60_010 // size) and max(sizes.values()) < 2.6 * size
+    assert spark.read.parquet(path).where(F.col(U.BUCKET) != U.bucket_of(["k"], len(sizes))).count() == 0
+
+
+def test_a_split_that_was_cut_short_is_finished(spark, monkeypatch):
+    path = fresh_path(spark, "t")
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v"))
+    swap = U._swap_split
+
+    def dies(folder, note):
+        folder.drop_buckets(note["old"])  # rows are gone from the table, the stage holds them
+        raise OSError("executor lost")
+    monkeypatch.setattr(U, "_swap_split", dies)
+    with pytest.raises(OSError):
+        U.upsert_into(path, rows, ["k"], buckets=2, rows_per_bucket=200)
+    monkeypatch.setattr(U, "_swap_split", swap)
+    U.upsert_into(path, rows.where("cast(k as int) < 10").withColumn("v", F.lit(2)), ["k"], rows_per_bucket=200)
+    table = U.read_table(spark, path)
+    assert {r.v: r[1] for r in table.groupBy("v").count().collect()} == {1: 2990, 2: 10} and table.select("k").distinct().count() == 3000
+    assert len(bucket_sizes(spark, path)) == 15
+
+
 def test_rows_of_one_key_are_not_mixed(spark):
     path = fresh_path(spark, "t")
     rows = [("x", i, f"s{i}", 2 * i) for i in range(20)]
