@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import geo
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import quantiles_of_counts, value_bin
+from ..session import cut_lineage
 from . import area_stats as A
 from . import coverage as COV
 from . import places as P
@@ -102,42 +103,95 @@ def with_levels_to_try(viewports: DataFrame) -> DataFrame:
     return viewports.withColumn("_o", F.explode(F.filter(every, lambda e: e["rank"] >= own))).select(*viewports.columns, "_o.*")
 
 
-AREA = ["viewport_id", "rank", "area_level", "area_code", "lat", "lon", "median_price", "transaction_count", "growth_1y_pct"]
+FIGURES = ["median_price", "p25_price", "p75_price", "median_price_per_sqm", "transaction_count"]
+AREA = ["viewport_id", "rank", "area_level", "area_code", "lat", "lon", *FIGURES, "growth_1y_pct", "basis", "market_district", "visible_area"]
 
 
-def stored_areas(tries: DataFrame, stats: DataFrame) -> DataFrame:
-    """Stored rows whose centre is in view, with growth on the year before."""
-    rows = A.with_growth(stats.where("median_price IS NOT NULL")).where("area_level <> 'country'").select(
-        "country", "area_level", "area_code", "segment", F.col("year").alias("stats_year"), F.col("centre_lat").alias("lat"), F.col("centre_lon").alias("lon"),
-        "median_price", "transaction_count", "growth_1y_pct")
+def _as_area(rows: DataFrame, **given: Column) -> DataFrame:
+    """Rows with all columns of an area answer; what is not given is null."""
+    kinds = {"growth_1y_pct": "double", "basis": "string", "market_district": "string", "visible_area": "double"}
+    values = {c: F.lit(None).cast(t) for c, t in kinds.items() if c not in rows.columns} | given
+    return rows.withColumns(values).select(*AREA)
+
+
+def _published(stats: DataFrame) -> DataFrame:
+    """Statistics that have a price, with growth and with what they rest on (recorded sales where nothing is said)."""
+    rows = stats if "basis" in stats.columns else stats.withColumn("basis", F.lit("TRANSACTIONS"))
+    rows = rows.where("median_price IS NOT NULL")
+    # one row for each area: recorded sales before a published figure, then most sales
+    order = F.struct(F.col("basis") != "TRANSACTIONS", -F.coalesce("transaction_count", F.lit(0)), "basis")
+    keys = ["country", "area_level", "area_code", "segment", "year"]
+    rest = [c for c in rows.columns if c not in keys]
+    picked = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("v")).select(*keys, "v.*")
+    return A.with_growth(picked).withColumnRenamed("year", "stats_year")
+
+
+def stored_areas(tries: DataFrame, published: DataFrame) -> DataFrame:
+    """Stored rows whose centre is in view."""
+    rows = published.where("area_level <> 'country'").select("country", "area_level", "area_code", "segment", "stats_year", F.col("centre_lat").alias("lat"),
+                                                             F.col("centre_lon").alias("lon"), *FIGURES, "growth_1y_pct", "basis")
     boxes = P.plain_boxes(tries.where(~F.col("area_level").isin(*K.LIVE_LEVELS, "country"))).select(
         "viewport_id", "rank", "country", "area_level", "segment", "stats_year", "w", "s", "e", "n")
-    return P.box_join(rows, boxes, ["country", "area_level", "segment", "stats_year"]).select(*AREA)
+    return _as_area(P.box_join(rows, boxes, ["country", "area_level", "segment", "stats_year"]))
 
 
-def agg_live(sales: DataFrame, boxes: DataFrame, level: str, key: Column, minimum: int = K.LIVE_MIN_SALES) -> DataFrame:
-    """Medians per postcode or street from the sales in view, pooled over three years."""
-    rows = A.evidence(sales).withColumn("area_code", key).where("area_code IS NOT NULL").select(
-        "country", "area_code", "lat", "lon", "price", "year", "property_type")
-    seen = P.box_join(rows, boxes, ["country"]).where(
-        F.col("year").between(F.col("stats_year") - (K.LIVE_WINDOW_YEARS - 1), F.col("stats_year"))
-        & ((F.col("segment") == "all") | (F.col("property_type") == F.col("segment"))))
-    keys = ["viewport_id", "rank", "area_code"]
-    out = exact_quantiles(seen, keys, {"price": {"median_price": 0.5}}, also=[
-        F.count(F.lit(1)).alias("transaction_count"), A.exact_mean("lat", 7).alias("lat"), A.exact_mean("lon", 7).alias("lon")])
-    return out.where(F.col("transaction_count") >= minimum).withColumns(
-        {"area_level": F.lit(level), "growth_1y_pct": F.lit(None).cast("double")}).select(*AREA)
+def shaped_areas(tries: DataFrame, published: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Rows of areas that have a shape (shape_id, rings, country, area_level, area_code), placed inside its visible part."""
+    levels = [r.area_level for r in shapes.select("area_level").distinct().collect()]  # names of levels, a handful
+    boxes = tries.where(F.col("area_level").isin(levels))
+    seen = P.polygon_in_view(boxes.select(F.col("viewport_id").alias("box_id"), "west", "south", "east", "north").distinct(), shapes.select("shape_id", "rings")).join(
+        shapes.select("shape_id", "country", "area_level", "area_code"), "shape_id").withColumnRenamed("box_id", "viewport_id")
+    wanted = boxes.select("viewport_id", "rank", "country", "area_level", "segment", "stats_year").join(seen.drop("shape_id"), ["viewport_id", "country", "area_level"])
+    rows = published.select("country", "area_level", "area_code", "segment", "stats_year", *FIGURES, "growth_1y_pct", "basis")
+    return _as_area(wanted.join(rows, ["country", "area_level", "area_code", "segment", "stats_year"]))
 
 
-def country_areas(tries: DataFrame, stats: DataFrame, countries: DataFrame) -> DataFrame:
-    """Country rows for every country in view, placed inside its visible part, largest first."""
+LIVE_BITS = 12  # tiles of about 5 km
+
+
+def live_tiles(sales: DataFrame, level: str, key: Column) -> DataFrame:
+    """Evidence sales counted by tile, position, area, year, type, price and price per square metre: what live answers read.
+
+    Made once for all viewports; a tile is a cell of the grid that wraps around the globe.
+    """
+    rows = A.evidence(sales).withColumn("area_code", key).where("area_code IS NOT NULL")
+    return rows.groupBy("country", geo.dyadic_cell(F.col("lat"), F.col("lon"), LIVE_BITS).alias("tile"), F.lit(level).alias("area_level"), "area_code", "lat", "lon", "year",
+                        "property_type", "district", "price", "price_per_sqm").agg(F.count(F.lit(1)).alias("sales"))
+
+
+def agg_live(tiles: DataFrame, boxes: DataFrame, minimum: int = K.LIVE_MIN_SALES) -> DataFrame:
+    """Quartiles, price per square metre and commonest district per postcode or street from the tiles in view, pooled over three years."""
+    step = 180.0 / (1 << LIVE_BITS)
+
+    def numbers(low, high, offset):
+        return F.sequence(F.floor((F.col(low) + offset) / step), F.floor((F.col(high) + offset) / step))
+    cells = F.flatten(F.transform(numbers("s", "n", 90.0), lambda r: F.transform(numbers("w", "e", 180.0), lambda c: geo.wrapped_cell(r, c, LIVE_BITS))))
+    looking = boxes.withColumn("tile", F.explode_outer(F.array_distinct(cells)))
+    inside = F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n"))
+    pooled = F.col("year").between(F.col("stats_year") - (K.LIVE_WINDOW_YEARS - 1), F.col("stats_year"))
+    seen = looking.join(tiles, ["country", "area_level", "tile"]).where(inside & pooled & ((F.col("segment") == "all") | (F.col("property_type") == F.col("segment"))))
+    keys = ["viewport_id", "rank", "area_level", "area_code"]
+    values = [F.struct(F.lit(i).alias("_m"), F.col(v).cast("double").alias("_v")) for i, v in enumerate(("price", "price_per_sqm"))]
+    counts = (seen.select(*keys, "sales", F.explode(F.array(*values)).alias("v")).select(*keys, "v.*", "sales").where("_v IS NOT NULL")
+              .groupBy(*keys, "_m", value_bin(F.col("_v")).alias("_bin"), "_v").agg(F.sum("sales").alias("_n")))
+    found = quantiles_of_counts(counts, keys, [{"p25_price": 0.25, "median_price": 0.5, "p75_price": 0.75}, {"median_price_per_sqm": 0.5}])
+
+    def mean(c):
+        return F.sum(F.col(c).cast("decimal(18,7)") * F.col("sales").cast("decimal(12,0)")).cast("double") / F.sum("sales")
+    district = seen.groupBy(*keys, "district").agg(F.sum("sales").alias("d")).groupBy(*keys).agg(
+        F.min_by("district", F.when(F.col("district").isNotNull(), F.struct(-F.col("d"), "district"))).alias("market_district"))
+    groups = seen.groupBy(*keys).agg(F.sum("sales").alias("transaction_count"), mean("lat").alias("lat"), mean("lon").alias("lon")).where(F.col("transaction_count") >= minimum)
+    return _as_area(groups.join(found, keys).join(district, keys), basis=F.lit("TRANSACTIONS"))
+
+
+def country_areas(tries: DataFrame, published: DataFrame, countries: DataFrame) -> DataFrame:
+    """One row for every country in view, placed inside its visible part, largest first."""
     boxes = tries.where("area_level = 'country'").select("viewport_id", "rank", "segment", "stats_year", "west", "south", "east", "north")
     seen = P.polygon_in_view(boxes.select(F.col("viewport_id").alias("box_id"), "west", "south", "east", "north"), countries).select(
         F.col("box_id").alias("viewport_id"), F.col("shape_id").alias("country"), "visible_area", "lat", "lon")
-    rows = stats.where("area_level = 'country' AND median_price IS NOT NULL").select(
-        "country", "segment", F.col("year").alias("stats_year"), "area_code", "median_price", "transaction_count")
-    return (boxes.select("viewport_id", "rank", "segment", "stats_year").join(seen, "viewport_id").join(rows, ["country", "segment", "stats_year"])
-            .withColumns({"area_level": F.lit("country"), "growth_1y_pct": F.lit(None).cast("double")}).select(*AREA, "visible_area"))
+    rows = published.where("area_level = 'country'").select("country", "segment", "stats_year", "area_code", "basis", *FIGURES)
+    return _as_area(boxes.select("viewport_id", "rank", "segment", "stats_year").join(seen, "viewport_id").join(rows, ["country", "segment", "stats_year"]),
+                    area_level=F.lit("country"))
 
 
 def coarsen(found: DataFrame) -> DataFrame:
@@ -152,29 +206,38 @@ def top_rows(rows: DataFrame, limits: DataFrame) -> DataFrame:
     return rows.join(limits, "viewport_id").withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("row_limit")).drop("row_limit")
 
 
-def map_areas(gated: DataFrame, stats: DataFrame, sales: DataFrame, countries: DataFrame, today: date, market: DataFrame | None = None) -> DataFrame:
+def map_areas(gated: DataFrame, stats: DataFrame, tiles: DataFrame, countries: DataFrame, today: date, market: DataFrame | None = None,
+              shaped: DataFrame | None = None, currencies: DataFrame | None = None) -> DataFrame:
     """Area rows per viewport: coarsened, snapped to a year with figures, ranked and labelled.
 
-    `market` holds (country, area_level, area_code, segment, year, ratio, confidence); a future year
-    shows only areas that it can project.
+    `tiles` are the live tiles of postcodes and streets. Where areas of a level have shapes (`shaped`) and one is in view,
+    they answer instead of the level's stored centres. `market` holds (country, area_level, area_code, segment, year,
+    ratio, confidence); a future year shows only areas that it can project. `currencies` holds (country, currency).
     """
     asked = year_snap(gated.where("branch = 'areas'"), stats, today)
     tries = with_levels_to_try(asked)
-    none = F.lit(None).cast("double").alias("visible_area")
-    found = stored_areas(tries, stats).select("*", none)
-    street = F.concat(F.coalesce("street", F.lit("")), F.lit(", "), F.coalesce("outcode", F.lit("")))
-    for level, key in (("postcode", F.col("postcode")), ("street", street)):
-        boxes = P.plain_boxes(tries.where(F.col("area_level") == level)).select("viewport_id", "rank", "country", "segment", "stats_year", "w", "s", "e", "n")
-        found = found.unionByName(agg_live(sales, boxes, level, key).select("*", none))
-    found = found.unionByName(country_areas(tries, stats, countries))
+    published = cut_lineage(_published(stats))
+    found = stored_areas(tries, published)
+    if shaped is not None:
+        outlined = cut_lineage(shaped_areas(tries, published, shaped))
+        found = found.join(outlined.select("viewport_id", "rank").distinct(), ["viewport_id", "rank"], "left_anti").select(*AREA).unionByName(outlined)
+    boxes = P.plain_boxes(tries.where(F.col("area_level").isin(*K.LIVE_LEVELS))).select("viewport_id", "rank", "area_level", "country", "segment", "stats_year", "w", "s", "e", "n")
+    found = found.unionByName(agg_live(tiles, boxes)).unionByName(country_areas(tries, published, countries))
     limits = asked.select("viewport_id", limit_of(F.col("tier")).alias("row_limit"))
     rows = top_rows(coarsen(found), limits).join(asked.select("viewport_id", "country", "tier", "segment", "year", "stats_year"), "viewport_id")
-    rows = rows.withColumns({"precision": honest_precision(F.col("area_level"), F.col("tier")), "served_tier": honest_tier(F.col("area_level"), F.col("tier")),
-                             "is_forecast": F.col("year") > today.year})
+    live = F.col("area_level").isin(*K.LIVE_LEVELS)
+    rows = rows.withColumns({
+        "precision": honest_precision(F.col("area_level"), F.col("tier")), "served_tier": honest_tier(F.col("area_level"), F.col("tier")), "is_forecast": F.col("year") > today.year,
+        "price_statistic": F.lit("MEDIAN"), "window_from_year": F.when(live, F.col("stats_year") - (K.LIVE_WINDOW_YEARS - 1)).otherwise(F.col("year")),
+        "window_to_year": F.when(live, F.col("stats_year")).otherwise(F.col("year")), "confidence": F.lit(None).cast("string")})
+    if currencies is not None:
+        # a country row may be another country than the one under the centre
+        money = currencies.select(F.col("country").alias("_of"), "currency")
+        rows = rows.withColumn("_of", F.when(F.col("area_level") == "country", F.col("area_code")).otherwise(F.col("country"))).join(money, "_of", "left").drop("_of")
     if market is None:
         return rows.where(~F.col("is_forecast"))
-    moved = rows.where("is_forecast").join(market, ["country", "area_level", "area_code", "segment", "year"]).withColumn(
-        "median_price", F.col("median_price") * F.col("ratio")).drop("ratio", "confidence")
+    moved = rows.where("is_forecast").drop("confidence").join(market, ["country", "area_level", "area_code", "segment", "year"]).withColumn(
+        "median_price", F.col("median_price") * F.col("ratio")).drop("ratio")
     return rows.where(~F.col("is_forecast")).unionByName(moved)
 
 
@@ -184,7 +247,7 @@ def map_world(gated: DataFrame, stats: DataFrame, countries: DataFrame, today: d
     years = stats.where("area_level = 'country'").select("segment", F.col("year").alias("y")).distinct()
     snapped = asked.select("segment", "year").distinct().join(years, "segment").where("y <= year").groupBy("segment", "year").agg(F.max("y").alias("stats_year"))
     tries = asked.join(snapped, ["segment", "year"], "left").withColumns({"stats_year": F.coalesce("stats_year", "year"), "area_level": F.lit("country"), "rank": F.lit(7)})
-    return top_rows(country_areas(tries, stats, countries), asked.select("viewport_id", limit_of(F.col("tier")).alias("row_limit")))
+    return top_rows(country_areas(tries, _published(stats), countries), asked.select("viewport_id", limit_of(F.col("tier")).alias("row_limit")))
 
 
 def thinned_dwellings(gated: DataFrame, dwellings: DataFrame, sale_counts: DataFrame) -> DataFrame:
