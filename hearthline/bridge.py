@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import cut_lineage
+
 
 TYPE_BY_CLASS = {"STANDARD": "detached", "PROMO": "semi_detached", "ECONOMY": "terraced",
                  "MEDIUM": "flat", "LARGE": "house", "SMALL": "other"}
@@ -155,7 +157,8 @@ def region_shapes(spark: SparkSession, sf: str) -> DataFrame:
     """Four patches per nation."""
     n = F.col("n_nationkey").cast("long")
     rings = F.array(*[_patch(n + 25 * j, n % 5 == 0) for j in range(4)])
-    return table(spark, sf, "nation").select(F.col("n_name").alias("shape_id"), "n_regionkey", rings.alias("rings"))
+    # stored, as outlines are: an expression of this size would be repeated in every filter on it
+    return cut_lineage(table(spark, sf, "nation").select(F.col("n_name").alias("shape_id"), "n_regionkey", rings.alias("rings")))
 
 
 def country_shapes(spark: SparkSession, sf: str) -> DataFrame:

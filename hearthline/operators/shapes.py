@@ -33,7 +33,7 @@ TRIALS = (0.5, 0.1327, 0.8413, 0.3129, 0.6791, 0.0411, 0.9583)  # where in a str
 
 def edges_of(shapes: DataFrame) -> DataFrame:
     """One row per edge of every ring."""
-    rings = shapes.select("shape_id", F.explode("rings").alias("r"))
+    rings = shapes.select("shape_id", F.explode_outer("rings").alias("r"))
     edge = F.transform("r", lambda p, i: F.struct(
         p["x"].alias("x1"), p["y"].alias("y1"), F.get("r", (i + 1) % F.size("r"))["x"].alias("x2"), F.get("r", (i + 1) % F.size("r"))["y"].alias("y2")))
     return rings.select("shape_id", F.explode(edge).alias("e")).select("shape_id", "e.*").where("x1 <> x2 OR y1 <> y2")
