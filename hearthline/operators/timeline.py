@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..policies import ForecastPolicy, SearchPolicy
@@ -92,3 +92,12 @@ def val_detail(dwellings: DataFrame, sales: DataFrame, figures: DataFrame, curre
     now = current.select("property_id", F.col("estimated_price").alias("current_estimate"), F.col("confidence").alias("current_confidence"))
     return (dwellings.select("property_id", "property_type", "country").join(totals, "property_id", "left")
             .join(figures.drop("year"), "property_id", "left").join(now, "property_id", "left"))
+
+
+def sale_list(dwellings: DataFrame, sales: DataFrame) -> DataFrame:
+    """Every recorded sale of the dwellings, newest first, numbered per dwelling, with the change on the sale before."""
+    own = Window.partitionBy("property_id").orderBy(F.col("transaction_date").desc(), F.col("price").desc(), "sale_key")
+    before = F.lead("price").over(own)
+    rows = sales.join(dwellings.select("property_id"), "property_id", "left_semi")
+    return rows.select("property_id", F.row_number().over(own).alias("place"), "transaction_date", "price", "market_value_basis", "sale_key",
+                       F.when(before > 0, (F.col("price") / before - 1) * 100).alias("change_pct"))

@@ -12,6 +12,7 @@ from ..operators import coverage as C
 from ..operators import places as P
 from ..operators import quality as Q
 from ..session import cut_lineage
+from ..sources import registers
 from .book import book, rounded
 from .oracle import cte
 from .q_forecast import _GRADE, market
@@ -219,9 +220,14 @@ def priced_only(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- data quality ------------------------------------------------------------
-@query("dq_unique", "SELECT source_record_id, count(*) AS copies FROM sales GROUP BY 1 HAVING count(*)>1")
+@query("dq_unique", """SELECT 'sale' AS rule, source_record_id AS key, count(*) AS copies FROM sales GROUP BY 2 HAVING count(*)>1
+UNION ALL SELECT 'dwelling', 'GB/'||property_key, count(*) FROM clean GROUP BY 2 HAVING count(*)>1""")
 def dq_unique(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.dq_unique(bridge.sales(spark, sf), ["source_record_id"])
+    """Both unique keys, over rows as they are before merging: the record of a sale, and the country and key of a dwelling."""
+    sale = Q.dq_unique(bridge.sales(spark, sf), ["source_record_id"]).select(F.lit("sale").alias("rule"), F.col("source_record_id").alias("key"), "copies")
+    homes = registers.register_sales(bridge.register_rows(spark, sf)).withColumn("country", F.lit("GB"))
+    home = Q.dq_unique(homes, ["country", "property_key"]).select(F.lit("dwelling").alias("rule"), F.concat_ws("/", "country", "property_key").alias("key"), "copies")
+    return sale.unionByName(home)
 
 
 @query("dq_price", "SELECT 'price and currency present' AS rule, count(*) AS checked, count_if(sale_area=13)::BIGINT AS broken FROM sales")

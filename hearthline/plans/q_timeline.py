@@ -87,3 +87,10 @@ def val_detail(spark: SparkSession, sf: str) -> DataFrame:
     homes = bridge.dwellings(spark, sf)
     chosen = cut_lineage(figures(spark, sf, homes.select("property_id", F.lit(2003).alias("year"))))
     return TL.val_detail(homes, bridge.sales(spark, sf), chosen, current_values(spark, sf))
+
+
+@query("val_detail_sales", """SELECT property_id, CAST(row_number() OVER w AS INTEGER) AS place, transaction_date, price, market_value_basis, sale_key,
+  round(CASE WHEN lead(price) OVER w>0 THEN (price/lead(price) OVER w-1)*100 END,6) AS change_pct FROM sales WINDOW w AS (PARTITION BY property_id ORDER BY transaction_date DESC, price DESC, sale_key)""")
+def val_detail_sales(spark: SparkSession, sf: str) -> DataFrame:
+    """The sale list of every dwelling's detail."""
+    return TL.sale_list(bridge.dwellings(spark, sf), bridge.sales(spark, sf)).withColumn("change_pct", F.round("change_pct", 6))

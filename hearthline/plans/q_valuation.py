@@ -381,8 +381,14 @@ _METRICS = """count(*) AS n, round(avg(abs(estimated_price-actual)),2) AS mae, r
   round(100*quantile_cont((estimated_price-actual)/actual,0.5),4) AS median_signed_pct"""
 
 
-@query("agg_eval", f"""WITH {_EVAL} SELECT 'all' AS grade, {_METRICS} FROM est WHERE ok
-UNION ALL SELECT confidence, {_METRICS} FROM est WHERE ok GROUP BY confidence""")
+@query("eval_report", f"""WITH {_EVAL} SELECT CAST(count(*) AS BIGINT) AS sampled, CAST(count_if(ok) AS BIGINT) AS usable, round(100.0*count_if(ok)/count(*),1) AS coverage_of_sample_pct,
+  coalesce((SELECT string_agg(status||':'||n, ',' ORDER BY status) FROM (SELECT status, count(*) AS n FROM est WHERE NOT ok GROUP BY status)),'') AS skipped, count_if(ok)>=30 AS reported FROM est""")
+def eval_report(spark: SparkSession, sf: str) -> DataFrame:
+    return E.eval_report(evaluated(spark, sf))
+
+
+@query("agg_eval", f"""WITH {_EVAL}, usable AS (SELECT * FROM est WHERE ok AND (SELECT count(*) FROM est WHERE ok)>=30) SELECT 'all' AS grade, {_METRICS} FROM usable HAVING count(*)>0
+UNION ALL SELECT confidence, {_METRICS} FROM usable GROUP BY confidence""")
 def agg_eval(spark: SparkSession, sf: str) -> DataFrame:
     return E.agg_eval(evaluated(spark, sf))
 
