@@ -18,35 +18,6 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.round(F.asin(F.sqrt(F.least(F.lit(1.0), a))) * (2 * K.EARTH_RADIUS_M), 6)
 
 
-# --- metric grid -------------------------------------------------------------
-# Rows are bands of equal latitude. Inside a band the cell width in degrees is set by the
-# band's edge nearest a pole, so a cell is never narrower than its nominal edge there.
-
-def grid_row(lat: Column, edge_m: Column) -> Column:
-    return F.floor(lat * K.METRES_PER_DEGREE / edge_m).cast("long")
-
-
-def _cell_width_deg(row: Column, edge_m: Column) -> Column:
-    step = edge_m / K.METRES_PER_DEGREE
-    outer = F.least(F.greatest(F.abs(row * step), F.abs((row + 1) * step)), F.lit(89.0))
-    return step / F.cos(F.radians(outer))
-
-
-def grid_col(lon: Column, row: Column, edge_m: Column) -> Column:
-    return F.floor(lon / _cell_width_deg(row, edge_m)).cast("long")
-
-
-def cover_cells(lat: Column, lon: Column, radius_m: Column, edge_m: Column) -> Column:
-    """All (row, col) cells that a circle can touch, as an array of structs."""
-    reach = radius_m / K.METRES_PER_DEGREE * 1.002
-    rows = F.sequence(grid_row(lat - reach, edge_m), grid_row(lat + reach, edge_m))
-    widest = F.least(F.abs(lat) + reach, F.lit(89.0))
-    lon_reach = reach / F.cos(F.radians(widest))
-    return F.flatten(F.transform(rows, lambda r: F.transform(
-        F.sequence(grid_col(lon - lon_reach, r, edge_m), grid_col(lon + lon_reach, r, edge_m)),
-        lambda c: F.struct(r.alias("row"), c.alias("col")))))
-
-
 # --- dyadic grid ---------------------------------------------------------------
 # 2^bits rows from pole to pole and twice as many columns around the globe, so that cells wrap at 180 degrees.
 

@@ -151,19 +151,17 @@ def test_binary_search(spark):
 
 def test_cells_cover_the_circle(spark):
     rng = random.Random(3)
-    rows = []
-    for _ in range(400):
-        lat, lon = rng.uniform(-70, 70), rng.uniform(-170, 170)
-        bearing, r = rng.uniform(0, 2 * math.pi), rng.choice([25.0, 400.0, 6400.0])
-        d = r * rng.uniform(0.5, 1.0) / 111195.0
-        rows.append((lat, lon, r, lat + d * math.cos(bearing), lon + d * math.sin(bearing) / math.cos(math.radians(lat))))
-    df = spark.createDataFrame(rows, "lat double, lon double, r double, plat double, plon double")
-    edge = F.col("r") / 2
-    row = geo.grid_row(F.col("plat"), edge)
-    cell = F.struct(row.alias("row"), geo.grid_col(F.col("plon"), row, edge).alias("col"))
-    missed = df.where(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")) <= F.col("r")).where(
-        ~F.array_contains(geo.cover_cells(F.col("lat"), F.col("lon"), F.col("r"), edge), cell)).count()
-    assert missed == 0
+    for r in (25.0, 400.0, 6400.0):
+        rows = []
+        for _ in range(200):
+            lat, lon = rng.uniform(-80, 80), rng.choice([rng.uniform(-180, 180), 179.9999, -180.0])
+            bearing, d = rng.uniform(0, 2 * math.pi), r * rng.uniform(0.5, 1.0) / 111195.0
+            rows.append((lat, lon, lat + d * math.cos(bearing), (lon + d * math.sin(bearing) / math.cos(math.radians(lat)) + 180) % 360 - 180))
+        df = spark.createDataFrame(rows, "lat double, lon double, plat double, plon double")
+        bits = geo.bits_for(r / 2)
+        near = df.where(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")) <= r)
+        cells = geo.touched_cells(F.col("lat"), F.col("lon"), r, bits)
+        assert near.where(~F.array_contains(cells, geo.dyadic_cell(F.col("plat"), F.col("plon"), bits))).count() == 0 and near.count() > 100
 
 
 def test_similarity_is_monotone(spark):
