@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _STAGES: list[str] = []
 _LOCAL: list[str] = []
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,11 +30,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a reused result in the shared folder, so that lost executors cost little."""
-    path = fresh_path(df.sparkSession, "stage")
-    df.write.parquet(path)
+    """Materialise a reused result in the shared folder, so that lost executors cost little.
+
+    Nothing reads the write's shuffles once the result is complete, so executors are told to drop their files.
+    """
+    spark = df.sparkSession
+    path, before = fresh_path(spark, "stage"), spark.conf.get(_FREE)
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE, before)
     _STAGES.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stages(spark: SparkSession) -> None:
