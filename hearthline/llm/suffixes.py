@@ -8,7 +8,11 @@ repeated strings. The sort goes from coarse to fine digits, and only groups that
    as one run: the longest stretch of windows with the same anchor. This is the pass over all text.
 2. Second digit: the whole string of a run. Runs with equal strings hold equal windows throughout, so all but those in
    the document with the least id are repeats. Anchors whose runs are all equal end here.
-3. Last digit: the window itself, only for one copy of each different run whose anchor has other runs.
+3. Third digit: the anchor with bytes at its sides. A window has `window - gram` bytes around its anchor; three digits
+   (two thirds of these to the right, a third to each side, two thirds to the left) cover every place that the anchor
+   can have in it, so equal windows agree in at least one. Of each different run whose anchor has other runs one copy is
+   looked at, and it goes on only where one of its digits recurs in another document.
+4. Last digit: the window itself.
 
 Each pass deals digits to groups by number, sorts inside the tasks, and drops what is settled. Runs are settled within
 a slice of the input before they are dealt: of equal runs in a slice only those of the least document travel, so a passage that a
@@ -57,9 +61,14 @@ def _rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def runs(chunk: B.Chunk, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """Anchor hash, string hash, row, start in the row, and length of every run of a chunk."""
+    return runs_and_sides(chunk, window, gram)[:5]
+
+
+def runs_and_sides(chunk: B.Chunk, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Anchor hash, string hash, row, start in the row, length, and the three side digits of every run of a chunk."""
     size, many = len(chunk.data), window - gram + 1
     if size < window:
-        return tuple(np.zeros(0, dtype=t) for t in (B.U64, B.U64, np.int64, np.int64, np.int64))
+        return *(np.zeros(0, dtype=t) for t in (B.U64, B.U64, np.int64, np.int64, np.int64)), np.zeros((0, 3), dtype=np.uint16)
     sums = chunk.sums()
     at = np.arange(size - gram + 1)
     code = B.pieces(sums, at, at + gram)
@@ -79,7 +88,35 @@ def runs(chunk: B.Chunk, window: int, gram: int) -> tuple[np.ndarray, ...]:
     last[:-1] &= fresh[1:] | ~whole[1:]
     starts, ends = np.flatnonzero(fresh), np.flatnonzero(last) + window
     row = np.searchsorted(chunk.offsets, starts, side="right") - 1
-    return code[anchor[starts]], B.mix(B.pieces(sums, starts, ends) ^ (ends - starts).astype(B.U64)), row, starts - chunk.offsets[row], ends - starts
+    return (code[anchor[starts]], B.mix(B.pieces(sums, starts, ends) ^ (ends - starts).astype(B.U64)), row, starts - chunk.offsets[row], ends - starts,
+            _sides(sums, anchor[starts], starts, ends, window, gram))
+
+
+def _sides(sums: np.ndarray, anchor: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """Digits of 16 bits from the bytes beside each run's anchor; 0 where no window of the run has the anchor there."""
+    third = (window - gram) // 3
+    out = np.zeros((len(anchor), 3), dtype=np.uint16)
+    for k in range(3):
+        a, z = anchor - k * third, anchor + gram + (2 - k) * third
+        has = (a >= starts) & (z <= ends)
+        digit = B.mix(B.pieces(sums, a[has], z[has])) >> B.U64(48)
+        out[has, k] = np.maximum(digit, B.U64(1))
+    return out
+
+
+def _recurs(anchor: np.ndarray, digits: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which runs share a digit with a run of the same anchor in another document."""
+    out = np.zeros(len(doc), dtype=bool)
+    for k in range(digits.shape[1]):
+        some = np.flatnonzero(digits[:, k])
+        value = anchor[some] << B.U64(16) | digits[some, k].astype(B.U64)
+        order = np.argsort(value, kind="stable")
+        v, d = value[order], doc[some][order]
+        cut = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, dtype=np.int64)
+        if len(cut):
+            two = np.minimum.reduceat(d, cut) != np.maximum.reduceat(d, cut)
+            out[some[order]] |= np.repeat(two, np.diff(np.r_[cut, len(v)]))
+    return out
 
 
 def _row_keys(chunk: B.Chunk, ids: np.ndarray) -> np.ndarray:
@@ -111,7 +148,7 @@ def _later(value: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _settle(found: list, keys: np.ndarray, ids: np.ndarray, window: int, groups: int, parts: int) -> pa.RecordBatch:
     """Marks for the runs that an earlier document of the slice holds too; the other runs, dealt by anchor."""
-    anchor, code, row, start, length = (np.concatenate(x) for x in zip(*found))
+    anchor, code, row, start, length, sides = (np.concatenate(x) for x in zip(*found))
     word = (anchor & ~B.U64((1 << 40) - 1)) | (code >> B.U64(24))
     order, _, later = _later(word, ids[row])
     gone, stay = order[later], np.sort(order[~later])
@@ -122,7 +159,7 @@ def _settle(found: list, keys: np.ndarray, ids: np.ndarray, window: int, groups:
     for p, o in zip(g, np.split(stay[deal], cut[1:])) if len(stay) else ():
         docs, place = np.unique(row[o], return_inverse=True)
         out.append((_DIGITS, int(p), _press(word[o], place.astype(np.uint16 if len(docs) < 65536 else np.uint32), ids[docs], keys[docs],
-                                            start[o].astype(np.uint32), length[o].astype(np.uint8 if window < 128 else np.uint32))))
+                                            start[o].astype(np.uint32), length[o].astype(np.uint8 if window < 128 else np.uint32), sides[o])))
     return _rows(out)
 
 
@@ -136,10 +173,10 @@ def _first_pass(window: int, gram: int, groups: int, parts: int):
                 if held >= SLICE_BYTES:
                     yield _settle(found, np.concatenate(keys), ids[begin:chunk.first], window, groups, parts)
                     found, keys, begin, held = [], [], chunk.first, 0
-                anchor, code, row, start, length = runs(chunk, window, gram)
+                anchor, code, row, start, length, sides = runs_and_sides(chunk, window, gram)
                 keys.append(_row_keys(chunk, ids[chunk.first:chunk.first + chunk.rows]))
                 fits = known[row + chunk.first]
-                found.append([x[fits] for x in (anchor, code, row + (chunk.first - begin), start.astype(np.uint32), length.astype(np.uint32))])
+                found.append([x[fits] for x in (anchor, code, row + (chunk.first - begin), start.astype(np.uint32), length.astype(np.uint32), sides)])
                 held += len(chunk.data)
             if found:
                 yield _settle(found, np.concatenate(keys), ids[begin:], window, groups, parts)
@@ -168,15 +205,16 @@ def _run_groups(parts: int):
             return [(kind, part, b) for b in blobs]
         cols = []
         for b in blobs:
-            word, place, ids, keys, start, length = _unpress(b)
-            cols.append((word, ids[place], keys[place], start, length))
-        word, doc, key, start, length = (np.concatenate(x) for x in zip(*cols))
+            word, place, ids, keys, start, length, sides = _unpress(b)
+            cols.append((word, ids[place], keys[place], start, length, sides))
+        word, doc, key, start, length, sides = (np.concatenate(x) for x in zip(*cols))
         order, cut, later = _later(word, doc)
         top = word[order][cut] >> B.U64(40)  # the anchor of each different run; equal ones stand together
         edge = np.flatnonzero(np.r_[True, top[1:] != top[:-1]])
         alone = np.repeat(np.diff(np.r_[edge, len(top)]) == 1, np.diff(np.r_[edge, len(top)]))
         open_ = ~np.repeat(alone, np.diff(np.r_[cut, len(order)])) & ~later
         gone, more = order[later], order[open_]
+        more = more[_recurs(word[more] >> B.U64(40), sides[more], doc[more])]
         anchor = (word[more] >> B.U64(40) << B.U64(32)) | B.U64(part)
         return _marks(_MARKS, key[gone], start[gone], length[gone], None, parts) + _marks(_OPEN, key[more], start[more], length[more], anchor, parts)
     return work
@@ -229,7 +267,9 @@ def _cut_runs(groups: int):
     """The bytes of the runs that are to be looked at by window, dealt by anchor."""
     def work(marks: list[bytes], texts: list[bytes]) -> pa.RecordBatch | None:
         key, start, length, anchor = _gather(marks, 4)
-        out = []
+        if not len(key):
+            return None
+        found = []
         for b in texts:
             ids, known, keys, sizes, data = _unpress(b)
             begin = np.cumsum(sizes) - sizes
@@ -241,14 +281,18 @@ def _cut_runs(groups: int):
             at = np.concatenate([np.arange(lo[i], hi[i]) for i in mine])
             size = length[at]
             src = np.repeat(begin[row] + start[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            raw, end = data[src], np.cumsum(size)
-            group = (B.mix(anchor[at]) % B.U64(groups)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            g, cut = np.unique(group[order], return_index=True)
-            for q, o in zip(g, np.split(order, cut[1:])):
-                held = np.concatenate([raw[end[i] - size[i]:end[i]] for i in o])
-                out.append((_DIGITS, int(q), _press(anchor[at][o], ids[row[o]], keys[row[o]], start[at][o].astype(np.uint32), size[o].astype(np.uint32), held)))
-        return _rows(out) if out else None
+            found.append((anchor[at], ids[row], keys[row], start[at].astype(np.uint32), size.astype(np.uint32), data[src]))
+        if not found:
+            return None
+        anchor, doc, own, start, size, raw = (np.concatenate(x) for x in zip(*found))
+        end, out = np.cumsum(size.astype(np.int64)), []
+        group = (B.mix(anchor) % B.U64(groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        g, cut = np.unique(group[order], return_index=True)
+        for q, o in zip(g, np.split(order, cut[1:])):
+            held = np.concatenate([raw[end[i] - size[i]:end[i]] for i in o])
+            out.append((_DIGITS, int(q), _press(anchor[o], doc[o], own[o], start[o], size[o], held)))
+        return _rows(out)
     return work
 
 
@@ -321,6 +365,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, key:
 
     def met(more: DataFrame) -> DataFrame:
         return more.unionByName(texts).repartition(parts, "part").sortWithinPartitions("part", "kind")
-    opened = met(marks.where(F.col("kind") == _OPEN)).mapInArrow(_by_part(_cut_runs(2 * groups)), BLOBS)
-    windows = cut_lineage(opened.repartition(2 * groups, "part").sortWithinPartitions("kind", "part").mapInArrow(_grouped(_window_groups(window, parts)), BLOBS))
+    # an entry of some 14 pressed bytes stands for a run of some 70
+    left = marks.where(F.col("kind") == _OPEN).agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
+    last = max(8, -(-5 * left // RUN_GROUP_BYTES))
+    opened = met(marks.where(F.col("kind") == _OPEN)).mapInArrow(_by_part(_cut_runs(last)), BLOBS)
+    windows = cut_lineage(opened.repartition(last, "part").sortWithinPartitions("kind", "part").mapInArrow(_grouped(_window_groups(window, parts)), BLOBS))
     return met(marks.where(F.col("kind") == _MARKS).unionByName(windows)).mapInArrow(_by_part(_finish), "doc_id long, n_bytes long, spans array<struct<first:long,last:long>>, kept binary")
