@@ -1,25 +1,27 @@
 """Near-duplicate documents with an LSH forest over MinHash signatures.
 
 A document's set is its distinct shingles of `shingle` words (its whole word sequence if it has fewer). Documents of
-equal sets are collapsed into one class. The signature is cut into `trees` runs of `depth` values; a region is a set of
-classes with one run. Every pair of classes that shares a region is compared, however full the region is:
-
-* a region with at most `region` classes gives all its pairs as candidates;
-* a fuller one first gives each class's pair with the region's pivot, the class closest to the region's consensus, the
-  most frequent value at each place of the signature. These candidates are verified and their components found;
-* then classes outside the pivot's component meet all others of the region that are in another component than they.
-  Both sides are cut into blocks of at most about `block` classes and `load` shingles, and each pair of blocks is one unit
-  of work. A unit compares signatures: pairs that agree on fewer values than a pair at the threshold does with
-  probability 1 - 1e-7 are left out. Classes that have a pair left get their texts, and the unit returns verified edges
-  of a spanning forest.
+equal sets are collapsed into one class. Signatures stand in several sorted orders; a region is a stretch of an order
+that agrees on its first values, so what it holds are the neighbours of longest common prefix. Depth follows how full a
+region is:
+
+* `trees` orders of separate values start at `depth` values. A region with at most `region` classes gives all its pairs
+  as candidates; a fuller one first gives each class's pair with the region's pivot, the class closest to the region's
+  consensus, the most frequent value at each place of the signature. Candidates are verified, components found;
+* classes of full regions go on into `orders` more orders, each a permutation of all values, from `depth` + 1 values on.
+  A region that holds one component only is done. A full one goes a value deeper, as far as `deepest`: the depth at
+  which a pair at the threshold shares a region in none of the orders with probability below 0.0001. Here classes outside the region's most frequent component meet all others in another component than they. Both sides are
+  cut into blocks of at most about `block` classes and `load` shingles, each pair of blocks is one unit of work. A unit
+  compares signatures: pairs that agree on fewer values than a pair at the threshold does with probability 1 - 1e-7 are
+  left out. Classes that have a pair left get their texts, and the unit returns verified edges of a spanning forest.
 
 Candidates are pairs of ids; each is verified on the two full sets. No pair list of a large region is ever made, and no
 region's rows are collected: regions are counted with map-side combining, and consensus is taken from a sample of a
-region (that only names the pivot; every class meets it). The comparisons inside a full region are quadratic in its
-number of classes where most are outside the pivot's component; a group of copies around one text is not.
+region (that only names the pivot; every class meets it). Comparisons are quadratic only in regions that are still full
+at the last depth and hold several components there.
 
 With 16 trees of depth 4 a pair of similarity 0.85 misses every region it could share with probability
-(1 - 0.85^4)^16, below 0.00001, in full regions as in others.
+(1 - 0.85^4)^16, below 0.00001; where all its regions are full to the last depth, with the probability named above.
 
 Null and empty texts have no shingles and link with nothing. Rows with a null id link with nothing, have a null
 component and are kept. Rows with one id are one document for linking. Columns that the operator adds replace columns
@@ -56,6 +58,7 @@ class Forest:
     sample: int = 256
     block: int = 256
     load: int = 1 << 20
+    orders: int = 64
 
     @property
     def values(self) -> int:
@@ -70,6 +73,21 @@ class Forest:
             need += 1
         return need
 
+    @property
+    def deepest(self) -> int:
+        """Largest depth at which a pair at the threshold misses all orders with probability below 0.0001."""
+        p, v, d = self.percent / 100, self.values, self.depth + 1
+
+        def miss(depth: int) -> float:  # over the number of equal values; orders share their values, so they are no independent tries
+            return sum(comb(v, a) * p ** a * (1 - p) ** (v - a) * (1 - comb(a, depth) / comb(v, depth)) ** self.orders for a in range(v + 1))
+        while d < v and miss(d + 1) < 1e-4:
+            d += 1
+        return d
+
+    def permutations(self) -> np.ndarray:
+        rng = np.random.default_rng(5)
+        return np.stack([rng.permutation(self.values) for _ in range(self.orders)])
+
     def seeds(self) -> tuple[np.ndarray, np.ndarray]:
         n = np.arange(1, self.values + 1, dtype=B.U64)
         return B.mix(n) | B.U64(1), B.mix(n + B.U64(1 << 32))
@@ -145,6 +163,27 @@ def _prefixes(forest: Forest):
     return run
 
 
+def _orders(forest: Forest):
+    """For each class and order a row with the keys of its prefixes, from the first further depth to the last."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, levels = forest.permutations(), forest.deepest - forest.depth
+        for batch in batches:
+            signs = batch.column(3).to_pylist()
+            table = np.frombuffer(b"".join(signs), dtype=np.uint32).reshape(len(signs), forest.values).astype(B.U64)
+            keys = np.empty((len(signs), forest.orders, levels), dtype=B.U64)
+            for t in range(forest.orders):
+                code = np.full(len(signs), t + 1, dtype=B.U64)
+                for i in range(forest.deepest):
+                    code = B.mix(code * B.U64(33) + table[:, places[t, i]])
+                    if i >= forest.depth:
+                        keys[:, t, i - forest.depth] = code
+            same = np.repeat(np.arange(len(signs)), forest.orders)
+            first = np.arange(len(same) + 1) * levels
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(same)) for i in range(3)], B.lists(keys.ravel().view(np.int64), first, pa.int64())],
+                                             names=["rep", "n", "comp", "keys"])
+    return run
+
+
 def _consensus(forest: Forest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,9 +213,9 @@ def _pairs_of(members):
 
 
 def candidates(classes: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame | None]:
-    """From (rep, n, sign): distinct pairs (a, b), a < b, of class representatives, and (region, tree, rep, n, pivot) of full regions."""
+    """From (rep, n, sign): distinct pairs (a, b), a < b, of class representatives, and (rep, n) of the classes in full regions."""
     rows = (classes.select("rep", "n", "sign").mapInArrow(_prefixes(forest), "rep long, n long, keys array<long>")
-            .select("rep", "n", F.posexplode("keys").alias("tree", "region")))
+            .select("rep", "n", F.explode("keys").alias("region")))
     counts = rows.groupBy("region").agg(F.count(F.lit(1)).alias("full")).where("full > 1")
     rows = cut_lineage(rows.join(counts, "region"))
     small = rows.where(F.col("full") <= forest.region).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("rep", "n"))).alias("members"))
@@ -190,9 +229,10 @@ def candidates(classes: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame
         same = signed.select("region", "rep", "sign").join(modes, "region").mapInArrow(_agreement, "region long, rep long, same long")
         pivots = cut_lineage(same.groupBy("region").agg(F.min_by("rep", F.struct(-F.col("same"), "rep")).alias("pivot")))
         named = pivots.join(classes.select(F.col("rep").alias("pivot"), F.col("n").alias("pn")), "pivot")
-        met = cut_lineage(large.join(named, "region").select("region", "tree", "rep", "n", "pivot", "pn"))
+        meeting = cut_lineage(large.join(named, "region").select("rep", "n", "pivot", "pn"))
+        met = meeting.select("rep", "n").distinct()
         first = F.col("rep") < F.col("pivot")
-        pairs = pairs.unionByName(met.where(F.col("rep") != F.col("pivot")).select(
+        pairs = pairs.unionByName(meeting.where(F.col("rep") != F.col("pivot")).select(
             F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), F.when(first, F.col("n")).otherwise(F.col("pn")).alias("na"),
             F.when(first, F.col("pn")).otherwise(F.col("n")).alias("nb")))
     # sizes alone rule out many pairs: the intersection is at most the smaller set, the union at least the larger
@@ -201,11 +241,8 @@ def candidates(classes: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame
 
 
 def _near_in_unit(forest: Forest, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of a unit's rows, in order, that are in two components and whose signatures may be similar enough.
-
-    A pair that shares several regions is looked at in the first of them only.
-    """
-    side, tree, n, comp = (rows[c].to_numpy() for c in ("side", "tree", "n", "comp"))
+    """The pairs of a unit's rows, in order, that are in two components and whose signatures may be similar enough."""
+    side, n, comp = (rows[c].to_numpy() for c in ("side", "n", "comp"))
     table = np.frombuffer(b"".join(rows["sign"].to_pylist()), dtype=np.uint32).reshape(len(side), forest.values)
     at, left = 0, []
     while at < len(side):
@@ -215,8 +252,7 @@ def _near_in_unit(forest: Forest, rows: pa.Table) -> tuple[np.ndarray, np.ndarra
         fits = ((side[i] == 2) | (side[i] != side[j])) & (comp[i] != comp[j])  # inside one block, or across two
         fits &= 100 * np.minimum(n[i], n[j]) >= forest.percent * np.maximum(n[i], n[j])
         i, j = i[fits], j[fits]
-        equal = table[i] == table[j]
-        near = (equal.sum(axis=1) >= forest.need) & (np.argmax(equal.reshape(len(i), forest.trees, forest.depth).all(axis=2), axis=1) == tree[i])
+        near = (table[i] == table[j]).sum(axis=1) >= forest.need
         left.append(np.stack([i[near], j[near]]))
     i, j = np.concatenate(left, axis=1)
     return i, j
@@ -281,28 +317,47 @@ def _by_unit(solve):
     return run
 
 
+def deepened(members: DataFrame, forest: Forest) -> DataFrame:
+    """(region, rep, n, comp, out) of the regions in which classes (rep, n, comp, sign) are compared; out: not in the region's main component."""
+    rows = members.select("rep", "n", "comp", "sign").mapInArrow(_orders(forest), "rep long, n long, comp long, keys array<long>")
+    levels, found = forest.deepest - forest.depth, []
+    for level in range(levels):
+        rows = rows.withColumn("region", F.col("keys")[level])
+        shares = rows.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("k"))
+        sizes = (shares.groupBy("region").agg(F.sum("k").alias("full"), F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
+                 .where("comps > 1").select("region", "full", "main"))
+        rows = cut_lineage(rows.join(sizes, "region"))
+        full = F.col("full") > (forest.region if level + 1 < levels else 1 << 62)
+        found.append(rows.where(~full).select("region", "rep", "n", "comp", (F.col("comp") != F.col("main")).alias("out")))
+        rows = rows.where(full).select("rep", "n", "comp", "keys")
+        if level + 1 < levels and rows.isEmpty():
+            break
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
 def settled(met: DataFrame, classes: DataFrame, parts: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
     """Edges (a, b) between components (of `parts`) that the pairs of full regions join; docs has (id, text)."""
     own = parts.select(F.col("node").alias("rep"), "component")
-    pivot = parts.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))
-    rows = met.join(own, "rep", "left").join(pivot, "pivot", "left").select(
-        "region", "tree", "rep", "n", F.coalesce("component", "rep").alias("comp"), (F.coalesce("component", "rep") != F.coalesce("pc", "pivot")).alias("out"))
-    rows = cut_lineage(rows)
+    members = met.join(own, "rep", "left").join(classes.select("rep", "sign"), "rep").withColumn("comp", F.coalesce("component", "rep"))
+    rows = deepened(members, forest)
 
     def blocks(kind):
         return F.ceil(F.greatest(F.count_if(kind) / forest.block, F.coalesce(F.sum(F.when(kind, F.col("n"))), F.lit(0)) / forest.load)).cast("int")
-    cuts = rows.groupBy("region").agg(blocks(F.col("out")).alias("k"), blocks(~F.col("out")).alias("m")).where("k > 0")
+    cuts = rows.groupBy("region").agg(blocks(F.col("out")).alias("k"), blocks(~F.col("out")).alias("m"))
     placed = rows.join(cuts, "region")
-    # blocks 0 to k - 1 are outside the pivot's component and meet all; the m others meet those
+    # blocks 0 to k - 1 are outside the main component and meet all; the m others meet those
     mine = F.when(F.col("out"), F.pmod(F.xxhash64("rep"), F.col("k"))).otherwise(F.col("k") + F.pmod(F.xxhash64("rep"), F.col("m"))).cast("int")
     last = F.when(F.col("out"), F.col("k") + F.col("m") - 1).otherwise(F.col("k") - 1)
-    work = placed.withColumn("own", mine).select("region", "tree", "rep", "n", "comp", "own", F.explode(F.sequence(F.lit(0), last)).alias("with"))
+    work = placed.withColumn("own", mine).select("region", "rep", "n", "comp", "own", F.explode(F.sequence(F.lit(0), last)).alias("with"))
     unit = F.xxhash64("region", F.least("own", "with"), F.greatest("own", "with"))
     side = F.when(F.col("own") == F.col("with"), 2).otherwise((F.col("own") > F.col("with")).cast("int"))
-    work = work.select(unit.alias("unit"), side.alias("side"), "tree", "rep", "n", "comp").join(classes.select("rep", "sign"), "rep")
-    shape = ["unit", "side", "tree", "rep", "n", "comp", "sign"]
+    work = work.select(unit.alias("unit"), side.alias("side"), "rep", "n", "comp").join(classes.select("rep", "sign"), "rep")
+    shape = ["unit", "side", "rep", "n", "comp", "sign"]
     hopeful = cut_lineage(work.select(*shape).repartition("unit").sortWithinPartitions("unit").mapInArrow(
-        _by_unit(_hopeful(forest)), "unit long, side int, tree int, rep long, n long, comp long, sign binary"))
+        _by_unit(_hopeful(forest)), "unit long, side int, rep long, n long, comp long, sign binary"))
     needed = hopeful.select(F.col("rep").alias("id")).distinct()
     texts = docs.join(needed.hint("merge"), "id", "left_semi").dropDuplicates(["id", "text"]).select(F.col("id").alias("rep"), "text")
     return cut_lineage(hopeful.join(texts, "rep").select(*shape, "text").repartition("unit").sortWithinPartitions("unit")
