@@ -16,8 +16,8 @@ and one edge of a spanning forest.
 Equal vectors are collapsed beforehand and count with their number. Cells with more than `block` vectors are cut into
 blocks, and every pair of blocks is one unit of work, so no task holds a whole hot cell and no pair is left out.
 
-Vectors that are null, zero, of another length than most, or hold null or non-finite components link with nothing, as
-do rows with a null id (whose component is null, and which are kept). Repeated ids are one node. An empty table gives
+Vectors of each length are compared among themselves, one length after the other: those of different lengths have no
+cosine. Vectors that are null, zero, or hold null or non-finite components link with nothing, as do rows with a null id (whose component is null, and which are kept). Repeated ids are one node. An empty table gives
 an empty result. The result has its own four columns; other columns of the input are not read.
 """
 
@@ -190,14 +190,8 @@ def _compare(plan: Plan, d: int):
     return run
 
 
-def link(vectors: DataFrame, plan: Plan = Plan(), key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id and kept for every row."""
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(_pack, "id long, v binary")
-    rows = cut_lineage(rows)
-    length = rows.where(F.col("v").isNotNull()).groupBy(F.octet_length("v").alias("b")).count().orderBy(F.desc("count"), "b").first()
-    d = max(1, (length[0] if length else 8) // 8)
-    valid = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.octet_length("v") == 8 * d))
-    classes = cut_lineage(valid.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).select("rep", "n", "v"))
+def _found(classes: DataFrame, plan: Plan, d: int) -> DataFrame:
+    """(rep, links, root) of the linked ones among classes of vectors of length d."""
     keyed = (classes.mapInArrow(_keys(plan, d), "rep long, n long, v binary, keys array<long>")
              .select("rep", "n", "v", F.posexplode("keys").alias("band", "cell")))
     full = keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
@@ -208,7 +202,21 @@ def link(vectors: DataFrame, plan: Plan = Plan(), key: str = "vec_id", vector: s
     unit = F.xxhash64("cell", F.least("_own", "_with"), F.greatest("_own", "_with"))
     side = F.when(F.col("_own") == F.col("_with"), 2).otherwise((F.col("_own") > F.col("_with")).cast("int"))
     work = work.select(unit.alias("unit"), side.alias("side"), "band", "rep", "n", "v").repartition("unit").sortWithinPartitions("unit")
-    found = cut_lineage(work.mapInArrow(_compare(plan, d), "rep long, links long, root long"))
+    return cut_lineage(work.mapInArrow(_compare(plan, d), "rep long, links long, root long"))
+
+
+def link(vectors: DataFrame, plan: Plan = Plan(), key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """vec_id, n_links, component_id and kept for every row."""
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(_pack, "id long, v binary")
+    rows = cut_lineage(rows)
+    valid = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull())
+    classes = cut_lineage(valid.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).select("rep", "n", "v"))
+    # only vectors of one length have a cosine; one row for each length
+    lengths = [r["b"] // 8 for r in classes.groupBy(F.octet_length("v").alias("b")).count().where("count > 1").orderBy("b").collect()]
+    found = None
+    for d in lengths or [1]:
+        own = _found(classes.where(F.octet_length("v") == 8 * d), plan, d)
+        found = own if found is None else found.unionByName(own)
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(found, "rep", "root")
     by_class = (classes.join(totals, "rep", "left").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")

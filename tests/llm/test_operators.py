@@ -2,12 +2,15 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import contamination, crowd, dedup_lines, license_places, near_copies, repeats
 from pyspark.sql import functions as F
 
+from hearthline.llm import bytecode as B
 from hearthline.llm import decontam, embeddings, graph, langid, licenses, linededup, minhash, mixing, quality, suffixes, warc
 
 DOC = "doc_id long, text string"
@@ -194,6 +197,116 @@ def test_embeddings(spark):
     assert embeddings.link(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_vectors_of_every_length_link(spark):
+    rng = np.random.default_rng(3)
+    rows, at = [], 0
+    for d in (3, 16, 40):
+        for _ in range(30):
+            v = rng.normal(size=d)
+            for x in (v, 2 * v, v + rng.normal(size=d) * 0.05 * np.linalg.norm(v) / d ** 0.5):
+                rows.append((at, x.tolist()))
+                at += 1
+    rows += [(at, [2.0]), (at + 1, [5.0]), (at + 2, [-1.0]), (at + 3, [1.0, 2.0, 3.0, 4.0, 5.0])]
+    links = {i: sum(len(v) == len(w) and i != j and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.95 for j, w in rows) for i, v in rows}
+    got = {r.vec_id: r for r in embeddings.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {i: r.n_links for i, r in got.items()} == links
+    assert (got[at + 1].component_id, got[at + 2].component_id, got[at + 3].kept) == (at, at + 2, True)
+
+
+def _tongues(n, each=12, seed=4):
+    """Texts in n invented languages of 40 words each."""
+    rng = random.Random(seed)
+    rows = []
+    for tongue in range(n):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 9))) for _ in range(40)]
+        rows += [(len(rows) + i, " ".join(rng.choice(words) for _ in range(120)), f"l{tongue:03d}") for i in range(each)]
+    return rows
+
+
+def _plain_grams(text):
+    data = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())
+    return [data[i:i + n] for n in langid.SIZES for i in range(len(data) - n + 1) if 32 not in data[i + 1:i + n - 1]]
+
+
+@pytest.mark.parametrize("n, max_bits", [(3, 22), (100, 22), (3, 16)])
+def test_filters_hold_the_typical_grams(spark, n, max_bits):
+    rows = _tongues(n)
+    train = [r for r in rows if r[0] % 4]
+    frame = spark.createDataFrame(train, DOC + ", lang string")
+    model = langid.fit(frame, max_bits=max_bits)
+    assert len(model.langs) == n and model.slots.shape[0] == -(-n // 63) and model.wrong.max() < 0.3
+    seen = {}
+    for _, text, lang in train:
+        own = seen.setdefault(lang, {})
+        for g in _plain_grams(text):
+            own[g] = own.get(g, 0) + 1
+    totals = {x: sum(own.values()) for x, own in seen.items()}
+    top = {}
+    for x, own in seen.items():
+        for g, k in own.items():
+            if k >= 5:
+                top[g] = max(top.get(g, 0), k / totals[x])
+    texts = [t for _, t, _ in rows[::4]][:12] + ["Ünder, the   12 sky", ""]
+    counts = np.zeros((len(texts), n))
+    for chunk in B.chunks(pa.array(texts)):
+        for codes, first in langid.grams(chunk):
+            counts[chunk.first:chunk.first + chunk.rows] += model.counts(codes, first)
+    for t, text in enumerate(texts):
+        own = _plain_grams(text)
+        for i, x in enumerate(model.langs):
+            true = sum(seen[x].get(g, 0) >= 5 and seen[x][g] / totals[x] >= 0.25 * top[g] for g in own)
+            assert counts[t, i] >= true  # no gram is missed
+            corrected = (counts[t, i] - len(own) * model.wrong[i]) / (1 - model.wrong[i])
+            assert abs(corrected - true) <= 5 + 0.05 * len(own)
+    held = spark.createDataFrame([r for r in rows if r[0] % 4 == 0], DOC + ", lang string")
+    found = langid.identify(held.withColumn("lang_0", F.lit("x")).withColumn("Score_0", F.lit(1)), model)
+    assert found.where("lang_pred <> lang").count() == 0 and {"lang_0", "Score_0"} <= set(found.columns)
+
+
+def test_long_filters_leave_out_rare_grams_first():
+    sizes = [(0, 2, 9_000), (0, 5, 2_000), (1, 3, 500)]
+    assert langid._length(sizes, 22) == (17, 0) and langid._length(sizes, 16) == (16, 3) and langid._length([], 22) == (16, 0)
+
+
+def test_training_sample_is_bounded_for_copies_and_keeps_rare_languages(spark):
+    rows = [(i, "alpha beta gamma delta " * 5, "aa") for i in range(6_000)] + [(i + 6_000, "omega kappa sigma tau " * 5, "zz") for i in range(20)]
+    model = langid.fit(spark.createDataFrame(rows, DOC + ", lang string"), lang_rows=500)
+    assert model.langs == ["aa", "zz"] and model.usual == 0
+    got = langid.identify(spark.createDataFrame([(1, "kappa sigma"), (2, "gamma beta")], DOC), model)
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "zz", 2: "aa"}
+
+
+def _plain_statistics(text):
+    """The statistics of one text, word by word and line by line."""
+    data = text.encode()
+    words, lines = [w for w in re.split(rb"[\x20\x09-\x0d]+", data) if w], [x for x in data.split(b"\n") if x]
+    share = lambda some, whole: sum(some) / max(1, len(whole))
+    of_bytes = lambda chars: share([b in chars for b in data], data)
+    upper, symbols = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*@^~_=+<>{}[]\\/"
+    return [np.log1p(len(data)), np.log1p(len(words)), share([len(w) for w in words], words), share([len(w) > 14 for w in words], words),
+            share([len(w) < 4 for w in words], words), len(words) / max(1, len(lines)), of_bytes(upper), of_bytes(b"0123456789"), of_bytes(symbols), of_bytes(b".,;:!?"),
+            of_bytes(b"|"), of_bytes(b" \t\n\x0b\x0c\r"), share([b >= 128 for b in data], data), share([w[-1] in symbols for w in words], words),
+            share([w[-1:] == b"!" for w in words], words), len(set(words)) / max(1, len(words)), len(set(lines)) / max(1, len(lines)),
+            share([len(x) < 20 for x in lines], lines), share([2 * sum(b in upper for b in w) > len(w) for w in words], words)]
+
+
+def test_statistics_and_rules_equal_the_plain_ones(spark, rows):
+    more = [t or "" for _, t in rows] + ["BUY NOW!!! $$$ | a|b\n\nBUY NOW!!! 123\tx_", "   ", "\n\n", "ÉTÉ été " * 30]
+    docs = spark.createDataFrame([(i, t, "old") for i, t in enumerate(more)], DOC + ", STAT_pipe string")
+    measured = quality.statistics(docs)
+    names = [f"stat_{s}" for s in quality.STATS]
+    assert measured.columns == ["doc_id", *names]
+    got = {r.doc_id: r for r in measured.collect()}
+    for i, t in enumerate(more):
+        assert np.allclose([got[i][c] for c in names], _plain_statistics(t), rtol=1e-12, atol=1e-12)
+    model = quality.RuleModel([(((0, True, 4.0),), 0.7), (((1, False, 2.0), (9, True, 0.05)), -1.25), (((15, False, 0.5), (0, False, 3.0), (0, True, 6.0)), 2.0)], -0.5)
+    for r in quality.classify(measured, model).collect():
+        total = model.intercept
+        for rule, weight in model.rules:
+            total += weight * all((got[r.doc_id][names[k]] <= bound) == below for k, below, bound in rule)
+        assert abs(r.score - 1 / (1 + np.exp(-total))) < 1e-12 and r.predicted == (r.score >= 0.3)
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2

@@ -36,6 +36,8 @@ def test_pipeline(spark):
         after = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
         if stage is P.language:
             assert after == sorted(((d, t) for d, t in before if t and any(c.isalpha() for c in t)), key=str)
+            assert out.where("lang IS NULL").count() == 0
+            assert out.join(docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("lang").alias("own")), "doc_id").where("lang <> own").count() == 0
         elif stage is P.lines:
             assert after == sorted(((d, t) for d, t, _ in dedup_lines(before) if t.strip()), key=str)
             assert out.where(F.col("n_chars") != F.length("text")).count() == 0
