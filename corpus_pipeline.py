@@ -18,15 +18,16 @@ from hearthline.session import cut_lineage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: similarity 0.8: twenty trees of depth three miss a pair at the threshold with probability below 0.000001, in full regions
-#: as in others, as all pairs that share a region are compared
+#: similarity 0.8: twenty trees of depth three miss a pair at the threshold with probability below 0.000001; where all its
+#: regions are full down to the last depth, with 0.000015
 NEAR = minhash.Forest(percent=80, trees=20, depth=3)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn the languages from the documents that name one; reject what is in none of them (und)."""
+    """Learn the languages from the documents that name one; reject what is in none of them (und), name what has no name."""
     model = langid.fit(docs)
-    return langid.identify(docs.select(*COLUMNS), model).where("lang_pred <> 'und'").select(*COLUMNS)
+    named = langid.identify(docs.select(*COLUMNS), model).where("lang_pred <> 'und'")
+    return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
