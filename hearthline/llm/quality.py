@@ -5,8 +5,8 @@ scan. Shallow boosted trees are grown on the labelled rows; every path from a ro
 statistics. A logistic model with an L1 penalty weighs the rules and sets most weights to zero; what remains is
 compiled into one Spark column expression.
 
-The score uses the text alone. At most about `train_rows` labelled rows, chosen by a hash of their statistics, are
-used for fitting (a documented bound; all are used below it). Null and empty texts have statistics of 0 and get a
+The score uses the text alone. At most about `train_rows` labelled rows, chosen by a hash of id and statistics (so that
+copies of one text are no single choice), are used for fitting (a documented bound; all are used below it). Null and empty texts have statistics of 0 and get a
 score like any other. Null labels are left out; several labels of one document count as several rows. Without
 labels, or with labels of one class only, the score is the share of label 1 (0.5 without any). Repeated documents
 get equal scores. An empty table gives an empty result.
@@ -104,8 +104,9 @@ def _measure(text: str):
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of docs but the text, and stat_ columns."""
-    kept = [f for f in docs.schema.fields if f.name != text]
-    return docs.mapInArrow(_measure(text), T.StructType([*kept, *[T.StructField(f"stat_{s}", T.DoubleType()) for s in STATS]]))
+    added = {f"stat_{s}" for s in STATS}
+    kept = [f for f in docs.schema.fields if f.name != text and f.name.lower() not in added]
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept], text).mapInArrow(_measure(text), T.StructType([*kept, *[T.StructField(f"stat_{s}", T.DoubleType()) for s in STATS]]))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, whether it is at most the bound, bound)
@@ -148,19 +149,19 @@ class RuleModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def fit(rows: DataFrame, label: str = "label", train_rows: int = TRAIN_ROWS, trees: int = 12, depth: int = 3, penalty: float = 0.0005, seed: int = 7) -> RuleModel:
+def fit(rows: DataFrame, label: str = "label", key: str = "doc_id", train_rows: int = TRAIN_ROWS, trees: int = 12, depth: int = 3, penalty: float = 0.0005, seed: int = 7, step: float = 0.1) -> RuleModel:
     """Grow trees, take their paths as rules, and weigh these by lasso logistic regression."""
-    rows = rows.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("label"), *[f"stat_{s}" for s in STATS])
+    rows = rows.where(F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("double").alias("label"), *[f"stat_{s}" for s in STATS])
     total = rows.count()
     if total > train_rows:
-        rows = rows.where(F.pmod(F.xxhash64(*[f"stat_{s}" for s in STATS]), F.lit(1_000_000)) < int(1_000_000 * train_rows / total))
+        rows = rows.where(F.pmod(F.xxhash64("key", *[f"stat_{s}" for s in STATS]), F.lit(1_000_000)) < int(1_000_000 * train_rows / total))
     rows = cut_lineage(rows)
     mean = rows.agg(F.avg("label")).first()[0]
     if mean is None or mean in (0.0, 1.0):
         p = min(max(0.5 if mean is None else mean, 0.001), 0.999)
         return RuleModel([], math.log(p / (1 - p)))
     data = rows.select("label", array_to_vector(F.array(*[f"stat_{s}" for s in STATS])).alias("x")).repartition(8)
-    grown = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=64, seed=seed).fit(data)
+    grown = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=64, seed=seed, stepSize=step).fit(data)
     rules = sorted({rule for tree in grown._java_obj.trees() for rule in paths(tree.rootNode())})
     fired = rows.select("label", array_to_vector(F.array(*[condition(r).cast("double") for r in rules])).alias("x")).repartition(8)
     weighed = LogisticRegression(featuresCol="x", labelCol="label", elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False).fit(fired)
@@ -170,6 +171,6 @@ def fit(rows: DataFrame, label: str = "label", train_rows: int = TRAIN_ROWS, tre
 
 def classify(measured: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
     """Measured rows with score and predicted instead of the statistics."""
-    kept = [c for c in measured.columns if c not in {f"stat_{s}" for s in STATS} | {"score", "predicted"}]
-    out = measured.select(*kept, model.score().alias("score"))
+    kept = [c for c in measured.columns if c.lower() not in {f"stat_{s}" for s in STATS} | {"score", "predicted"}]
+    out = measured.select(*[F.col(f"`{c}`") for c in kept], model.score().alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
