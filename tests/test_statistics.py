@@ -3,7 +3,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from hearthline.functions.quantiles import exact_quantiles, weighted_lower_quantile
+from hearthline.functions.quantiles import exact_quantiles, spread_quantiles, weighted_lower_quantile
 
 
 def test_quartile_rules(spark):
@@ -83,3 +83,33 @@ def test_state_of_counts_follows_changed_sales(spark, tmp_path):
     S.compacted(spark, state, str(tmp_path / "compact"))
     assert S.settled(spark, str(tmp_path / "compact")).exceptAll(S.settled(spark, state)).count() == 0
     assert len(AREA_KEYS) == 5
+
+
+def test_groups_made_of_finer_ones(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["n", None]), rng.choice(["a", "b", None]), rng.choice(["x", "y"]), rng.choice([None, round(rng.lognormvariate(3, 2), 1), -rng.random(), 7.0]), rng.uniform(1, 1.1)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "land string, place string, kind string, v double, w double")
+    spread_rows = []
+
+    def spread(groups):
+        spread_rows.append(groups.count())
+        return groups.withColumn("area", F.explode(F.array(F.lit("whole"), F.col("place"))))
+    wanted = {"w": {"q": 0.25}, "v": {"a": 0.5, "b": 0.9}}
+    got = {(r.land, r.area): tuple(r)[2:] for r in spread_quantiles(df, ["land", "place", "kind"], ["land", "area"], spread, wanted, {"w": "n", "v": "n_v"}).collect()}
+    assert spread_rows[0] < 1500  # bins are spread, not the 6000 values
+    spreads = [(land, area, v, w) for land, place, _, v, w in rows for area in ("whole", place)]
+    assert set(got) == {s[:2] for s in spreads}
+
+    def at(values, p):
+        rank = p * (len(values) - 1)
+        low = int(rank)
+        return values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (rank - low)
+    for key, (n, n_v, q, a, b) in got.items():
+        vs, ws = (sorted(s[i] for s in spreads if s[:2] == key and s[i] is not None) for i in (2, 3))
+        assert (n, n_v) == (len(ws), len(vs)) and all(abs(x - y) < 1e-9 for x, y in ((q, at(ws, 0.25)), (a, at(vs, 0.5)), (b, at(vs, 0.9))))
+
+
+def test_a_group_without_values_of_one_measure(spark):
+    df = spark.createDataFrame([("a", 1.0, None), ("a", 3.0, None), ("b", None, None)], "k string, v double, w double")
+    got = spread_quantiles(df, ["k"], ["k"], lambda groups: groups, {"v": {"m": 0.5}, "w": {"q": 0.5}}, {"v": "n", "w": "n_w"}).collect()
+    assert [tuple(r) for r in got] == [("a", 2, 0, 2.0, None)]
