@@ -185,3 +185,16 @@ def test_intervals_widen_and_sigma_interpolates(spark):
     assert abs(rows[36].sigma - 0.11) < 1e-9 and abs(rows[240].sigma - 0.32) < 1e-9
     widths = [rows[h].ratio_high / rows[h].ratio_low for h in (12, 36, 60, 240)]
     assert widths == sorted(widths)
+
+
+def test_incoming_rows_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(parts):
+        for part in parts:
+            made.add(part.num_rows)
+            yield part
+    rows = spark.createDataFrame([(i, f"v{i}") for i in range(50)], "k long, v string").mapInArrow(seen, "k long, v string")
+    for _ in range(2):
+        U.upsert_into(str(tmp_path / "t"), rows, ["k"])
+    assert made.value == 100 and U.read_table(spark, str(tmp_path / "t")).count() == 50
