@@ -3,7 +3,8 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from hearthline.functions.quantiles import exact_quantiles, spread_quantiles, weighted_lower_quantile
+from hearthline.functions.quantiles import counted, exact_quantiles, quantiles_of_counts, spread_quantiles, weighted_lower_quantile
+from hearthline.session import cut_lineage
 
 
 def test_quartile_rules(spark):
@@ -113,3 +114,13 @@ def test_a_group_without_values_of_one_measure(spark):
     df = spark.createDataFrame([("a", 1.0, None), ("a", 3.0, None), ("b", None, None)], "k string, v double, w double")
     got = spread_quantiles(df, ["k"], ["k"], lambda groups: groups, {"v": {"m": 0.5}, "w": {"q": 0.5}}, {"v": "n", "w": "n_w"}).collect()
     assert [tuple(r) for r in got] == [("a", 2, 0, 2.0, None)]
+
+
+def test_counts_are_never_broadcast(spark):
+    """A stored file is small beside the rows that levels and segments make of it, and its size is all the planner knows."""
+    stored = cut_lineage(spark.range(2000).selectExpr("id % 3 AS k", "CAST(id % 7 AS DOUBLE) AS v"))
+    spread = counted(stored, ["k"], ["v"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    found = quantiles_of_counts(spread, ["k"], [{"m": 0.5}])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert {tuple(r) for r in found.collect()} == {(k, 3.0) for k in range(3)}
