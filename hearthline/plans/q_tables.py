@@ -183,14 +183,14 @@ SELECT 'register' AS source_key, strftime(transaction_date,'%Y-%m') AS unit, cou
 
 
 def landed_units(spark: SparkSession, sf: str) -> DataFrame:
-    return bridge.sales(spark, sf).groupBy(F.date_format("transaction_date", "yyyy-MM").alias("unit")).agg(
-        F.concat_ws(":", F.count(F.lit(1)), F.countDistinct("property_id")).alias("signature"),
-        F.min(F.month("transaction_date")).alias("m")).withColumn("source_key", F.lit("register"))
+    months = bridge.sales(spark, sf, by_home=True).groupBy(F.trunc("transaction_date", "month").alias("first")).agg(
+        F.concat_ws(":", F.count(F.lit(1)), F.countDistinct("property_id")).alias("signature"))
+    return months.select(F.date_format("first", "yyyy-MM").alias("unit"), "signature", F.month("first").alias("m"), F.lit("register").alias("source_key"))
 
 
 @query("sink_ledger", "SELECT source_key, unit, signature FROM units WHERE m%2<>0 OR m%3=0")
 def sink_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    units = landed_units(spark, sf)
+    units = cut_lineage(landed_units(spark, sf))
     ledger = units.where("m % 2 = 0").select(
         "source_key", "unit", F.when(F.col("m") % 3 == 0, "stale").otherwise(F.col("signature")).alias("signature"), F.lit("complete").alias("status"))
     path = fresh_path(spark, "ledger")

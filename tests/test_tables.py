@@ -198,3 +198,30 @@ def test_incoming_rows_are_made_once(spark, tmp_path):
     for _ in range(2):
         U.upsert_into(str(tmp_path / "t"), rows, ["k"])
     assert made.value == 100 and U.read_table(spark, str(tmp_path / "t")).count() == 50
+
+
+def _star(spark, folder):
+    """Small tables of the star schema: 3000 sales of 100 dwellings, some dwellings unknown or not given."""
+    spark.range(3000).selectExpr(
+        "id AS l_orderkey", "1 AS l_linenumber", "CASE WHEN id % 50 = 0 THEN NULL ELSE id * 7 % 110 END AS l_partkey", "id % 5 AS l_suppkey", "CAST(id % 40 AS DOUBLE) AS l_quantity",
+        "CASE WHEN id % 33 = 0 THEN NULL ELSE timestampadd(DAY, CAST(id * 13 % 400 AS INT), TIMESTAMP '1997-01-20') END AS l_shipdate", "CAST(id AS DOUBLE) AS l_extendedprice",
+        "'A' AS l_returnflag").write.parquet(f"{folder}/lineitem.parquet")
+    spark.range(100).selectExpr("id AS p_partkey", "'n' AS p_name", "10 AS p_size", "'SMALL' AS p_type").write.parquet(f"{folder}/part.parquet")
+    spark.range(25).selectExpr("id AS n_nationkey", "id % 5 AS n_regionkey", "'N' AS n_name").write.parquet(f"{folder}/nation.parquet")
+    spark.range(5).selectExpr("id AS r_regionkey", "concat('R', id) AS r_name").write.parquet(f"{folder}/region.parquet")
+    return str(folder)
+
+
+def test_units_are_counted_in_as_many_tasks_as_sales_need(spark, tmp_path, monkeypatch):
+    from hearthline import bridge
+    from hearthline.plans import q_tables as Q
+    sf = _star(spark, tmp_path)
+    monkeypatch.setattr(bridge, "ROWS_PER_TASK", 100)
+    assert ", 30), REPARTITION_BY_NUM" in Q.landed_units(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    sales = bridge.sales(spark, sf)
+    assert sales.exceptAll(bridge.sales(spark, sf, by_home=True)).isEmpty()
+    held = {}
+    for r in sales.collect():
+        held.setdefault(r.transaction_date and r.transaction_date.strftime("%Y-%m"), []).append(r.property_id)
+    want = {(unit, f"{len(ids)}:{len(set(ids))}", unit and int(unit[-2:])) for unit, ids in held.items()}
+    assert {(r.unit, r.signature, r.m) for r in Q.landed_units(spark, sf).collect()} == want and None in held and len(want) > 10
