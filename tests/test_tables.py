@@ -225,3 +225,27 @@ def test_units_are_counted_in_as_many_tasks_as_sales_need(spark, tmp_path, monke
         held.setdefault(r.transaction_date and r.transaction_date.strftime("%Y-%m"), []).append(r.property_id)
     want = {(unit, f"{len(ids)}:{len(set(ids))}", unit and int(unit[-2:])) for unit, ids in held.items()}
     assert {(r.unit, r.signature, r.m) for r in Q.landed_units(spark, sf).collect()} == want and None in held and len(want) > 10
+
+
+def test_stored_estimates_of_today_are_not_made_again(spark, monkeypatch):
+    from datetime import date
+
+    from hearthline.operators import timeline as TL
+    from hearthline.policies import GB_POLICY
+    from hearthline.plans.q_forecast import SHORT
+
+    def refused(*_, **__):
+        raise AssertionError("valued again")
+    monkeypatch.setattr(TL.V, "val_avm", refused)
+    homes = spark.createDataFrame([(1, "L", "D1", "flat", 50.0, 0.0, 40.0), (2, "L", "D1", "flat", 50.0, 0.1, 40.0)],
+                                  "property_id long, country string, district string, property_type string, lat double, lon double, floor_area double")
+    current = homes.selectExpr("property_id", "country", "district", "property_type", "DATE '2001-11-30' AS as_of", "IF(property_id = 1, 'OK', 'INSUFFICIENT_EVIDENCE') AS status",
+                               "100D AS estimated_price", "90D AS low_estimate", "110D AS high_estimate", "'HIGH' AS confidence", "5 AS comparable_count")
+    sales = spark.createDataFrame([], "property_id long, year int, transaction_date date, price double, sale_key string, market_value_basis string")
+    indices = spark.createDataFrame([], "country string, area_code string, area_level string, segment string, period date, index_value double")
+    links = spark.createDataFrame([], "country string, district string, area_code string")
+    wanted = homes.selectExpr("property_id", "explode(array(2001, 2003)) AS year")
+    rows = TL.val_price_year(wanted, homes, sales, sales, indices, links, GB_POLICY, SHORT, None, date(2001, 11, 30), current).collect()
+    assert {(r.property_id, r.year, r.price_type, r.value, r.status) for r in rows} == {
+        (1, 2001, "CURRENT_ESTIMATE", 100.0, "OK"), (2, 2001, None, None, "INSUFFICIENT_EVIDENCE"),
+        (1, 2003, None, None, "OUT_OF_RANGE"), (2, 2003, None, None, "INSUFFICIENT_EVIDENCE")}
