@@ -318,19 +318,33 @@ def _by_unit(solve):
 
 
 def deepened(members: DataFrame, forest: Forest) -> DataFrame:
-    """(region, rep, n, comp, out) of the regions in which classes (rep, n, comp, sign) are compared; out: not in the region's main component."""
-    rows = members.select("rep", "n", "comp", "sign").mapInArrow(_orders(forest), "rep long, n long, comp long, keys array<long>")
-    levels, found = forest.deepest - forest.depth, []
+    """(region, rep, n, comp, out, k, m) of the regions in which classes (rep, n, comp, sign) are compared.
+
+    out: not in the region's main component; k and m: how many blocks the classes outside it and those inside are cut into.
+    Regions are told full or done from counts by prefix and component; a class meets a region's row only where it is compared.
+    """
+    rows = cut_lineage(members.select("rep", "n", "comp", "sign").mapInArrow(_orders(forest), "rep long, n long, comp long, keys array<long>"))
+    shares = cut_lineage(rows.groupBy("keys", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("load")))
+    levels, found, above = forest.deepest - forest.depth, [], None
+
+    def blocks(classes, load):
+        return F.ceil(F.greatest(classes / forest.block, load / forest.load)).cast("int")
     for level in range(levels):
-        rows = rows.withColumn("region", F.col("keys")[level])
-        shares = rows.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("k"))
-        sizes = (shares.groupBy("region").agg(F.sum("k").alias("full"), F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
-                 .where("comps > 1").select("region", "full", "main"))
-        rows = cut_lineage(rows.join(sizes, "region"))
+        own = shares.groupBy(F.col("keys")[level].alias("region"), "comp").agg(
+            F.sum("k").alias("k"), F.sum("load").alias("load"), F.min(F.col("keys")[max(level - 1, 0)]).alias("parent"))
+        sizes = own.groupBy("region").agg(
+            F.sum("k").alias("full"), F.sum("load").alias("load"), F.max_by(F.struct("comp", "k", "load"), F.struct("k", "comp")).alias("main"),
+            F.count(F.lit(1)).alias("comps"), F.min("parent").alias("parent")).where("comps > 1")
+        if above is not None:
+            sizes = sizes.join(above, "parent", "left_semi")
+        sizes = cut_lineage(sizes)
         full = F.col("full") > (forest.region if level + 1 < levels else 1 << 62)
-        found.append(rows.where(~full).select("region", "rep", "n", "comp", (F.col("comp") != F.col("main")).alias("out")))
-        rows = rows.where(full).select("rep", "n", "comp", "keys")
-        if level + 1 < levels and rows.isEmpty():
+        cuts = sizes.where(~full).select("region", F.col("main.comp").alias("main"), blocks(F.col("full") - F.col("main.k"), F.col("load") - F.col("main.load")).alias("k"),
+                                         blocks(F.col("main.k"), F.col("main.load")).alias("m"))
+        met = rows.select(F.col("keys")[level].alias("region"), "rep", "n", "comp").join(cuts, "region")
+        found.append(met.select("region", "rep", "n", "comp", (F.col("comp") != F.col("main")).alias("out"), "k", "m"))
+        above = sizes.where(full).select(F.col("region").alias("parent"))
+        if level + 1 < levels and above.isEmpty():
             break
     whole = found[0]
     for more in found[1:]:
@@ -342,19 +356,16 @@ def settled(met: DataFrame, classes: DataFrame, parts: DataFrame, docs: DataFram
     """Edges (a, b) between components (of `parts`) that the pairs of full regions join; docs has (id, text)."""
     own = parts.select(F.col("node").alias("rep"), "component")
     members = met.join(own, "rep", "left").join(classes.select("rep", "sign"), "rep").withColumn("comp", F.coalesce("component", "rep"))
-    rows = deepened(members, forest)
-
-    def blocks(kind):
-        return F.ceil(F.greatest(F.count_if(kind) / forest.block, F.coalesce(F.sum(F.when(kind, F.col("n"))), F.lit(0)) / forest.load)).cast("int")
-    cuts = rows.groupBy("region").agg(blocks(F.col("out")).alias("k"), blocks(~F.col("out")).alias("m"))
-    placed = rows.join(cuts, "region")
+    # a class is in at most one region of each order, so it meets its signature once with the list of them
+    held = deepened(members, forest).groupBy("rep").agg(F.collect_list(F.struct("region", "n", "comp", "out", "k", "m")).alias("at"))
+    placed = held.join(classes.select("rep", "sign"), "rep").select("rep", "sign", F.explode("at").alias("p")).select("rep", "sign", "p.*")
     # blocks 0 to k - 1 are outside the main component and meet all; the m others meet those
     mine = F.when(F.col("out"), F.pmod(F.xxhash64("rep"), F.col("k"))).otherwise(F.col("k") + F.pmod(F.xxhash64("rep"), F.col("m"))).cast("int")
     last = F.when(F.col("out"), F.col("k") + F.col("m") - 1).otherwise(F.col("k") - 1)
-    work = placed.withColumn("own", mine).select("region", "rep", "n", "comp", "own", F.explode(F.sequence(F.lit(0), last)).alias("with"))
+    work = placed.withColumn("own", mine).select("region", "rep", "n", "comp", "sign", "own", F.explode(F.sequence(F.lit(0), last)).alias("with"))
     unit = F.xxhash64("region", F.least("own", "with"), F.greatest("own", "with"))
     side = F.when(F.col("own") == F.col("with"), 2).otherwise((F.col("own") > F.col("with")).cast("int"))
-    work = work.select(unit.alias("unit"), side.alias("side"), "rep", "n", "comp").join(classes.select("rep", "sign"), "rep")
+    work = work.select(unit.alias("unit"), side.alias("side"), "rep", "n", "comp", "sign")
     shape = ["unit", "side", "rep", "n", "comp", "sign"]
     hopeful = cut_lineage(work.select(*shape).repartition("unit").sortWithinPartitions("unit").mapInArrow(
         _by_unit(_hopeful(forest)), "unit long, side int, rep long, n long, comp long, sign binary"))

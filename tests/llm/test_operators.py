@@ -1,6 +1,8 @@
 """The operators on small tables with missing, empty, long, repeated and clashing values, against brute force."""
 
+import collections
 import hashlib
+import math
 import random
 import re
 
@@ -89,6 +91,40 @@ def test_small_blocks_of_full_regions_equal_brute_force(spark, rows):
     assert all(r.component_id == (None if r.doc_id is None else part[r.doc_id]) for r in got)
 
 
+def test_deeper_regions_and_their_blocks_equal_brute_force(spark):
+    forest, rng = minhash.Forest(percent=97, trees=4, depth=2, region=3, orders=40, block=2, load=40), random.Random(4)
+    assert forest.deepest >= forest.depth + 2
+    common = [1] * forest.values
+    signs = {i: [v if rng.random() < 0.85 else rng.randrange(3) for v in common] for i in range(1, 31)}
+    comp, size = {i: i if i % 3 else 3 for i in signs}, {i: 5 + i for i in signs}
+    want = collections.Counter()
+
+    def settle(reps, place, depth):
+        for group in group_by(reps, lambda i: tuple(signs[i][p] for p in place[:depth])):
+            if len({comp[i] for i in group}) == 1:
+                continue
+            if len(group) > forest.region and depth < forest.deepest:
+                settle(group, place, depth + 1)
+                continue
+            main = max((sum(comp[j] == comp[i] for j in group), comp[i]) for i in group)[1]
+            sides = [[size[i] for i in group if (comp[i] != main) == out] for out in (True, False)]
+            k, m = (math.ceil(max(len(side) / forest.block, sum(side) / forest.load)) for side in sides)
+            want[frozenset((i, size[i], comp[i], comp[i] != main, k, m) for i in group)] += 1
+
+    def group_by(reps, of):
+        groups = collections.defaultdict(list)
+        for i in reps:
+            groups[of(i)].append(i)
+        return groups.values()
+    for place in forest.permutations():
+        settle(signs, place, forest.depth + 1)
+    rows = [(i, size[i], comp[i], np.array(signs[i], dtype=np.uint32).tobytes()) for i in signs]
+    got = collections.defaultdict(set)
+    for r in minhash.deepened(spark.createDataFrame(rows, "rep long, n long, comp long, sign binary"), forest).collect():
+        got[r.region].add((r.rep, r.n, r.comp, r.out, r.k, r.m))
+    assert collections.Counter(map(frozenset, got.values())) == want and len(want) > 40
+
+
 def test_lines(spark, rows):
     want = sorted(dedup_lines(rows), key=str)
     named = spark.createDataFrame([(d, t, 1, "a") for d, t in rows], "doc_id long, text string, removed_lines int, row string")
