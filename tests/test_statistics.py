@@ -124,3 +124,23 @@ def test_counts_are_never_broadcast(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert {tuple(r) for r in found.collect()} == {(k, 3.0) for k in range(3)}
+
+
+def test_area_statistics_move_numbers_not_keys(spark):
+    """Values that are put in order travel without area codes, and spread only where they can be a quartile."""
+    import re
+
+    from hearthline import bridge
+    from hearthline.operators.area_stats import agg_area_stats
+    plan = agg_area_stats(bridge.sales(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan) if "_v#" in x]
+    assert moved and not [x for x in moved if "area_code" in x or "sector" in x]
+
+
+def test_no_two_groups_share_a_number(spark, monkeypatch):
+    from hearthline.functions import quantiles as Q
+    groups = cut_lineage(spark.createDataFrame([("a", None), (None, "a"), (None, None), ("a", "a"), ("b", "a")], "x string, y string"))
+    assert groups.select(Q.numbered(groups, ["x", "y"])).distinct().count() == 5
+    real = Q._number
+    monkeypatch.setattr(Q, "_number", lambda keys, seed: F.length("x").cast("long") if seed < 2 else real(keys, seed))
+    assert groups.select(Q.numbered(groups, ["x", "y"])).distinct().count() == 5
