@@ -249,3 +249,18 @@ def test_stored_estimates_of_today_are_not_made_again(spark, monkeypatch):
     assert {(r.property_id, r.year, r.price_type, r.value, r.status) for r in rows} == {
         (1, 2001, "CURRENT_ESTIMATE", 100.0, "OK"), (2, 2001, None, None, "INSUFFICIENT_EVIDENCE"),
         (1, 2003, None, None, "OUT_OF_RANGE"), (2, 2003, None, None, "INSUFFICIENT_EVIDENCE")}
+
+
+def test_failing_loads_are_raised_when_all_have_run():
+    import pytest
+
+    from hearthline.operators.loading import load_all
+    ran = []
+
+    def bad(name):
+        ran.append(name)
+        raise ValueError(f"no file for {name}")
+    with pytest.raises(RuntimeError, match="2 of 4 loads failed: no file for a; no file for c"):
+        load_all([lambda: bad("a"), lambda: ran.append("b"), lambda: bad("c"), lambda: ran.append("d")])
+    assert ran == ["a", "b", "c", "d"]
+    load_all([lambda: True, lambda: False])
