@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import exact_quantiles, spread_quantiles
 from .area_stats import with_growth
 
 
@@ -76,11 +76,10 @@ def quarterly_index(sales: DataFrame, minimum: int = K.QUARTER_MIN_SALES) -> Dat
     """Median price per m2 by county, segment and quarter, 100 at the first published quarter."""
     from .area_stats import evidence, with_segments
     from .index_series import rebase
-    rows = with_segments(evidence(sales).where("price_per_sqm IS NOT NULL AND county IS NOT NULL"))
-    rows = rows.withColumn("period", F.trunc("transaction_date", "quarter"))
+    rows = evidence(sales).where("price_per_sqm IS NOT NULL AND county IS NOT NULL").withColumn("period", F.trunc("transaction_date", "quarter"))
     keys = ["country", "county", "segment"]
-    stats = exact_quantiles(rows, [*keys, "period"], {"price_per_sqm": {"median_ppsm": 0.5}, "price": {"average_price": 0.5}},
-                            also=[F.count(F.lit(1)).alias("sales_volume")]).where(F.col("sales_volume") >= minimum)
+    stats = spread_quantiles(rows, ["country", "county", "property_type", "period"], [*keys, "period"], with_segments,
+                             {"price_per_sqm": {"median_ppsm": 0.5}, "price": {"average_price": 0.5}}, {"price_per_sqm": "sales_volume"}).where(F.col("sales_volume") >= minimum)
     return rebase(stats, keys, "median_ppsm")
 
 

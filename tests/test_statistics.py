@@ -144,3 +144,12 @@ def test_no_two_groups_share_a_number(spark, monkeypatch):
     real = Q._number
     monkeypatch.setattr(Q, "_number", lambda keys, seed: F.length("x").cast("long") if seed < 2 else real(keys, seed))
     assert groups.select(Q.numbered(groups, ["x", "y"])).distinct().count() == 5
+
+
+def test_wanted_bins_are_never_broadcast(spark):
+    """Wanted bins are stored small, but held in memory as rows they are many times their file."""
+    rows = cut_lineage(spark.range(3000).selectExpr("CAST(id % 50 AS STRING) AS place", "CAST(id % 7 AS DOUBLE) AS v"))
+    found = spread_quantiles(rows, ["place"], ["area"], lambda groups: groups.withColumn("area", F.lit("whole")), {"v": {"m": 0.5}}, {"v": "n"})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert [tuple(r) for r in found.collect()] == [("whole", 3000, 3.0)]

@@ -264,3 +264,17 @@ def test_failing_loads_are_raised_when_all_have_run():
         load_all([lambda: bad("a"), lambda: ran.append("b"), lambda: bad("c"), lambda: ran.append("d")])
     assert ran == ["a", "b", "c", "d"]
     load_all([lambda: True, lambda: False])
+
+
+def test_extents_shared_by_segments_and_years_are_met_once(spark, monkeypatch):
+    from hearthline.operators import places as P
+    schema = "country string, area_level string, area_code string, segment string, year int, west double, south double, east double, north double"
+    stats = spark.createDataFrame([("c", level, code, segment, year, *box) for level, code, box in (
+        ("district", "D2", (0.0, 0.0, 1.0, 1.0)), ("district", "D1", (0.0, 0.0, 1.0, 1.0)), ("county", "C", (0.0, 0.0, 4.0, 4.0)), ("sector", "S", (None,) * 4))
+        for segment in ("all", "flat") for year in (2000, 2001, 2002)] + [("c", "district", "D3", "all", 2003, 0.0, 0.0, 0.5, 0.5)], schema)
+    points = spark.createDataFrame([(1, "c", 0.2, 0.2), (2, "c", 0.8, 0.8), (3, "c", 3.0, 3.0), (4, "d", 0.2, 0.2), (5, "c", 9.0, 9.0)], "point_id int, country string, lat double, lon double")
+    met, join = [], P.box_join
+    monkeypatch.setattr(P, "box_join", lambda points, boxes, keys: met.append(boxes.count()) or join(points, boxes, keys))
+    got = {tuple(r) for r in P.area_contains(points, stats).collect()}
+    assert got == {(1, "c", "district", "D3"), (2, "c", "district", "D1"), (3, "c", "county", "C")}
+    assert met == [4]
