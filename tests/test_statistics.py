@@ -153,3 +153,20 @@ def test_wanted_bins_are_never_broadcast(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert [tuple(r) for r in found.collect()] == [("whole", 3000, 3.0)]
+
+
+def test_batches_are_appended_without_a_shuffle(spark):
+    from hearthline import bridge
+    from hearthline.operators import area_stats as A
+    plan = A.finest_rows(cut_lineage(bridge.sales(spark, "/root/testdata/sf0.001")), ["country", "district"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+
+
+def test_quarterly_index_moves_numbers_not_keys(spark):
+    import re
+
+    from hearthline import bridge
+    from hearthline.operators.published import quarterly_index
+    plan = quarterly_index(bridge.sales(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan) if "_v#" in x]
+    assert moved and not [x for x in moved if "county" in x]
