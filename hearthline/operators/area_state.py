@@ -1,10 +1,10 @@
-"""Area statistics kept up to date from a stored state of counted values.
+"""Area statistics kept up to date from a stored state of counted sales.
 
-The state holds, by all area codes together, type, year, measure and value, how often the value occurs. A batch of sales
-appends its counts, the old versions of sales that it replaced append theirs with a minus sign; nothing stored is
-rewritten, and the sales themselves are never read again. The state is partitioned by year, so only the years of a batch are
-read; of those, only the areas it touches are counted by bin, and only bins that hold a wanted rank are put in order.
-`compacted` adds the appended counts up.
+The state holds, by all area codes together, type, year, price, price per square metre and position, how often they occur
+together. A batch of sales appends its rows as they are, the old versions of sales that it replaced append theirs with a
+minus sign; nothing stored is rewritten, nothing is grouped to be appended, and the sales themselves are never read again.
+The state is partitioned by year, so only the years of a batch are read; of those, only the areas it touches are counted by
+bin, and only bins that hold a wanted rank are put in order. `compacted` adds the appended rows up.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import cut_lineage
 from . import area_stats as A
 
 AREAS = ["country", "area_level", "area_code", "year"]
@@ -28,7 +29,7 @@ def _append(path: str, counts: DataFrame) -> None:
 
 def start(path: str, sales: DataFrame) -> None:
     """A state of the sales loaded so far."""
-    _append(path, A.finest_counts(sales, _levels()))
+    _append(path, A.finest_rows(sales, _levels()))
 
 
 def add(path: str, batch: DataFrame, replaced: DataFrame | None = None) -> DataFrame:
@@ -36,9 +37,9 @@ def add(path: str, batch: DataFrame, replaced: DataFrame | None = None) -> DataF
 
     `replaced` holds the old versions of sales that the batch changed; the areas they leave are touched, too.
     """
-    change = A.finest_counts(batch, _levels())
+    change = A.finest_rows(batch, _levels())
     if replaced is not None:
-        change = change.unionByName(A.finest_counts(replaced, _levels()).withColumn("_n", -F.col("_n")))
+        change = change.unionByName(A.finest_rows(replaced, _levels()).withColumn("_n", -F.col("_n")))
     _append(path, change)
     moved = batch if replaced is None else batch.select(*_touching()).unionByName(replaced.select(*_touching()))
     return A.with_levels(A.evidence(moved.select(*_touching())), _levels()).select(*AREAS).distinct()
@@ -49,7 +50,7 @@ def _touching() -> list[str]:
 
 
 def settled(spark: SparkSession, path: str, years: list[int] | None = None) -> DataFrame:
-    """Counts with everything appended so far added up; values that no sale has any more are gone."""
+    """Rows with everything appended so far added up; those that no sale has any more are gone."""
     stored = spark.read.parquet(path)
     stored = stored if years is None else stored.where(F.col("year").isin(years))  # prunes folders
     keys = [c for c in stored.columns if c != "_n"]
@@ -59,7 +60,7 @@ def settled(spark: SparkSession, path: str, years: list[int] | None = None) -> D
 def refreshed(stored: DataFrame, path: str, touched: DataFrame) -> DataFrame:
     """The statistics after a batch: groups it touches from the state, all others as they were."""
     years = [r.year for r in touched.select("year").distinct().collect()]  # calendar years: a few dozen at most
-    fresh = A.stats_of_counts(settled(stored.sparkSession, path, years), _levels(), touched=touched)
+    fresh = A.stats_of_rows(cut_lineage(settled(stored.sparkSession, path, years)), _levels(), touched=touched)
     return stored.join(touched, AREAS, "left_anti").unionByName(fresh)
 
 
