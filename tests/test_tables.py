@@ -8,7 +8,7 @@ from hearthline.operators import places as P
 from hearthline.operators import upsert as U
 from hearthline.operators import viewports as M
 from hearthline.policies import ForecastPolicy
-from hearthline.session import fresh_path
+from hearthline.session import cut_lineage, fresh_path
 
 SHAPE = "shape_id string, rings array<array<struct<x:double,y:double>>>"
 
@@ -278,3 +278,27 @@ def test_extents_shared_by_segments_and_years_are_met_once(spark, monkeypatch):
     got = {tuple(r) for r in P.area_contains(points, stats).collect()}
     assert got == {(1, "c", "district", "D3"), (2, "c", "district", "D1"), (3, "c", "county", "C")}
     assert met == [4]
+
+
+def test_evidence_is_counted_before_it_is_spread(spark, monkeypatch):
+    from hearthline import bridge
+    from hearthline.operators import area_stats as A
+    from hearthline.operators import quality as Q
+    sales = cut_lineage(bridge.sales(spark, "/root/testdata/sf0.001"))
+    spread, real = [], Q.with_segments
+    monkeypatch.setattr(Q, "with_segments", lambda rows: spread.append(rows.count()) or real(rows))
+    stats = A.agg_area_stats(sales)
+    assert [tuple(r) for r in Q.dq_evidence_only(stats, sales).collect()] == [("count backed by evidence", stats.count(), 0)]
+    more = stats.withColumn("transaction_count", F.col("transaction_count") + 1)
+    assert Q.dq_evidence_only(more, sales).first().broken == stats.count()
+    keys = ["country", "property_type", "year", "county", "district", "outcode", "sector"]
+    assert spread[0] == A.evidence(sales).select(*keys).distinct().count() < A.evidence(sales).count()
+
+
+def test_year_snap_makes_no_tiles(spark, monkeypatch):
+    """The tiles of the live answers are no part of the years with figures, so nothing stores them."""
+    from hearthline.plans import q_map
+    stored, real = [], q_map.cut_lineage
+    monkeypatch.setattr(q_map, "cut_lineage", lambda df: stored.append(df.columns) or real(df))
+    q_map.year_snap(spark, "/root/testdata/sf0.001")
+    assert stored and not [c for c in stored if "tile" in c]
